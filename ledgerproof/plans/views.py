@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.functions.text import LINE_BREAK, WS
 from ledgerproof.operators import normalize, rollups
+from ledgerproof.session import durable
 
 FIRST_MONTH, LAST_MONTH = "1996-01", "2001-07"
 PARTIAL_MONTH = "2001-08"
@@ -103,6 +104,21 @@ def product_month_net(spark: SparkSession, root: str) -> DataFrame:
     return rollups.net_summary(goods_net(spark, root), ["year_month", "stock_code", "description"], False)
 
 
+def summaries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(country-month, product-month, month) summaries for jobs that read them often.
+
+    The cleaned lines are stored once, with the columns the summaries need, and each
+    summary once; nothing downstream repeats the joins or the duplicate check.
+    """
+    columns = ("year_month", "country", "stock_code", "description", "invoice_no", "customer_id", "quantity", "revenue")
+    lines = durable(net(spark, root).select(*columns, "is_non_merchandise"))
+    return (
+        durable(rollups.net_summary(lines, ["year_month", "country"])),
+        durable(rollups.net_summary(normalize.merchandise(lines), ["year_month", "stock_code", "description"], False)),
+        durable(rollups.net_summary(lines, ["year_month"])),
+    )
+
+
 def sql_strip(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
