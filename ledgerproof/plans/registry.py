@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from ledgerproof.plans import base, gold  # noqa: F401
+from ledgerproof.plans import base, gold, prompts  # noqa: F401
 from ledgerproof.plans.register import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
