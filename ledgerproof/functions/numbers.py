@@ -71,3 +71,16 @@ def twelve_digits(c: Column) -> Column:
     """Up to twelve decimals, without trailing zeros."""
     text = F.format_string("%.12f", c)
     return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+
+
+def exact_mean(c: Column, digits: int = 6) -> Column:
+    """Aggregate: the mean rounded half away from zero, from integer sums. It is the
+    same whatever order tasks finish in, also at rounding ties."""
+    scale = 10**digits
+    total = F.sum(F.round(c.cast("decimal(28,9)") * scale, 0).cast("bigint"))
+    n = F.count(c)
+    return F.try_divide(F.signum(total) * F.call_function("div", F.abs(total) * 2 + n, n * 2), F.lit(float(scale)))
+
+
+def rounded(c: Column, digits: int = 6) -> Column:
+    return F.round(c.cast("double"), digits)

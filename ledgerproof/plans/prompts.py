@@ -103,8 +103,8 @@ def w09(spark, root):
       string_agg({COUNTRY_LINE}, chr(10) ORDER BY net_revenue DESC, country)) AS table_text FROM country_month m GROUP BY year_month""",
 )
 def t11(spark, root):
-    rows = gold.head_rows(views.country_month_net(spark, root), 1_000_000, ["country"])
-    tables = gold.evidence_rows(rows, ["year_month"], F.col("rank"))
+    place = F.struct(-F.col("net_revenue"), F.col("country"))
+    tables = gold.evidence_rows(views.country_month_net(spark, root), ["year_month"], place)
     return tables.select("year_month", prompts.markdown(F.col("evidence"), prompts.COLUMNS["country"]).alias("table_text"))
 
 

@@ -201,3 +201,8 @@ def sql_currency(c: str) -> str:
 
 def sql_fixed2(c: str) -> str:
     return f"format('{{:.2f}}', CAST({c} AS DOUBLE))"
+
+
+def sql_mean(c: str, digits: int = 6) -> str:
+    total = f"CAST(sum(CAST(round(CAST({c} AS DECIMAL(28,9)) * {10**digits}, 0) AS BIGINT)) AS BIGINT)"
+    return f"CAST(sign({total}) * ((2 * abs({total}) + count({c})) // (2 * count({c}))) AS DOUBLE) / {10**digits}"
