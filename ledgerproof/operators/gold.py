@@ -25,10 +25,12 @@ EVIDENCE_FIELDS = (
     "country", "stock_code", "description", "year_month",
     "net_revenue", "gross_positive_revenue", "cancellation_revenue", "invoice_count",
 )
-FACT_FIELDS = (
-    "field", "fact_type", "str_value", "num_value", "ranking", "display_value", "display_name",
-    "tolerance_kind", "absolute", "relative_percent", "percentage_points",
-)
+AMOUNT_FIELDS = EVIDENCE_FIELDS[4:7]
+SHOWN_FIELDS = {
+    "country_month_net_revenue_summary": ("country", *AMOUNT_FIELDS, "invoice_count"),
+    "product_month_net_revenue_summary": ("stock_code", "description", *AMOUNT_FIELDS),
+    "monthly_net_revenue_summary": ("year_month", *AMOUNT_FIELDS, "invoice_count"),
+}
 RANKING = "array<struct<rank:bigint,stock_code:string,description:string,merchandise_net_revenue:double>>"
 
 
@@ -298,6 +300,11 @@ def as_question(
     total: Column | None = None,
 ) -> DataFrame:
     """The shared nested record of one question type."""
+    shown = SHOWN_FIELDS[source_file]
+
+    def evidence_row(e: Column) -> Column:
+        return F.struct(*[(e[n] if n in shown else F.when(F.lit(False), e[n])).alias(n) for n in EVIDENCE_FIELDS])
+
     return gold.join(evidence, list(key)).select(
         F.lit(question_type).alias("question_type"),
         F.lit(QUESTION_TYPES.index(question_type)).alias("type_ord"),
@@ -309,7 +316,7 @@ def as_question(
         F.struct(
             F.lit(source_file).alias("source_file"),
             filters.alias("filters"),
-            F.transform("evidence", lambda e: F.struct(*[e[n].alias(n) for n in EVIDENCE_FIELDS])).alias("rows"),
+            F.transform("evidence", evidence_row).alias("rows"),
             (total if total is not None else F.lit(None).cast("double")).alias("total_merchandise_net_revenue"),
         ).alias("evidence"),
     )

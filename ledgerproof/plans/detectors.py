@@ -522,7 +522,7 @@ def e18(spark, root):
 
 @query(
     "a28_contradicted_miss_counts",
-    f"""WITH {SWEEP}, {OUTCOMES} SELECT count(*) AS contradicted_spans, count(*) FILTER {ANY.join(('(', ')'))} AS any_missed, count(*) FILTER {EVERY.join(('(', ')'))} AS all_missed,
+    f"""WITH {SWEEP}, {OUTCOMES} SELECT count(*) AS contradicted_spans, count(*) FILTER ({ANY}) AS any_missed, count(*) FILTER ({EVERY}) AS all_missed,
     count(*) FILTER (d1_outcome = 'missed') AS d1_missed, count(*) FILTER (d2_outcome = 'missed') AS d2_missed, count(*) FILTER (d4_outcome = 'missed') AS d4_missed
     FROM outcomes WHERE y = 1""",
 )

@@ -451,11 +451,10 @@ def a14(spark, root):
 
 CELL_SQL = f"""cells AS (
   SELECT 'product' AS kind, year_month AS unit, rank AS row_pos, unnest([
-     {{'key': 'stock_code', 'v': stock_code}}, {{'key': 'description', 'v': description}}, {{'key': 'year_month', 'v': year_month}},
+     {{'key': 'stock_code', 'v': stock_code}}, {{'key': 'description', 'v': description}},
      {{'key': 'net_revenue', 'v': {sql_fixed2(NET2)}}},
      {{'key': 'gross_positive_revenue', 'v': {sql_fixed2('round(gross_positive_revenue, 2)')}}},
-     {{'key': 'cancellation_revenue', 'v': {sql_fixed2('round(cancellation_revenue, 2)')}}},
-     {{'key': 'invoice_count', 'v': CAST(invoice_count AS VARCHAR)}}]) AS c FROM pm_all)"""
+     {{'key': 'cancellation_revenue', 'v': {sql_fixed2('round(cancellation_revenue, 2)')}}}]) AS c FROM pm_all)"""
 
 
 @query(

@@ -30,8 +30,13 @@ def generations(spark, root) -> DataFrame:
 def traces(spark, root) -> DataFrame:
     """Token traces with byte-fallback pairs, an end marker and derived scores."""
     raw = F.concat(F.replace("text", F.lit(" de "), F.lit(" �� ")), F.lit(END))
-    tokens = generations(spark, root).select(
-        "qid", "lang", F.posexplode(F.regexp_extract_all(raw, F.lit(f"({TOKEN})"), F.lit(1))).alias("position", "token_text")
+    return trace_rows(generations(spark, root).select("qid", "lang", raw.alias("raw")))
+
+
+def trace_rows(texts: DataFrame) -> DataFrame:
+    """(qid, lang, raw) -> one row per token with scores derived from it."""
+    tokens = texts.select(
+        "qid", "lang", F.posexplode(F.regexp_extract_all("raw", F.lit(f"({TOKEN})"), F.lit(1))).alias("position", "token_text")
     )
     n, p = F.length("token_text"), F.col("position")
 
