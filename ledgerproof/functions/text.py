@@ -11,12 +11,20 @@ WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_space(c: Column) -> Column:
-    return F.regexp_replace(strip(c), f"{WS}+", " ")
+    """Runs of white space become one space. A character map first, so the pattern
+    that finds the runs is a plain one."""
+    return F.btrim(F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def fold_case(c: Column) -> Column:

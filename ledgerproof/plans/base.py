@@ -69,7 +69,7 @@ def s02(spark, root):
 )
 def s03(spark, root):
     path = scratch_path(spark, "cells")
-    files.write_csv(views.table(spark, root, "documents"), path, ["doc_id", "text", "n_chars"])
+    files.write_csv(views.documents(spark, root), path, ["doc_id", "text", "n_chars"])
     cells = files.read_text_cells(spark, path, ["doc_id", "text", "n_chars"])
     return cells.select("doc_id", F.length("text").cast("bigint").alias("text_length"), "n_chars")
 
@@ -145,7 +145,7 @@ def s07(spark, root):
 def s08(spark, root):
     path = scratch_path(spark, "nested")
     files.write_csv(
-        rollups.count_maps(views.table(spark, root, "documents"), ["source"], "lang"), path, ["source", "lang_counts"]
+        rollups.count_maps(views.documents(spark, root), ["source"], "lang"), path, ["source", "lang_counts"]
     )
     return files.read_text_cells(spark, path, ["source", "lang_counts"])
 

@@ -159,7 +159,7 @@ def v22(spark, root):
     SELECT row_id, question_id, lang, source, q.question_id IS NOT NULL AS matched FROM wide LEFT JOIN q USING (question_id)""",
 )
 def j01(spark, root):
-    docs = views.table(spark, root, "documents").filter("lang <> 'fr'")
+    docs = views.documents(spark, root).filter("lang <> 'fr'")
     asked = docs.select(F.col("doc_id").alias("question_id"), "lang", "source")
     found, lost = det.with_question_attributes(wide_scores(spark, root).select("row_id", "question_id"), asked, ["lang", "source"])
     none = F.lit(None).cast("string")
@@ -372,7 +372,7 @@ def e14(spark, root):
 
 
 def error_context(spark, root) -> DataFrame:
-    docs = views.table(spark, root, "documents")
+    docs = views.documents(spark, root)
     notes = docs.select(F.col("doc_id").alias("row_id"), (F.col("doc_id") % 50).alias("span_start_char"))
     answers = docs.filter("lang <> 'es'").select(F.col("doc_id").alias("question_id"), F.col("text").alias("generated_text"))
     reviews = views.table(spark, root, "labels").select(F.col("doc_id").alias("question_id"), "quality")
@@ -555,7 +555,7 @@ def a15(spark, root):
 def a16(spark, root):
     """Question maps merged per language: the map entries are summed, not the rows."""
     maps = rollups.count_maps(annotations(spark, root), ["qid"], "label")
-    langs = views.table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("qid"), "lang")
+    langs = views.documents(spark, root).select(F.col("doc_id").cast("string").alias("qid"), "lang")
     merged = maps.join(langs, "qid").select("lang", F.explode("label_counts").alias("label", "n")).groupBy("lang", "label").agg(F.sum("n").alias("n"))
     item = F.array_sort(F.collect_list(F.concat_ws(":", "label", F.col("n").cast("string"))))
     positive = F.sum(F.when(F.col("label").isin(*det.POSITIVE), F.col("n")).otherwise(0))

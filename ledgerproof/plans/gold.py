@@ -509,7 +509,7 @@ def v02(spark, root):
        UNION ALL SELECT 'n_chars', count(*) FILTER (n_chars <= 0) = 0, count(*) FILTER (n_chars <= 0) FROM documents""",
 )
 def v04(spark, root):
-    docs = views.table(spark, root, "documents")
+    docs = views.documents(spark, root)
     return quality.violations(docs, {"lang": quality.domain("lang", ["en", "fr"]), "n_chars": F.col("n_chars") > 0})
 
 

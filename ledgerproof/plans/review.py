@@ -39,7 +39,7 @@ def j09(spark, root):
     "SELECT doc_id FROM documents WHERE lang = 'fr' UNION SELECT doc_id FROM labels",
 )
 def u03(spark, root):
-    french = views.table(spark, root, "documents").filter("lang = 'fr'").select("doc_id")
+    french = views.documents(spark, root).filter("lang = 'fr'").select("doc_id")
     return french.union(views.table(spark, root, "labels").select("doc_id")).distinct()
 
 
@@ -51,7 +51,7 @@ def u03(spark, root):
     unnest([l, r, l + r - i, i, l - i, r - i, CAST(l = i AS BIGINT), CAST(l = i AND r = i AS BIGINT)]) AS n FROM n""",
 )
 def u04(spark, root):
-    spoken = views.table(spark, root, "documents").filter("lang <> 'fr'")
+    spoken = views.documents(spark, root).filter("lang <> 'fr'")
     return review.key_sets(views.table(spark, root, "labels"), spoken, "doc_id")
 
 
@@ -127,7 +127,7 @@ def w16(spark, root):
     "SELECT doc_id, format('confirm_{:03d}', row_number() OVER (ORDER BY source, doc_id)) AS item_id FROM documents",
 )
 def w17(spark, root):
-    docs = views.table(spark, root, "documents").select("doc_id", "source")
+    docs = views.documents(spark, root).select("doc_id", "source")
     return review.sequential_ids(docs, [F.col("source"), F.col("doc_id")], "confirm_%03d", "item_id").select("doc_id", "item_id")
 
 
@@ -308,7 +308,7 @@ def r07(spark, root):
 )
 def r08(spark, root):
     name = lambda p: F.concat(F.lit("ann_"), F.col("doc_id").cast("string"), F.lit(f"_{p}"))
-    decisions = views.table(spark, root, "documents").select(
+    decisions = views.documents(spark, root).select(
         F.col("doc_id").alias("decision_id"), F.lit("correct_key_fact").alias("expected_label"),
         F.array(name("000000"), name("000002"), name("000004")).alias("annotation_ids"))
     return review.decision_mismatches(decisions, annotations(spark, root))
@@ -321,7 +321,7 @@ KINDS = {"en": "top3_products_month", "fr": "product_revenue_share_month"}
 
 def asked_documents(spark, root) -> DataFrame:
     kind = F.when(F.col("lang") == "en", KINDS["en"]).when(F.col("lang") == "fr", KINDS["fr"]).otherwise("top_country_month")
-    return views.table(spark, root, "documents").select(
+    return views.documents(spark, root).select(
         F.col("doc_id").cast("string").alias("question_id"), kind.alias("question_type"), F.col("source").alias("split"))
 
 
@@ -424,7 +424,7 @@ def v03(spark, root):
     UNION ALL SELECT d.doc_id, 'lang', d.lang, r.lang FROM documents d JOIN r USING (doc_id) WHERE d.lang IS DISTINCT FROM r.lang""",
 )
 def v12(spark, root):
-    docs = views.table(spark, root, "documents")
+    docs = views.documents(spark, root)
     again = docs.select("doc_id", F.length("text").alias("n_chars"), F.when(F.col("lang") == "es", "ES").otherwise(F.col("lang")).alias("lang"))
     return quality.field_differences(docs, again, ["doc_id"], ["n_chars", "lang"])
 

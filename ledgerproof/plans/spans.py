@@ -20,7 +20,7 @@ END = "<|im_end|>"
 
 def generations(spark, root) -> DataFrame:
     """Documents as answers; French ' de ' stands for an approximation sign."""
-    docs = views.table(spark, root, "documents")
+    docs = views.documents(spark, root)
     return docs.select(
         F.col("doc_id").cast("string").alias("qid"), "lang",
         F.replace("text", F.lit(" de "), F.lit(" ≈ ")).alias("generated_text"), "text",

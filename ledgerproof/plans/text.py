@@ -17,7 +17,7 @@ from ledgerproof.plans.views import sql_collapse, sql_currency, sql_fixed2, sql_
     length({sql_key('text')}) AS folded_length FROM documents""",
 )
 def t01(spark, root):
-    docs, body = views.table(spark, root, "documents"), F.col("text")
+    docs, body = views.documents(spark, root), F.col("text")
     return docs.select(
         "doc_id", F.md5(text.match_key(body)).alias("folded"), F.md5(text.upper_key(body)).alias("uppered"),
         F.length(text.match_key(body)).cast("bigint").alias("folded_length"),
@@ -33,7 +33,7 @@ NUMBERS_SQL = r"regexp_extract_all(text, '[-+]?\d[\d,]*(?:\.\d+)?')"
       SELECT doc_id, generate_subscripts(n, 1) - 1 AS pos, unnest(n) AS raw FROM (SELECT doc_id, {NUMBERS_SQL} AS n FROM documents))""",
 )
 def t02(spark, root):
-    docs = views.table(spark, root, "documents")
+    docs = views.documents(spark, root)
     found = docs.select("doc_id", F.posexplode(numbers.extract_numbers(F.col("text"))).alias("pos", "value"))
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -47,7 +47,7 @@ AMOUNT_SQL = r"TRY_CAST(nullif(regexp_extract(regexp_replace({c}, 'GBP|gbp|£|[,
     UNION ALL SELECT 'o' || o_orderkey, {AMOUNT_SQL.format(c=f"concat(o_orderpriority, ' ', {sql_currency('o_totalprice')}, '%')")} FROM orders""",
 )
 def t03(spark, root):
-    docs, orders = views.table(spark, root, "documents"), views.table(spark, root, "orders")
+    docs, orders = views.documents(spark, root), views.table(spark, root, "orders")
     cell = F.concat(F.col("o_orderpriority"), F.lit(" "), numbers.currency(F.col("o_totalprice")), F.lit("%"))
     return docs.select(
         F.concat(F.lit("d"), "doc_id").alias("id"), numbers.parse_amount(F.col("text")).alias("amount")
@@ -104,7 +104,7 @@ def nth_sql(n: int) -> str:
     "SELECT doc_id, " + ", ".join(f"CAST({nth_sql(n)} AS BIGINT) AS start_{n}" for n in (1, 2, 5)) + " FROM documents",
 )
 def t08(spark, root):
-    docs, needle = views.table(spark, root, "documents"), F.substring("text", 1, 2)
+    docs, needle = views.documents(spark, root), F.substring("text", 1, 2)
     starts = [text.nth_occurrence(F.col("text"), needle, F.lit(n)).cast("bigint").alias(f"start_{n}") for n in (1, 2, 5)]
     return docs.select("doc_id", *starts)
 
@@ -118,7 +118,7 @@ SPAN = f"""SELECT doc_id, text, {NEEDLE} AS needle, {nth_sql(3)} AS s FROM docum
     FROM (SELECT *, CAST(coalesce(s, strpos(text, needle) - 1) AS BIGINT) AS p0 FROM ({SPAN}))""",
 )
 def t09(spark, root):
-    docs, needle = views.table(spark, root, "documents"), F.substring("text", 1, 2)
+    docs, needle = views.documents(spark, root), F.substring("text", 1, 2)
     start = F.coalesce(text.nth_occurrence(F.col("text"), needle, F.lit(3)), F.lit(-1))
     return docs.select("doc_id", F.md5(text.claim_line(F.col("text"), needle, start, start + 2)).alias("line"))
 
@@ -135,7 +135,7 @@ def excerpt_sql(window: int, squeeze: bool) -> str:
     FROM (SELECT doc_id, text, needle, CAST(s AS BIGINT) AS s FROM ({SPAN})) WHERE s IS NOT NULL""",
 )
 def t10(spark, root):
-    docs, needle = views.table(spark, root, "documents"), F.substring("text", 1, 2)
+    docs, needle = views.documents(spark, root), F.substring("text", 1, 2)
     placed = docs.withColumn("s", text.nth_occurrence(F.col("text"), needle, F.lit(3))).filter("s IS NOT NULL")
     body, start = F.col("text"), F.col("s")
     return placed.select(
@@ -210,4 +210,4 @@ PATTERNS = ["license", "License", "Copyright", "@", "key", "http"]
     FROM l, (SELECT unnest({PATTERNS}) AS pattern) WHERE contains(line, pattern)""",
 )
 def t19(spark, root):
-    return hygiene.forbidden_lines(views.table(spark, root, "documents"), ["doc_id"], "text", PATTERNS)
+    return hygiene.forbidden_lines(views.documents(spark, root), ["doc_id"], "text", PATTERNS)

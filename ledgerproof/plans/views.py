@@ -32,11 +32,27 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table stored in fewer splits than there are cores is given to all of them; a
+    table with enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "documents"), "doc_id")
+
+
 # ------------------------------------------------------------------ retail lines
 
 
 def retail_raw(spark: SparkSession, root: str) -> DataFrame:
-    lines = table(spark, root, "lineitem")
+    lines = spread(
+        table(spark, root, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"
+        ),
+        "l_orderkey",
+    )
     orders = table(spark, root, "orders")
     customers = table(spark, root, "customer")
     nations = table(spark, root, "nation")
