@@ -268,13 +268,14 @@ def family_summary(rows: DataFrame) -> DataFrame:
 
 def metric_gaps(summary: DataFrame, left: str, right: str) -> DataFrame:
     """(metric, gap): left family's best minus right family's best."""
-    a = summary.filter(F.col("family") == left).select(F.col("best_auprc").alias("la"), F.col("best_f1").alias("lf"))
-    b = summary.filter(F.col("family") == right).select(F.col("best_auprc").alias("ra"), F.col("best_f1").alias("rf"))
-    gaps = F.array(
-        F.struct(F.lit("test_auprc").alias("metric"), rounded(F.col("la") - F.col("ra")).alias("gap")),
-        F.struct(F.lit("test_f1").alias("metric"), rounded(F.col("lf") - F.col("rf")).alias("gap")),
-    )
-    return a.crossJoin(b).select(F.inline(gaps))
+    def best(family: str, metric: str) -> Column:
+        return F.max(F.when(F.col("family") == family, F.col(metric)))
+
+    gaps = [
+        F.struct(F.lit(name).alias("metric"), rounded(best(left, c) - best(right, c)).alias("gap"))
+        for name, c in [("test_auprc", "best_auprc"), ("test_f1", "best_f1")]
+    ]
+    return summary.agg(F.array(*gaps).alias("g")).select(F.inline("g"))
 
 
 def score_summary(rows: DataFrame, group: Sequence[str]) -> DataFrame:

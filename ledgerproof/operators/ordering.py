@@ -25,7 +25,7 @@ def running_totals(
     """Adds the 1-based position and inclusive running sums in a total order.
 
     The slices come from a range partitioning. It is sampled, so the slice number
-    is stored in a checkpoint: both readers below see the same one, also after an
+    is stored with the rows: both readers below see the same one, also after an
     executor is lost. `order_by` must order the rows totally.
     """
     sums = dict(sums or {})

@@ -66,19 +66,28 @@ def relative_identity(left: Column, right: Column, absolute: float = 1e-8, relat
     return F.abs(left - right) <= absolute + relative * F.abs(right)
 
 
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """Several one-row aggregates side by side, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def reconcile(base: DataFrame, base_sum: str, parts: dict[str, tuple[DataFrame, str]], tolerance: float) -> DataFrame:
     """Does each grain add up to the line total?"""
-    total = base.agg(F.sum(base_sum).cast("decimal(38,4)").alias("total"))
-    rows = [
-        frame.agg(F.sum(column).cast("decimal(38,4)").alias("part"))
-        .crossJoin(total)
-        .select(
-            F.lit(name).alias("check_name"),
-            F.coalesce(F.abs(F.col("part") - F.col("total")) <= tolerance, F.lit(False)).alias("passed"),
-        )
-        for name, (frame, column) in parts.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    def total(frame: DataFrame, column: str, name: str) -> DataFrame:
+        return frame.agg(F.sum(column).cast("decimal(38,4)").alias(name))
+
+    wide = one_row([total(base, base_sum, "_total"), *[total(f, c, n) for n, (f, c) in parts.items()]])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("check_name"),
+                F.coalesce(F.abs(F.col(n) - F.col("_total")) <= tolerance, F.lit(False)).alias("passed"),
+            )
+            for n in parts
+        ]
+    )
+    return wide.select(F.inline(rows))
 
 
 def expected_counts(df: DataFrame, key: str, expected: DataFrame) -> DataFrame:

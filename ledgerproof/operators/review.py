@@ -12,6 +12,7 @@ from ledgerproof.functions.numbers import exact_mean, ratio
 from ledgerproof.functions.text import excerpt, nth_occurrence
 from ledgerproof.operators.detectors import EXCLUDED, NEGATIVE, POSITIVE
 from ledgerproof.operators.ordering import running_totals, top_n
+from ledgerproof.operators.quality import one_row
 
 LABELS = ("correct_key_fact", "hallucinated_key_fact", "unsupported_claim", "ambiguous_or_unverifiable", "ignore")
 HELD_OUT = ("dev", "test")
@@ -338,7 +339,7 @@ def coverage_rules(by_question: DataFrame, by_fact_type: DataFrame) -> DataFrame
     ]
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(level).alias("level"), b.alias("broken"), m.cast("double").alias("measure"))
                      for r, level, b, m in rules])
-    return totals.crossJoin(rare).select(F.inline(rows))
+    return one_row([totals, rare]).select(F.inline(rows))
 
 
 def theme_coverage(questions: DataFrame, themes: Mapping[str, Sequence[str]], examples: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -17,41 +17,70 @@ def keyed(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return lines
 
 
-def _counts(with_customers: bool) -> list[Column]:
-    out = [F.count("*").alias("line_count"), F.countDistinct("invoice_no").alias("invoice_count")]
-    if with_customers:
-        out.append(F.countDistinct("customer_id").alias("customer_count"))
-    return [*out, F.sum("quantity").alias("total_quantity")]
-
-
 def _part(condition: Column, name: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("revenue"))), F.lit(0)).cast(MONEY).alias(name)
 
 
+def _by_invoice(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial sums per invoice and customer. Lines of one invoice lie together, so most
+    rows disappear before the shuffle and the distinct counts run over invoices only."""
+    return keyed(lines, keys).groupBy(*keys, "invoice_no", "customer_id").agg(
+        F.count("*").alias("line_count"),
+        F.count("revenue").alias("priced_count"),
+        F.sum("quantity").alias("total_quantity"),
+        F.sum("revenue").cast(MONEY).alias("revenue"),
+        _part(F.col("revenue") > 0, "gross_positive_revenue"),
+        _part(F.col("revenue") < 0, "cancellation_revenue"),
+    )
+
+
+def _from_invoices(partial: DataFrame, keys: Sequence[str], *sums: Column) -> DataFrame:
+    return partial.groupBy(*keys).agg(
+        F.sum("line_count").alias("line_count"),
+        F.countDistinct("invoice_no").alias("invoice_count"),
+        F.countDistinct("customer_id").alias("customer_count"),
+        F.sum("total_quantity").alias("total_quantity"),
+        *sums,
+    )
+
+
+def _total(c: str, name: str) -> Column:
+    return F.sum(c).cast(MONEY).alias(name)
+
+
+def _from_lines(lines: DataFrame, keys: Sequence[str], *sums: Column) -> DataFrame:
+    return keyed(lines, keys).groupBy(*keys).agg(
+        F.count("*").alias("line_count"),
+        F.countDistinct("invoice_no").alias("invoice_count"),
+        F.sum("quantity").alias("total_quantity"),
+        *sums,
+    )
+
+
 def sales_summary(
     sales: DataFrame, keys: Sequence[str], customers: bool = True, extra: Sequence[Column] = ()
 ) -> DataFrame:
-    return keyed(sales, keys).groupBy(*keys).agg(
-        *_counts(customers), F.sum("revenue").cast(MONEY).alias("total_revenue"), *extra
-    )
+    total = _total("revenue", "total_revenue")
+    if customers:
+        return _from_invoices(_by_invoice(sales, keys), keys, total, *extra)
+    return _from_lines(sales, keys, total, *extra)
 
 
 def net_summary(
     lines: DataFrame, keys: Sequence[str], customers: bool = True, extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Net revenue with its gross-positive and cancellation parts."""
-    return keyed(lines, keys).groupBy(*keys).agg(
-        *_counts(customers),
-        F.sum("revenue").cast(MONEY).alias("net_revenue"),
-        _part(F.col("revenue") > 0, "gross_positive_revenue"),
-        _part(F.col("revenue") < 0, "cancellation_revenue"),
-        *extra,
-    )
+    net = _total("revenue", "net_revenue")
+    if customers:
+        parts = [_total(c, c) for c in ("gross_positive_revenue", "cancellation_revenue")]
+        return _from_invoices(_by_invoice(lines, keys), keys, net, *parts, *extra)
+    parts = [_part(F.col("revenue") > 0, "gross_positive_revenue"), _part(F.col("revenue") < 0, "cancellation_revenue")]
+    return _from_lines(lines, keys, net, *parts, *extra)
 
 
 def monthly_sales(sales: DataFrame) -> DataFrame:
-    mean = (F.sum("revenue").cast("double") / F.count("revenue")).alias("avg_line_revenue")
-    return sales_summary(sales, ["year_month"], extra=[mean])
+    mean = F.sum("revenue").cast("double") / F.sum("priced_count")
+    return sales_summary(sales, ["year_month"], extra=[mean.alias("avg_line_revenue")])
 
 
 def monthly_coverage(lines: DataFrame, first: str, last: str, partial: str, note: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerproof.operators import normalize, quality, rollups
 from ledgerproof.plans import views
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import LINES, RAW, SUMMARIES, sql_net
-from ledgerproof.session import scratch_path
+from ledgerproof.session import durable, scratch_path
 from ledgerproof.sources import files
 
 MONEY_COLUMNS = (
@@ -408,8 +408,12 @@ def a12_subsets(spark, root):
 # --------------------------------------------------------------------------- checks
 
 
-def row_checks(spark, root) -> DataFrame:
-    lines = views.retail_lines(spark, root)
+def stored_lines(spark, root) -> DataFrame:
+    """The cleaned lines as a stored table: every check below reads it."""
+    return durable(views.retail_lines(spark, root))
+
+
+def row_checks(lines: DataFrame) -> DataFrame:
     sales, net = normalize.positive_sales(lines), normalize.net_revenue_lines(lines)
     positive = ~F.col("is_cancel_invoice") & (F.col("quantity") >= 0)
     priced = (F.col("unit_price") > 0) & (F.length("description") > 0) & ~F.col("is_exact_duplicate")
@@ -424,16 +428,17 @@ def row_checks(spark, root) -> DataFrame:
     "CAST(0 AS BIGINT) AS detail",
 )
 def v09(spark, root):
-    return row_checks(spark, root)
+    return row_checks(views.retail_lines(spark, root))
 
 
-def grain_checks(spark, root) -> DataFrame:
-    net, goods = views.net(spark, root), views.goods_net(spark, root)
-    lines = quality.reconcile(
+def grain_checks(lines: DataFrame) -> DataFrame:
+    net = normalize.net_revenue_lines(lines)
+    goods = normalize.merchandise(net)
+    by_line = quality.reconcile(
         net, "revenue",
         {
-            "monthly_net": (views.monthly_net(spark, root), "net_revenue"),
-            "country_month_net": (views.country_month_net(spark, root), "net_revenue"),
+            "monthly_net": (rollups.net_summary(net, ["year_month"]), "net_revenue"),
+            "country_month_net": (rollups.net_summary(net, ["year_month", "country"]), "net_revenue"),
             "country_net": (rollups.net_summary(net, ["country"]), "net_revenue"),
         },
         0.01,
@@ -441,12 +446,12 @@ def grain_checks(spark, root) -> DataFrame:
     products = quality.reconcile(
         goods, "revenue",
         {
-            "product_month_net": (views.product_month_net(spark, root), "net_revenue"),
+            "product_month_net": (rollups.net_summary(goods, PRODUCT_MONTH.split(", "), False), "net_revenue"),
             "product_net": (rollups.product_net(goods), "net_revenue"),
         },
         0.01,
     )
-    flagged = views.retail_lines(spark, root).agg(
+    flagged = lines.agg(
         F.count("*").alias("total"),
         F.count_if(normalize.positive_sales_condition()).alias("kept"),
         F.count_if(F.length(normalize.exclusion_reason()) > 0).alias("excluded"),
@@ -455,7 +460,7 @@ def grain_checks(spark, root) -> DataFrame:
         F.lit("row_conservation").alias("check_name"),
         (F.col("total") == F.col("kept") + F.col("excluded")).alias("passed"),
     )
-    return reduce(DataFrame.unionByName, [lines, products, conserved])
+    return reduce(DataFrame.unionByName, [by_line, products, conserved])
 
 
 @query(
@@ -470,19 +475,24 @@ def grain_checks(spark, root) -> DataFrame:
     UNION ALL SELECT 'row_conservation', (SELECT count(*) FROM lines) = (SELECT count(*) FROM sales) + (SELECT count(*) FROM lines WHERE {NOT_SALES})""",
 )
 def v07(spark, root):
-    return grain_checks(spark, root)
+    return grain_checks(stored_lines(spark, root))
 
 
 COMPONENTS = ("monthly_net", "country_month", "product_month")
 
 
-def component_checks(spark, root) -> DataFrame:
-    frames = [views.monthly_net, views.country_month_net, views.product_month_net]
+def component_checks(lines: DataFrame) -> DataFrame:
+    net = normalize.net_revenue_lines(lines)
+    frames = [
+        rollups.net_summary(net, ["year_month"]),
+        rollups.net_summary(net, ["year_month", "country"]),
+        rollups.net_summary(normalize.merchandise(net), PRODUCT_MONTH.split(", "), False),
+    ]
     parts = F.col("gross_positive_revenue") + F.col("cancellation_revenue")
     same = quality.relative_identity(parts.cast("double"), F.col("net_revenue").cast("double"))
     return reduce(
         DataFrame.unionByName,
-        [quality.violations(fn(spark, root), {f"{name}_components": same}) for name, fn in zip(COMPONENTS, frames)],
+        [quality.violations(frame, {f"{name}_components": same}) for name, frame in zip(COMPONENTS, frames)],
     )
 
 
@@ -496,7 +506,7 @@ def component_checks(spark, root) -> DataFrame:
     ),
 )
 def v08(spark, root):
-    return component_checks(spark, root)
+    return component_checks(stored_lines(spark, root))
 
 
 @query(
@@ -504,9 +514,9 @@ def v08(spark, root):
     "SELECT CAST(12 AS BIGINT) AS num_checks, CAST(0 AS BIGINT) AS num_failures, true AS all_passed",
 )
 def v26(spark, root):
-    names = ["check_name", "passed"]
+    names, lines = ["check_name", "passed"], stored_lines(spark, root)
     checks = reduce(
         DataFrame.unionByName,
-        [f(spark, root).select(*names) for f in (row_checks, grain_checks, component_checks)],
+        [f(lines).select(*names) for f in (row_checks, grain_checks, component_checks)],
     )
     return quality.roll_up(checks)

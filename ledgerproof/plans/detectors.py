@@ -590,10 +590,10 @@ def v19(spark, root):
 @query("v20_confusion_consistency", "SELECT unnest(['counts_add_up', 'threshold_reused', 'source_is_dev']) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail")
 def v20(spark, root):
     pairs, _ = det.paired_metrics(report(spark, root))
-    rows = wide_scores(spark, root).filter("split = 'test'").agg(F.count("*").alias("rows"))
+    rows = scores(spark, root).filter("split = 'test'").groupBy("baseline").agg(F.count("*").alias("rows"))
     t, d = F.col("test"), F.col("dev")
     return quality.violations(
-        pairs.crossJoin(rows),
+        pairs.join(rows, "baseline"),
         {
             "counts_add_up": t["tp"] + t["fp"] + t["tn"] + t["fn"] == F.col("rows"),
             "threshold_reused": t["threshold"] == d["threshold"],
