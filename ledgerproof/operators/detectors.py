@@ -424,3 +424,10 @@ def family_statistics(errors: DataFrame, values: Sequence[str]) -> DataFrame:
     for value in values:
         out = out.join(histogram_text(errors, ["error_family"], value), "error_family")
     return out
+
+
+def case_table(outcomes: DataFrame) -> DataFrame:
+    """Spans numbered under their question, with the question's span count. Rows stay
+    rows: a question with very many spans is not gathered in one place."""
+    counts = outcomes.groupBy("question_id").agg(F.count("*").alias("span_count"))
+    return running_totals(outcomes, [F.col("row_id")], ["question_id"], position="span_no").join(counts, "question_id")

@@ -21,16 +21,19 @@ def running_totals(
     partition_by: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     position: str = "position",
+    earlier_max: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Adds the 1-based position and inclusive running sums in a total order.
+    `earlier_max` adds the largest value of the rows before this one.
 
     The slices come from a range partitioning. It is sampled, so the slice number
     is stored with the rows: both readers below see the same one, also after an
     executor is lost. `order_by` must order the rows totally.
     """
-    sums = dict(sums or {})
+    sums, earlier_max = dict(sums or {}), dict(earlier_max or {})
     groups = list(partition_by)
-    inputs = {f"_in_{name}": c for name, c in sums.items()}
+    inputs = {f"_in_{name}": c for name, c in {**sums, **earlier_max}.items()}
+    fold = {f"_in_{name}": F.max if name in earlier_max else F.sum for name in {**sums, **earlier_max}}
     sliced = durable(
         df.withColumns(inputs)
         .repartitionByRange(*[F.col(g) for g in groups], *order_by)
@@ -38,43 +41,58 @@ def running_totals(
     )
     ahead = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy(*groups, "_slice").agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(f"_t{c}") for c in inputs]
+        F.count("*").alias("_n"), *[fold[c](c).alias(f"_t{c}") for c in inputs]
     )
     offsets = totals.select(
         *groups,
         "_slice",
         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n"),
-        *[F.coalesce(F.sum(f"_t{c}").over(ahead), F.lit(0)).alias(f"_t{c}") for c in inputs],
+        *[fold[c](f"_t{c}").over(ahead).alias(f"_t{c}") for c in inputs],
     )
     here = Window.partitionBy(*groups, "_slice").orderBy(*order_by)
-    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    upto, before = (here.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
     return (
         sliced.join(offsets, [*groups, "_slice"])
         .withColumn(position, (F.row_number().over(here) + F.col("_n")).cast("bigint"))
-        .withColumns({name: F.sum(f"_in_{name}").over(upto) + F.col(f"_t_in_{name}") for name in sums})
+        .withColumns(
+            {
+                **{n: F.sum(f"_in_{n}").over(upto) + F.coalesce(f"_t_in_{n}", F.lit(0)) for n in sums},
+                **{n: F.greatest(F.max(f"_in_{n}").over(before), f"_t_in_{n}") for n in earlier_max},
+            }
+        )
         .drop("_slice", "_n", *inputs, *[f"_t{c}" for c in inputs])
     )
 
 
+def _chunks(df: DataFrame, key: Sequence[str], position: str, value: str, fold, chunk: int):
+    """Rows with their chunk and the folded value of the chunks ahead. A chunk is a
+    function of the position alone, so one long document spreads over many tasks."""
+    keys = [*key, "_chunk"]
+    chunked = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    ahead = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = chunked.groupBy(*keys).agg(fold(value).alias("_v"))
+    offsets = totals.select(*keys, fold("_v").over(ahead).alias("_ahead"))
+    return chunked.join(offsets, keys), Window.partitionBy(*keys).orderBy(position)
+
+
 def running_offsets(
     df: DataFrame, key: Sequence[str], position: str, width: str, name: str, chunk: int = 4096
 ) -> DataFrame:
-    """Adds the sum of `width` over the rows before this one, per key.
+    """Adds the sum of `width` over the rows before this one, per key."""
+    joined, inside = _chunks(df, key, position, width, F.sum, chunk)
+    earlier = F.sum(width).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn(
+        name, F.coalesce(earlier, F.lit(0)) + F.coalesce("_ahead", F.lit(0))
+    ).drop("_chunk", "_ahead")
 
-    Positions are dense, so a chunk is a function of the position alone and one
-    long document spreads over many tasks.
-    """
-    keys = [*key, "_chunk"]
-    chunked = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
-    ahead = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.groupBy(*keys).agg(F.sum(width).alias("_width"))
-    offsets = totals.select(*keys, F.coalesce(F.sum("_width").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        chunked.join(offsets, keys)
-        .withColumn(name, F.coalesce(F.sum(width).over(inside), F.lit(0)) + F.col("_ahead"))
-        .drop("_chunk", "_ahead")
-    )
+
+def running_max(
+    df: DataFrame, key: Sequence[str], position: str, value: str, name: str, chunk: int = 4096
+) -> DataFrame:
+    """Adds the largest `value` up to and including this row, per key."""
+    joined, inside = _chunks(df, key, position, value, F.max, chunk)
+    upto = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.withColumn(name, F.greatest(upto, "_ahead")).drop("_chunk", "_ahead")
 
 
 def top_n(

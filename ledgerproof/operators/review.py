@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import exact_mean, ratio
@@ -135,13 +135,13 @@ def first_fact(facts: Column, field: Column) -> Column:
 def annotations_from_specs(specs: DataFrame, answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Span rows from (question_id, spec_ord, span_text, occurrence, gold_field, fact_type,
     label, reason_template, notes). A phrase or field that is not found sets `failure`."""
-    joined = specs.join(answers.select("question_id", "generated_text"), "question_id", "left").join(
+    numbered = running_totals(specs, [F.col("spec_ord")], ["question_id"], position="_no")
+    joined = numbered.join(answers.select("question_id", "generated_text"), "question_id", "left").join(
         questions.select("question_id", "gold_facts"), "question_id", "left")
     start = nth_occurrence(F.col("generated_text"), F.col("span_text"), F.col("occurrence"))
     found = joined.withColumns({"_start": start, "_fact": first_fact(F.col("gold_facts"), F.col("gold_field"))})
-    order = Window.partitionBy("question_id").orderBy("spec_ord")
     display = F.col("_fact.display_value")
-    return found.withColumn("_no", F.row_number().over(order)).select(
+    return found.select(
         F.concat_ws("_", F.lit("ann"), "question_id", F.lpad(F.col("_no").cast("string"), 3, "0")).alias("annotation_id"),
         "question_id", "span_text", F.col("_start").cast("bigint").alias("span_start_char"),
         (F.col("_start") + F.length("span_text")).cast("bigint").alias("span_end_char"), "fact_type", "label",

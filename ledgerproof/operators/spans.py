@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import exact_mean
-from ledgerproof.operators.ordering import running_offsets
+from ledgerproof.operators.ordering import running_max, running_offsets, running_totals
 
 # The markers token texts may carry.
 REPLACEMENT = "�"
@@ -25,26 +25,22 @@ def repair_byte_pairs(tokens: DataFrame, key: Sequence[str] = ("qid",)) -> DataF
     its prefix plus an approximation sign.
 
     Pairs form left to right inside a run of such tokens, so parity inside the run
-    decides. Only tokens that end in U+FFFD are windowed and joined back.
+    decides. Only tokens that end in U+FFFD take part; neighbours meet by position.
     """
     marked = tokens.filter(F.col("token_text").endswith(REPLACEMENT)).select(*key, "position", "token_text")
-    order = Window.partitionBy(*key).orderBy("position")
-    continues = (F.col("token_text") == REPLACEMENT) & (
-        F.col("position") == F.lag("position").over(order) + 1
-    )
-    runs = marked.withColumn("_continues", F.coalesce(continues, F.lit(False))).withColumn(
-        "_start",
-        F.max(F.when(~F.col("_continues"), F.col("position"))).over(
-            order.rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
+    lone = F.col("token_text") == REPLACEMENT
+    before = marked.select(*key, (F.col("position") + 1).alias("position"), F.lit(True).alias("_before"))
+    after = marked.filter(lone).select(*key, (F.col("position") - 1).alias("position"), F.lit(True).alias("_after"))
+    met = marked.join(before, [*key, "position"], "left").join(after, [*key, "position"], "left")
+    continues = lone & F.col("_before").isNotNull()
+    starts = met.withColumn("_own_start", F.when(~continues, F.col("position")))
+    runs = running_max(starts, key, "position", "_own_start", "_start")
     odd = F.pmod(F.col("position") - F.col("_start"), F.lit(2)) == 1
-    followed = F.coalesce(F.lead("_continues").over(order), F.lit(False))
     fixed = runs.select(
         *key,
         "position",
         F.when(odd, APPROX)
-        .when(followed, F.expr("substring(token_text, 1, length(token_text) - 1)"))
+        .when(F.col("_after").isNotNull(), F.expr("substring(token_text, 1, length(token_text) - 1)"))
         .otherwise(F.col("token_text"))
         .alias("_fixed"),
     )
@@ -211,11 +207,16 @@ def rebuilt(tokens: DataFrame, generations: DataFrame, chunk: int = 4096) -> Dat
 def greedy_tiling(spans: DataFrame, key: str = "qid") -> DataFrame:
     """Non-overlapping spans per document, first fit in (start, end) order.
 
-    The choice depends on order, so it is a fold over one document's sorted spans;
-    the fold keeps one cursor and the chosen spans.
+    A span that starts at or after every earlier end is always kept, whatever came
+    before it, so a document falls apart into islands of overlapping spans. The choice
+    inside an island depends on order: a fold over that island's sorted spans.
     """
+    order = [F.col("span_start_char"), F.col("span_end_char"), F.col("annotation_id")]
+    seen = running_totals(spans, order, [key], position="_p", earlier_max={"_end": F.col("span_end_char")})
+    opens = F.col("_end").isNull() | (F.col("span_start_char") >= F.col("_end"))
+    islands = running_max(seen.withColumn("_open", F.when(opens, F.col("_p"))), [key], "_p", "_open", "_island")
     item = F.struct("span_start_char", "span_end_char", "annotation_id")
-    ordered = spans.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    ordered = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(item)).alias("s"))
     kind = "array<struct<span_start_char:bigint,span_end_char:bigint,annotation_id:string>>"
     start = F.struct(F.lit(0).cast("bigint").alias("cursor"), F.array().cast(kind).alias("kept"))
 

@@ -511,13 +511,11 @@ def e17(spark, root):
 
 @query(
     "e18_case_table",
-    f"""WITH {SWEEP}, {OUTCOMES} SELECT question_id, count(*) AS span_count,
-    string_agg(concat_ws('|', row_id, fact_type, d1_outcome, d2_outcome, d4_outcome), '; ' ORDER BY row_id) AS spans FROM outcomes GROUP BY question_id""",
+    f"""WITH {SWEEP}, {OUTCOMES} SELECT question_id, count(*) OVER (PARTITION BY question_id) AS span_count, row_number() OVER (PARTITION BY question_id ORDER BY row_id) AS span_no,
+    row_id, fact_type, d1_outcome AS d1, d2_outcome AS d2, d4_outcome AS d4 FROM outcomes""",
 )
 def e18(spark, root):
-    item = F.struct("row_id", F.concat_ws("|", F.col("row_id").cast("string"), "fact_type", "d1", "d2", "d4").alias("t"))
-    cases = outcomes(spark, root).groupBy("question_id").agg(F.count("*").alias("span_count"), F.array_sort(F.collect_list(item)).alias("s"))
-    return cases.select("question_id", "span_count", F.array_join(F.transform("s", lambda x: x["t"]), "; ").alias("spans"))
+    return det.case_table(outcomes(spark, root)).select("question_id", "span_count", "span_no", "row_id", "fact_type", "d1", "d2", "d4")
 
 
 @query(
