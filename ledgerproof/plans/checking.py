@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import currency, money
 from ledgerproof.functions.tables import compact_rows, parse_table
-from ledgerproof.functions.text import match_key
 from ledgerproof.operators import checking, gold, prompts, spans
 from ledgerproof.operators.ordering import top_n
 from ledgerproof.plans import views

@@ -11,7 +11,6 @@ from ledgerproof.functions.numbers import money
 from ledgerproof.functions.text import month_label
 from ledgerproof.operators import gold, ordering, quality, rollups
 from ledgerproof.plans import views
-from ledgerproof.plans.base import plain
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import (
     COUNTRY_PAIRS, FIRST_MONTH, HOME_COUNTRY, LAST_MONTH, PAIR_FLOOR, PAIR_QUOTA, PARTIAL_MONTH, SUMMARIES,
@@ -419,7 +418,6 @@ def g08(spark, root):
     return gold.gold_fact_rows(questions(spark, root)).select(*FACT_COLUMNS)
 
 
-QUOTAS = {"country_comparison_month": PAIR_QUOTA}
 
 
 @query(

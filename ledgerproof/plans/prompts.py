@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.operators import gold, prompts, quality
 from ledgerproof.plans import views
-from ledgerproof.plans.gold import LABEL, NET2, QUESTIONS, questions
+from ledgerproof.plans.gold import NET2, QUESTIONS, questions
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import PARTIAL_MONTH, sql_currency, sql_fixed2
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.functions.text import LINE_BREAK, WS
+from ledgerproof.functions.text import WS
 from ledgerproof.operators import normalize, rollups
 from ledgerproof.session import durable
 
