@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerproof.llm.bpe import op1_byte_bpe
+from ledgerproof.llm.exact import OP5_SQL, op5_exact_dedup
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_exact_dedup)}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
