@@ -9,23 +9,50 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerproof.llm import bpe, common
+from ledgerproof.llm import bpe, contamination, exact, quality, simhash
+from ledgerproof.llm.common import table
 from ledgerproof.session import durable
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier scores at its threshold or more."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"), docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The best document of each group of equal normalised texts."""
+    return exact.without_duplicates(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of near fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a passage of a test item: the coverage limit is 0."""
+    return contamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), max_coverage=0.0)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the byte-level BPE ids of their whole texts and what these decode to."""
+    """The documents as token ids, with digests of the ids and of what they decode to."""
     vocabulary = bpe.broadcast_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encode(docs, vocabulary)
+    return bpe.tokenised(docs, vocabulary)
 
 
-STAGES = [("byte_bpe", token_ids)]
-#: Neither the votes of the classifier nor the merges can be said in SQL.
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmark_passages),
+    ("byte_bpe", token_ids),
+]
+#: Neither the votes of the classifier nor the merges can be said in SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

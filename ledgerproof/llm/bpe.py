@@ -231,15 +231,24 @@ def decode(docs: DataFrame, vocabulary: Broadcast, ids: str = "ids", decoded: st
     return docs.mapInArrow(run, schema)
 
 
+def tokenised(docs: DataFrame, vocabulary: Broadcast, keep_ids: bool = True) -> DataFrame:
+    """docs with token ids instead of texts, and n_tokens, ids_sha256 and decoded_sha256: their
+    number and the digests of the ids and of the bytes that they decode to. Names that docs
+    has already get underscores ahead."""
+    ids, decoded, n_tokens, ids_sha, decoded_sha = fresh(docs, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = decode(encode(docs, vocabulary, ids=ids).drop("text"), vocabulary, ids, decoded)
+    return coded.withColumns(
+        {
+            n_tokens: F.size(ids).cast("long"),
+            ids_sha: F.sha2(F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary"), 256),
+            decoded_sha: F.sha2(decoded, 256),
+        }
+    ).drop(decoded, *([] if keep_ids else [ids]))
+
+
 def round_trip_digests(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """Per document: the number of its tokens and digests of its ids and of what they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return tokenised(docs.select("doc_id", "text"), vocabulary, keep_ids=False)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
