@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from ledgerproof.llm.bpe import op1_byte_bpe
 from ledgerproof.llm.contamination import op6_decontamination
-from ledgerproof.llm.quality import op10_quality
 from ledgerproof.llm.exact import OP5_SQL, op5_exact_dedup
+from ledgerproof.llm.language import op2_language_id
+from ledgerproof.llm.quality import op10_quality
 from ledgerproof.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_exact_dedup, op6_decontamination, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op5_exact_dedup, op6_decontamination, op9_simhash, op10_quality)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
