@@ -6,9 +6,10 @@ from ledgerproof.llm.bpe import op1_byte_bpe
 from ledgerproof.llm.contamination import op6_decontamination
 from ledgerproof.llm.exact import OP5_SQL, op5_exact_dedup
 from ledgerproof.llm.language import op2_language_id
+from ledgerproof.llm.personal import op4_personal_data
 from ledgerproof.llm.quality import op10_quality
 from ledgerproof.llm.simhash import op9_simhash
 from ledgerproof.llm.substrings import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_substring_dedup, op5_exact_dedup, op6_decontamination, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_substring_dedup, op4_personal_data, op5_exact_dedup, op6_decontamination, op9_simhash, op10_quality)}
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
