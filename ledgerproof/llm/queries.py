@@ -11,6 +11,7 @@ from ledgerproof.llm.personal import op4_personal_data
 from ledgerproof.llm.quality import op10_quality
 from ledgerproof.llm.simhash import op9_simhash
 from ledgerproof.llm.substrings import op3_substring_dedup
+from ledgerproof.llm.token_counts import OP7_SQL, op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_substring_dedup, op4_personal_data, op5_exact_dedup, op6_decontamination, op8_line_dedup, op9_simhash, op10_quality)}
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_substring_dedup, op4_personal_data, op5_exact_dedup, op6_decontamination, op7_token_counts, op8_line_dedup, op9_simhash, op10_quality)}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_token_counts": OP7_SQL}
