@@ -68,18 +68,20 @@ def fixed2(c: Column) -> Column:
 
 
 def twelve_digits(c: Column) -> Column:
-    """Up to twelve decimals, without trailing zeros."""
-    text = F.format_string("%.12f", c)
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    """Twelve significant digits without trailing zeros, in scientific form below 0.0001
+    and from a million million up. A value that isn't finite stops the job."""
+    c = c.cast("double")
+    odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    text = F.format_string("%.12g", F.when(odd, F.raise_error(F.lit("not a finite number")).cast("double")).otherwise(c))
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^([^e]*)", 1), r"(\.\d*?)0+$", "$1")
+    whole = F.concat(F.regexp_replace(mantissa, r"\.$", ""), F.regexp_extract(text, "(e.*)?$", 1))
+    return F.when(c == 0, "0").otherwise(F.when(c.isNotNull(), whole))
 
 
 def exact_mean(c: Column, digits: int = 6) -> Column:
-    """Aggregate: the mean rounded half away from zero, from integer sums. It is the
-    same whatever order tasks finish in, also at rounding ties."""
-    scale = 10**digits
-    total = F.sum(F.round(c.cast("decimal(28,9)") * scale, 0).cast("bigint"))
-    n = F.count(c)
-    return F.try_divide(F.signum(total) * F.call_function("div", F.abs(total) * 2 + n, n * 2), F.lit(float(scale)))
+    """Aggregate: the mean, rounded once, half away from zero. Values are summed as decimals
+    of eighteen places, so it is the same whatever order tasks finish in."""
+    return F.round(F.try_divide(F.sum(c.cast("decimal(38,18)")), F.count(c).cast("decimal(20,0)")), digits).cast("double")
 
 
 def rounded(c: Column, digits: int = 6) -> Column:

@@ -178,14 +178,20 @@ def country_pairs(country_month: DataFrame, pairs: Sequence[tuple[str, str]], fl
     return joined.filter((F.abs("value_a") >= floor) | (F.abs("value_b") >= floor))
 
 
-def round_robin(candidates: DataFrame, group: str, order: str, quota: int) -> DataFrame:
-    """One candidate per group per round until the quota is met. `select_ord` counts
-    the picks; the quota bounds the rows of its window."""
+def round_robin(candidates: DataFrame, group: str, order: str, quota: int | None = None) -> DataFrame:
+    """One candidate per group per round, until the quota is met if there is one; too few
+    candidates for a quota stop the job. `select_ord` counts the picks."""
     rounds = candidates.withColumn(
         "round", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint")
     )
-    picked = rounds.orderBy("round", group).limit(quota)
-    return picked.withColumn("select_ord", F.row_number().over(Window.orderBy("round", group)).cast("bigint"))
+    if quota is None:
+        return running_totals(rounds, [F.col("round"), F.col(group), F.col(order)], position="select_ord")
+    # The quota bounds the rows of the window.
+    picked = rounds.orderBy("round", group).limit(quota).withColumn(
+        "select_ord", F.row_number().over(Window.orderBy("round", group)).cast("bigint"))
+    short = F.count(F.lit(1)).over(Window.partitionBy()) < quota
+    message = F.lit(f"fewer than {quota} candidates")
+    return picked.withColumn("select_ord", F.when(short, F.raise_error(message).cast("bigint")).otherwise(F.col("select_ord")))
 
 
 def country_comparison(selected: DataFrame) -> DataFrame:
@@ -367,7 +373,7 @@ def product_questions(product_month: DataFrame, partial_month: str, partial_note
     )
 
 
-def comparison_questions(country_month: DataFrame, pairs, floor: float, quota: int) -> DataFrame:
+def comparison_questions(country_month: DataFrame, pairs, floor: float, quota: int | None = None) -> DataFrame:
     c = F.col
     selected = round_robin(country_pairs(country_month, pairs, floor), "year_month", "pair_ord", quota)
     gold = country_comparison(selected)
@@ -525,11 +531,14 @@ def evidence_cells(questions: DataFrame) -> DataFrame:
     )
 
 
-def preview(questions: DataFrame, width: int = 600) -> DataFrame:
-    """Flat sample columns; long text cut, line breaks turned to spaces."""
+def preview(questions: DataFrame, width: int | None = 600) -> DataFrame:
+    """Flat sample columns; text cut at the width if there is one, line breaks turned to spaces."""
+
+    def flat(c: str) -> Column:
+        return F.regexp_replace(F.col(c) if width is None else F.substring(c, 1, width), "\n", " ").alias(c)
+
     return questions.select(
         "question_id", "split", "question_type", "difficulty",
-        F.regexp_replace(F.substring("question", 1, width), "\n", " ").alias("question"),
-        F.regexp_replace(F.substring("gold_short_answer", 1, width), "\n", " ").alias("gold_short_answer"),
+        flat("question"), flat("gold_short_answer"),
         F.col("evidence.source_file").alias("evidence_source"),
     )

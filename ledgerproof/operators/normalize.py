@@ -68,24 +68,27 @@ def flag_exact_duplicates(
 ) -> DataFrame:
     """True for every copy but the one with the smallest row id.
 
-    A window over the columns would put all copies of one row in one task. Here the
-    copies are pre-aggregated before the shuffle, and only groups that have copies
-    go back to the lines: small ones are broadcast at run time from their measured
-    size, large ones are joined with skewed partitions split.
+    A window over the columns would put all copies of one row in one task. Here a 64-bit
+    fingerprint finds the lines that may have copies; fingerprints are pre-aggregated
+    before the shuffle, so a hot row is one row of each map task. Only the candidates are
+    grouped by all columns, and only groups with copies go back to the lines.
     """
+    lines = lines.withColumn("_fingerprint", F.xxhash64(*columns))
+    repeated = lines.groupBy("_fingerprint").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fingerprint")
     copied = (
-        lines.groupBy(*columns)
+        lines.join(repeated, "_fingerprint", "left_semi")
+        .groupBy("_fingerprint", *columns)
         .agg(F.count("*").alias("_copies"), F.min(row_id).alias("_first"))
         .filter("_copies > 1")
-        .select(*[F.col(c).alias(f"_k_{c}") for c in columns], "_first")
+        .select(F.col("_fingerprint").alias("_k_fingerprint"), *[F.col(c).alias(f"_k_{c}") for c in columns], "_first")
     )
-    same = F.lit(True)
+    same = F.col("_fingerprint") == F.col("_k_fingerprint")
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return (
         lines.join(copied, same, "left")
         .withColumn("is_exact_duplicate", _flag(F.col(row_id) != F.col("_first")))
-        .drop("_first", *[f"_k_{c}" for c in columns])
+        .drop("_first", "_fingerprint", "_k_fingerprint", *[f"_k_{c}" for c in columns])
     )
 
 

@@ -235,8 +235,7 @@ def p06(spark, root):
 
 @query("w01_exact_duplicate_flag", lines_sql("lines", "row_id, is_exact_duplicate"))
 def w01(spark, root):
-    lines = normalize.normalize_lines(views.retail_raw(spark, root))
-    return normalize.flag_exact_duplicates(lines).select("row_id", "is_exact_duplicate")
+    return normalize.flag_exact_duplicates(views.typed_lines(spark, root)).select("row_id", "is_exact_duplicate")
 
 
 def subset_query(name: str, source: str, fn, where: str = "true") -> None:
@@ -258,7 +257,7 @@ def f05(spark, root):
     return normalize.excluded_lines(views.retail_lines(spark, root)).select("row_id", "exclusion_reason")
 
 
-PERIOD = f"year_month BETWEEN '{views.FIRST_MONTH}' AND '{views.LAST_MONTH}'"
+PERIOD = views.PERIOD
 
 
 @query(
@@ -267,7 +266,8 @@ PERIOD = f"year_month BETWEEN '{views.FIRST_MONTH}' AND '{views.LAST_MONTH}'"
 )
 def f06(spark, root):
     month = F.col("year_month")
-    in_period = views.net(spark, root).filter(month.between(views.FIRST_MONTH, views.LAST_MONTH))
+    ends = views.bounds(spark, root)
+    in_period = views.net(spark, root).filter(month.between(ends.first, ends.last))
     return plain(rollups.net_summary(in_period, ["year_month"]).select("year_month", "net_revenue"))
 
 
@@ -310,13 +310,12 @@ def a01(spark, root):
     max(invoice_date) AS last_invoice_datetime, count(DISTINCT invoice_date_only) AS transaction_days,
     count(*) AS line_count, count(DISTINCT invoice_no) AS invoice_count,
     {PERIOD} AS recommended_for_monthly_trend_questions,
-    CASE WHEN year_month = '{views.PARTIAL_MONTH}' THEN '{views.PARTIAL_NOTE}' ELSE '' END AS notes
+    CASE WHEN year_month {views.IS_PARTIAL} THEN (SELECT note FROM bounds) ELSE '' END AS notes
     FROM net GROUP BY year_month""",
 )
 def a02(spark, root):
-    return rollups.monthly_coverage(
-        views.net(spark, root), views.FIRST_MONTH, views.LAST_MONTH, views.PARTIAL_MONTH, views.PARTIAL_NOTE
-    )
+    ends = views.bounds(spark, root)
+    return rollups.monthly_coverage(views.net(spark, root), ends.first, ends.last, ends.partial, ends.note)
 
 
 query("a03_monthly_net", net_sql("net", "year_month"))(lambda s, r: plain(views.monthly_net(s, r)))
@@ -374,7 +373,7 @@ PROFILE = {
     f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{k}' AS metric, ({v}) AS value" for k, v in PROFILE.items()),
 )
 def a12(spark, root):
-    raw = views.retail_raw(spark, root)
+    raw = durable(views.retail_raw(spark, root))
     lines = normalize.add_quality_flags(normalize.normalize_lines(raw))
     return rollups.table_profile(raw, lines)
 

@@ -11,10 +11,11 @@ from ledgerproof.operators import checking, gold, prompts, spans
 from ledgerproof.operators.ordering import top_n
 from ledgerproof.plans import views
 from ledgerproof.plans.gold import GOLD, NET2, questions
-from ledgerproof.plans.prompts import EVIDENCE, NOTE
+from ledgerproof.plans.prompts import EVIDENCE, noted
 from ledgerproof.plans.register import query
 from ledgerproof.plans.spans import END, TOKEN, sql_tenth, trace_rows
-from ledgerproof.plans.views import PARTIAL_MONTH, sql_currency, sql_fixed2, sql_key
+from ledgerproof.plans.views import sql_currency, sql_fixed2, sql_key
+from ledgerproof.session import stored_once
 
 # ------------------------------------------------------------------ answers to facts
 
@@ -158,7 +159,7 @@ matches AS (SELECT question_id, fact_ord, string_agg(concat('row_', row_pos, ':'
 @query("j05_evidence_match", f"WITH {MATCHES} SELECT question_id, fact_ord, matches FROM matches")
 def j05(spark, root):
     asked = questions(spark, root)
-    cells = evidence_cells(prompts.prompts(asked, PARTIAL_MONTH, NOTE))
+    cells = evidence_cells(prompts.prompts(asked, *noted(spark, root)))
     spans_ = gold.gold_fact_rows(asked).select("question_id", "fact_ord", "fact_type", F.col("display_value").alias("span_text"))
     found = checking.evidence_matches(spans_, cells, ["question_id", "fact_ord"])
     return found.select("question_id", "fact_ord", F.array_join("matches", "; ").alias("matches"))
@@ -178,7 +179,7 @@ VERDICT_SQL = "CASE WHEN matched THEN 'supported' WHEN c.fact_type = 'month' THE
 )
 def k04(spark, root):
     asked = questions(spark, root)
-    cells = evidence_cells(prompts.prompts(asked, PARTIAL_MONTH, NOTE))
+    cells = evidence_cells(prompts.prompts(asked, *noted(spark, root)))
     rows = checking.verdict_rows(fact_spans(asked), cells, ["question_id", "fact_ord"])
     return rows.select(
         "question_id", "fact_ord", "verdict", "claim_text", "gold_contains_span", F.array_join("matches", "; ").alias("matches"),
@@ -261,6 +262,7 @@ EVAL = [
 ]
 
 
+@stored_once
 def lists(spark, root, metric: str = "gross_positive_revenue") -> DataFrame:
     return list_answers(views.product_month_net(spark, root), metric)
 

@@ -14,6 +14,7 @@ from ledgerproof.plans import views
 from ledgerproof.plans.register import query
 from ledgerproof.plans.spans import FACT_TYPES, FEATURES, SQL_FACTS, annotations, features, pick
 from ledgerproof.plans.views import sql_collapse, sql_mean
+from ledgerproof.session import stored_once
 
 FIELDS = ["d1", "d2", "d3", "d4", "d5"]
 QUESTION_KINDS = ["top3_products_month", "top_country_month", "return_impact_month"]
@@ -264,6 +265,7 @@ PAIRED = """paired AS (SELECT family, baseline, t.threshold, d.f1 AS dev_f1, t.a
   FROM (SELECT * FROM report WHERE evaluated_split = 'dev') d JOIN (SELECT * FROM report WHERE evaluated_split = 'test') t USING (family, baseline))"""
 
 
+@stored_once
 def compared(spark, root) -> DataFrame:
     group = det.score_group(
         F.col("family"), F.col("baseline"), {"probability_mass_control": ["d4"]}, "simple_uncertainty", "energy_other")

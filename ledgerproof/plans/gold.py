@@ -13,12 +13,9 @@ from ledgerproof.operators import gold, ordering, quality, rollups
 from ledgerproof.plans import views
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import (
-    COUNTRY_PAIRS, FIRST_MONTH, HOME_COUNTRY, LAST_MONTH, PAIR_FLOOR, PAIR_QUOTA, PARTIAL_MONTH, SUMMARIES,
-    sql_currency, sql_fixed2, sql_month_label,
+    COUNTRY_PAIRS, HOME_COUNTRY, IS_PARTIAL, PAIR_FLOOR, PAIR_QUOTA, PERIOD, SUMMARIES, Bounds, bounds, sql_currency, sql_fixed2, sql_month_label,
 )
 
-PARTIAL_TEXT = " through August 1"
-PERIOD = f"year_month BETWEEN '{FIRST_MONTH}' AND '{LAST_MONTH}'"
 
 
 def pct(c: str) -> str:
@@ -47,8 +44,7 @@ candidates AS (SELECT a.year_month, pair_ord, country_a, country_b, round(a.net_
    JOIN country_month b ON b.country = country_b AND b.year_month = a.year_month
    WHERE a.{PERIOD} AND (abs(round(a.net_revenue, 2)) >= {PAIR_FLOOR} OR abs(round(b.net_revenue, 2)) >= {PAIR_FLOOR})),
 rounds AS (SELECT *, row_number() OVER (PARTITION BY year_month ORDER BY pair_ord) AS round FROM candidates),
-picked AS (SELECT *, row_number() OVER (ORDER BY round, year_month) AS select_ord FROM rounds
-   ORDER BY round, year_month LIMIT {PAIR_QUOTA}),
+picked AS (SELECT *, row_number() OVER (ORDER BY round, year_month) AS select_ord FROM rounds),
 compared AS (SELECT select_ord, year_month, {sql_month_label('year_month')} AS month_label, country_a, country_b,
    value_a, value_b, CASE WHEN value_a >= value_b THEN country_a ELSE country_b END AS higher_country,
    CASE WHEN value_a >= value_b THEN country_b ELSE country_a END AS lower_country,
@@ -71,11 +67,11 @@ share AS (SELECT year_month, top_n, num, den, round(CAST(num AS DOUBLE) / CAST(d
 impact AS (SELECT year_month, {sql_month_label('year_month')} AS month_label, round(gross_positive_revenue, 2) AS gross,
    round(cancellation_revenue, 2) AS cancelled, abs(round(cancellation_revenue, 2)) AS reduction,
    round(CAST(abs(round(cancellation_revenue, 2)) AS DOUBLE) / CAST(round(gross_positive_revenue, 2) AS DOUBLE) * 100, 2) AS rate,
-   round(net_revenue, 2) AS net_value FROM monthly_net WHERE year_month <= '{LAST_MONTH}')
+   round(net_revenue, 2) AS net_value FROM monthly_net WHERE year_month <= (SELECT last_month FROM bounds))
 """
 
 LABEL = sql_month_label("year_month")
-PM_LABEL = f"concat({LABEL}, CASE WHEN year_month = '{PARTIAL_MONTH}' THEN '{PARTIAL_TEXT}' ELSE '' END)"
+PM_LABEL = f"concat({LABEL}, CASE WHEN year_month {IS_PARTIAL} THEN (SELECT through FROM bounds) ELSE '' END)"
 NET2 = "round(net_revenue, 2)"
 
 
@@ -178,29 +174,29 @@ facts AS (SELECT question_id, question_type, split, fact_ord, f.* FROM (
 # ---------------------------------------------------------------- shared DataFrames
 
 
-def period(df: DataFrame) -> DataFrame:
-    return gold.in_period(df, FIRST_MONTH, LAST_MONTH)
+def period(df: DataFrame, ends: Bounds) -> DataFrame:
+    return gold.in_period(df, ends.first, ends.last)
 
 
 def questions(spark, root) -> DataFrame:
     """The numbered question table over all seven builders."""
-    return question_table(*views.summaries(spark, root))
+    return question_table(bounds(spark, root), *views.summaries(spark, root))
 
 
-def question_table(countries: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
-    inner_countries, inner_products = period(countries), period(products)
+def question_table(ends: Bounds, countries: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
+    inner_countries, inner_products = period(countries, ends), period(products, ends)
     return gold.assign_ids(
         gold.union_all(
             [
                 gold.country_questions(inner_countries, [HOME_COUNTRY]),
                 gold.country_questions(inner_countries, []),
-                gold.product_questions(products, PARTIAL_MONTH, PARTIAL_TEXT),
-                gold.comparison_questions(inner_countries, COUNTRY_PAIRS, PAIR_FLOOR, PAIR_QUOTA),
-                gold.change_questions(period(months)),
-                gold.top3_questions(products, PARTIAL_MONTH, PARTIAL_TEXT),
+                gold.product_questions(products, ends.partial, ends.through),
+                gold.comparison_questions(inner_countries, COUNTRY_PAIRS, PAIR_FLOOR),
+                gold.change_questions(period(months, ends)),
+                gold.top3_questions(products, ends.partial, ends.through),
                 gold.share_questions(inner_products, 1),
                 gold.share_questions(inner_products, 3),
-                gold.return_questions(gold.in_period(months, None, LAST_MONTH)),
+                gold.return_questions(gold.in_period(months, None, ends.last)),
             ]
         )
     )
@@ -215,7 +211,7 @@ def question_table(countries: DataFrame, products: DataFrame, months: DataFrame)
     UNION ALL SELECT year_month, country, {num(NET2)}, 'all countries' FROM cm_all WHERE rank = 1""",
 )
 def w02(spark, root):
-    countries = period(views.country_month_net(spark, root))
+    countries = period(views.country_month_net(spark, root), bounds(spark, root))
     both = [gold.top_country(countries, x) for x in ([HOME_COUNTRY], [])]
     return gold.union_all(both).select("year_month", "country", "net_revenue", "scope")
 
@@ -245,15 +241,15 @@ CHANGE_SQL = f"""WITH {GOLD} SELECT previous_month, current_month, {num('p')} AS
 
 @query("w05_consecutive_months", f"WITH {GOLD} SELECT previous_month, current_month FROM change")
 def w05(spark, root):
-    return gold.monthly_change(period(views.monthly_net(spark, root))).select("previous_month", "current_month")
+    return gold.monthly_change(period(views.monthly_net(spark, root), bounds(spark, root))).select("previous_month", "current_month")
 
 
 @query(
     "w06_round_robin_quota",
-    f"WITH {GOLD} SELECT select_ord, round, year_month, country_a, country_b FROM picked",
+    f"WITH {GOLD} SELECT select_ord, round, year_month, country_a, country_b FROM picked WHERE select_ord <= {PAIR_QUOTA}",
 )
 def w06(spark, root):
-    candidates = gold.country_pairs(period(views.country_month_net(spark, root)), COUNTRY_PAIRS, PAIR_FLOOR)
+    candidates = gold.country_pairs(period(views.country_month_net(spark, root), bounds(spark, root)), COUNTRY_PAIRS, PAIR_FLOOR)
     picked = gold.round_robin(candidates, "year_month", "pair_ord", PAIR_QUOTA)
     return picked.select("select_ord", "round", "year_month", "country_a", "country_b")
 
@@ -279,7 +275,7 @@ def w07(spark, root):
     UNION ALL SELECT year_month, country, {num(NET2)}, rank FROM cm_pool""",
 )
 def u01(spark, root):
-    rows = gold.top_country_evidence(period(views.country_month_net(spark, root)), [HOME_COUNTRY])
+    rows = gold.top_country_evidence(period(views.country_month_net(spark, root), bounds(spark, root)), [HOME_COUNTRY])
     return rows.select("year_month", "country", money(F.col("net_revenue")).alias("net_revenue"), "rank")
 
 
@@ -294,8 +290,8 @@ def u01(spark, root):
       PARTITION BY select_ord, country ORDER BY part, net_revenue DESC) AS rn FROM parts) WHERE rn = 1""",
 )
 def u02(spark, root):
-    countries = period(views.country_month_net(spark, root))
-    picked = gold.round_robin(gold.country_pairs(countries, COUNTRY_PAIRS, PAIR_FLOOR), "year_month", "pair_ord", PAIR_QUOTA)
+    countries = period(views.country_month_net(spark, root), bounds(spark, root))
+    picked = gold.round_robin(gold.country_pairs(countries, COUNTRY_PAIRS, PAIR_FLOOR), "year_month", "pair_ord")
     rows = gold.comparison_evidence(picked, countries)
     return rows.select("select_ord", "country", "part", money(F.col("net_revenue")).alias("net_revenue"))
 
@@ -323,7 +319,7 @@ def j07(spark, root):
 
 @query("f08_minimum_size_pairs", f"WITH {GOLD} {PAIR_SQL} FROM candidates")
 def f08(spark, root):
-    return pair_columns(gold.country_pairs(period(views.country_month_net(spark, root)), COUNTRY_PAIRS, PAIR_FLOOR))
+    return pair_columns(gold.country_pairs(period(views.country_month_net(spark, root), bounds(spark, root)), COUNTRY_PAIRS, PAIR_FLOOR))
 
 
 @query(
@@ -344,7 +340,7 @@ def j13(spark, root):
     f"""WITH {QUESTIONS} SELECT question, gold_short_answer, difficulty FROM questions WHERE question_type = 'top_country_month'""",
 )
 def g01(spark, root):
-    countries = period(views.country_month_net(spark, root))
+    countries = period(views.country_month_net(spark, root), bounds(spark, root))
     both = [gold.country_questions(countries, x) for x in ([HOME_COUNTRY], [])]
     return gold.union_all(both).select("question", "gold_short_answer", "difficulty")
 
@@ -352,11 +348,11 @@ def g01(spark, root):
 @query(
     "g02_top_product_month",
     f"""WITH {GOLD} SELECT year_month, {LABEL} AS month_label,
-    CASE WHEN year_month = '{PARTIAL_MONTH}' THEN '{PARTIAL_TEXT}' ELSE '' END AS scope_note, stock_code, description,
+    CASE WHEN year_month {IS_PARTIAL} THEN (SELECT through FROM bounds) ELSE '' END AS scope_note, stock_code, description,
     {num(NET2)} AS merchandise_net_revenue FROM pm_all WHERE rank = 1""",
 )
 def g02(spark, root):
-    return gold.top_product(views.product_month_net(spark, root), PARTIAL_MONTH, PARTIAL_TEXT)
+    return gold.top_product(views.product_month_net(spark, root), bounds(spark, root).partial, bounds(spark, root).through)
 
 
 @query(
@@ -366,14 +362,14 @@ def g02(spark, root):
     {num('delta')} AS revenue_delta FROM compared""",
 )
 def g03(spark, root):
-    countries = period(views.country_month_net(spark, root))
-    picked = gold.round_robin(gold.country_pairs(countries, COUNTRY_PAIRS, PAIR_FLOOR), "year_month", "pair_ord", PAIR_QUOTA)
+    countries = period(views.country_month_net(spark, root), bounds(spark, root))
+    picked = gold.round_robin(gold.country_pairs(countries, COUNTRY_PAIRS, PAIR_FLOOR), "year_month", "pair_ord")
     return gold.country_comparison(picked)
 
 
 @query("g04_monthly_revenue_change", CHANGE_SQL)
 def g04(spark, root):
-    return gold.monthly_change(period(views.monthly_net(spark, root)))
+    return gold.monthly_change(period(views.monthly_net(spark, root), bounds(spark, root)))
 
 
 @query(
@@ -383,7 +379,7 @@ def g04(spark, root):
 )
 def g05(spark, root):
     ranked = gold.ranked_products(views.product_month_net(spark, root), 3)
-    note = F.when(F.col("year_month") == PARTIAL_MONTH, PARTIAL_TEXT).otherwise("")
+    note = F.when(F.col("year_month") == bounds(spark, root).partial, bounds(spark, root).through).otherwise("")
     return ranked.select(
         "year_month", F.concat(month_label(F.col("year_month")), note).alias("month_label"), F.inline("top_products")
     )
@@ -395,7 +391,7 @@ def g05(spark, root):
     {num('num')} AS numerator_merchandise_net_revenue, {num('den')} AS total_merchandise_net_revenue, share_percent FROM share""",
 )
 def g06(spark, root):
-    products = period(views.product_month_net(spark, root))
+    products = period(views.product_month_net(spark, root), bounds(spark, root))
     return gold.union_all([gold.revenue_share(products, n) for n in (1, 3)]).drop("top_products")
 
 
@@ -406,7 +402,7 @@ def g06(spark, root):
     {num('net_value')} AS net_revenue FROM impact""",
 )
 def g07(spark, root):
-    return gold.return_impact(gold.in_period(views.monthly_net(spark, root), None, LAST_MONTH))
+    return gold.return_impact(gold.in_period(views.monthly_net(spark, root), None, bounds(spark, root).last))
 
 
 FACT_COLUMNS = ["question_id", "fact_ord", "field", "fact_type", "str_value", "num_value", "display_value",
@@ -425,7 +421,7 @@ def g08(spark, root):
     f"WITH {QUESTIONS} SELECT question_id, question_type, difficulty, split, question, gold_short_answer, evidence_source FROM questions",
 )
 def g09(spark, root):
-    return gold.preview(questions(spark, root), 2000)
+    return gold.preview(questions(spark, root), None)
 
 
 @query(
@@ -514,7 +510,7 @@ def v04(spark, root):
 def recomputed(spark, root) -> DataFrame:
     """The published answers against answers recomputed from the line level."""
     countries, products, months = views.summaries(spark, root)
-    stored = gold.gold_fact_rows(question_table(countries, products, months))
+    stored = gold.gold_fact_rows(question_table(bounds(spark, root), countries, products, months))
     amounts = stored.filter("fact_type = 'currency_amount'")
     keyed = amounts.join(stored.filter("fact_type = 'month' AND field IN ('year_month', 'current_month')").select(
         "question_id", F.col("str_value").alias("month")), "question_id").select(
@@ -525,7 +521,7 @@ def recomputed(spark, root) -> DataFrame:
         ("return_impact_month", "gross_positive_revenue", months.select("year_month", F.col("gross_positive_revenue").alias("v"))),
         ("monthly_revenue_change", "current_net_revenue", months.select("year_month", F.col("net_revenue").alias("v"))),
         ("product_revenue_share_month", "total_merchandise_net_revenue",
-         period(products).groupBy("year_month").agg(F.sum("net_revenue").alias("v"))),
+         period(products, bounds(spark, root)).groupBy("year_month").agg(F.sum("net_revenue").alias("v"))),
     ]
     expected = gold.union_all(
         [f.select(F.lit(t).alias("question_type"), F.lit(n).alias("field"), F.col("year_month").alias("month"),
@@ -556,23 +552,23 @@ def v10(spark, root):
     expected AS (SELECT 'top_country_month' AS question_type, 2 * n AS expected FROM months
       UNION ALL SELECT 'monthly_revenue_change', n - 1 FROM months
       UNION ALL SELECT 'product_revenue_share_month', 2 * n FROM months
-      UNION ALL SELECT 'country_comparison_month', {PAIR_QUOTA})
+      UNION ALL SELECT 'country_comparison_month', (SELECT count(*) FROM candidates)
+      UNION ALL SELECT 'top_product_month', (SELECT count(DISTINCT year_month) FROM product_month)
+      UNION ALL SELECT 'top3_products_month', (SELECT count(DISTINCT year_month) FROM product_month)
+      UNION ALL SELECT 'return_impact_month', (SELECT count(*) FROM impact))
     SELECT question_type, coalesce(actual, 0) AS actual, CAST(coalesce(expected, 0) AS BIGINT) AS expected,
       coalesce(actual, 0) = coalesce(expected, 0) AS passed
     FROM (SELECT question_type, count(*) AS actual FROM questions GROUP BY 1) FULL JOIN expected USING (question_type)""",
 )
 def v11(spark, root):
-    n = period(views.net(spark, root)).agg(F.countDistinct("year_month").alias("n"))
-    rules = F.array(
-        F.struct(F.lit("top_country_month").alias("question_type"), (2 * F.col("n")).alias("expected")),
-        *[
-            F.struct(F.lit(t).alias("question_type"), c.alias("expected"))
-            for t, c in [
-                ("monthly_revenue_change", F.col("n") - 1),
-                ("product_revenue_share_month", 2 * F.col("n")),
-                ("country_comparison_month", F.lit(PAIR_QUOTA).cast("bigint")),
-            ]
-        ],
-    )
-    expected = n.select(F.inline(rules))
-    return quality.expected_counts(questions(spark, root), "question_type", expected)
+    ends = bounds(spark, root)
+    countries, products, months = views.summaries(spark, root)
+    inner = period(months, ends).count()
+    traded = products.select("year_month").distinct().count()
+    pairs = gold.country_pairs(period(countries, ends), COUNTRY_PAIRS, PAIR_FLOOR).count()
+    expected = {
+        "top_country_month": 2 * inner, "monthly_revenue_change": inner - 1, "product_revenue_share_month": 2 * inner, "country_comparison_month": pairs,
+        "top_product_month": traded, "top3_products_month": traded, "return_impact_month": gold.in_period(months, None, ends.last).count(),
+    }
+    rows = spark.createDataFrame(list(expected.items()), "question_type string, expected bigint")
+    return quality.expected_counts(question_table(ends, countries, products, months), "question_type", rows)

@@ -8,9 +8,8 @@ from ledgerproof.operators import gold, prompts, quality
 from ledgerproof.plans import views
 from ledgerproof.plans.gold import NET2, QUESTIONS, questions
 from ledgerproof.plans.register import query
-from ledgerproof.plans.views import PARTIAL_MONTH, sql_currency, sql_fixed2
+from ledgerproof.plans.views import bounds, sql_currency, sql_fixed2
 
-NOTE = "August 2001 evidence is partial and covers data through August 1 only."
 
 
 def q(text: str) -> str:
@@ -63,14 +62,19 @@ def user_sql(table: str, tail: str) -> str:
     {q(chr(10) * 2 + 'Scope notes:' + chr(10))},
     coalesce(nullif(concat_ws(chr(10),
       CASE WHEN question_type = 'top_country_month' AND ord LIKE '0|%' THEN '- Exclude these countries when selecting the answer: {views.HOME_COUNTRY}.' END,
-      CASE WHEN question_type NOT IN ('monthly_revenue_change', 'country_comparison_month') AND right(ord, 7) = '{PARTIAL_MONTH}' THEN {q('- ' + NOTE)} END,
+      CASE WHEN question_type NOT IN ('monthly_revenue_change', 'country_comparison_month') AND right(ord, 7) {views.IS_PARTIAL} THEN concat('- ', (SELECT prompt FROM bounds)) END,
       CASE WHEN question_type = 'return_impact_month' THEN {q(prompts.RETURN_NOTE)} END,
       CASE WHEN question_type = 'monthly_revenue_change' THEN {q(prompts.CHANGE_NOTE)} END), ''), {q(prompts.NO_NOTE)}),
     {q(chr(10) * 2 + 'Evidence table:' + chr(10))}, {table}, {q(chr(10) * 2 + tail)})"""
 
 
+def noted(spark, root) -> tuple[str, str]:
+    """The partial month and the note about it."""
+    return bounds(spark, root).partial, bounds(spark, root).prompt
+
+
 def made(spark, root):
-    return prompts.prompts(questions(spark, root), PARTIAL_MONTH, NOTE)
+    return prompts.prompts(questions(spark, root), *noted(spark, root))
 
 
 POLICY_SQL = f"""CASE WHEN {PRODUCT_IN} THEN 'deterministic_hash_by_question_and_product'
@@ -93,7 +97,7 @@ def w08(spark, root):
     f"WITH {EVIDENCE} SELECT question_id, sorted AS evidence_table FROM questions JOIN tables USING (question_id) WHERE question_type = 'top3_products_month'",
 )
 def w09(spark, root):
-    made = prompts.table_contract_prompts(questions(spark, root), PARTIAL_MONTH, NOTE, control=True)
+    made = prompts.table_contract_prompts(questions(spark, root), *noted(spark, root), control=True)
     return made.select("question_id", F.col("evidence_table_markdown").alias("evidence_table"))
 
 
@@ -136,7 +140,7 @@ def g12(spark, root):
     row = lambda x: F.concat_ws("|", x["rank"].cast("string"), x["stock_code"], x["product_name"], x["net_revenue_gbp"])
     return gold.union_all(
         [
-            prompts.table_contract_prompts(asked, PARTIAL_MONTH, NOTE, control).select(
+            prompts.table_contract_prompts(asked, *noted(spark, root), control).select(
                 "prompt_id", "user_prompt", F.array_join(F.transform("expected_output_rows", row), "\n").alias("expected_rows")
             )
             for control in (False, True)

@@ -11,10 +11,10 @@ from ledgerproof.plans import views
 from ledgerproof.plans.checking import ANSWERS, answers, reviewed
 from ledgerproof.plans.detectors import SWEEP, errors, wide_scores
 from ledgerproof.plans.gold import questions
-from ledgerproof.plans.prompts import NOTE, POLICY_SQL
+from ledgerproof.plans.prompts import POLICY_SQL, noted
 from ledgerproof.plans.register import query
 from ledgerproof.plans.spans import TOKENS, annotations, pick
-from ledgerproof.plans.views import PARTIAL_MONTH, sql_mean
+from ledgerproof.plans.views import sql_mean
 
 TOKEN_LIMIT = 40
 
@@ -81,8 +81,8 @@ queued AS (SELECT *, row_number() OVER (ORDER BY queue_phase, CAST(string_split(
     "WHEN question_type IN ('top_country_month', 'country_comparison_month') THEN 'alphabetical_by_country'\n  WHEN question_type =", "WHEN q.question_type IN ('top_country_month', 'country_comparison_month') THEN 'alphabetical_by_country'\n  WHEN q.question_type =")
 
 
-def review_of(asked: DataFrame) -> DataFrame:
-    made = prompts.prompts(asked, PARTIAL_MONTH, NOTE)
+def review_of(asked: DataFrame, partial: tuple[str, str]) -> DataFrame:
+    made = prompts.prompts(asked, *partial)
     words = F.size(F.regexp_extract_all("generated_text", F.lit("([^ ]+)"), F.lit(1))).cast("bigint")
     return review.review_table(reviewed(asked).withColumn("generated_token_count", words), made, TOKEN_LIMIT)
 
@@ -92,7 +92,7 @@ R1 = ["question_id", "prompt_id", "row_order_policy", "auto_status", "annotation
 
 @query("r01_review_table", f"WITH {REVIEW} SELECT {', '.join(R1)}, tokens AS generated_token_count FROM review")
 def r01(spark, root):
-    return review_of(questions(spark, root)).select(*R1, "generated_token_count")
+    return review_of(questions(spark, root), noted(spark, root)).select(*R1, "generated_token_count")
 
 
 TEMPLATE = """concat('{"annotation_id":"ann_', question_id, '_001","confidence":"","fact_type":"","label":"","notes":"","prompt_id":"', prompt_id, '","question_id":"', question_id,
@@ -104,7 +104,7 @@ TEMPLATE = """concat('{"annotation_id":"ann_', question_id, '_001","confidence":
     f"WITH {REVIEW} SELECT queue_rank, queue_phase, question_id, queue_phase = 'phase_1_heldout_high' AS is_initial_batch, {TEMPLATE} AS annotation_record_template_json FROM queued",
 )
 def r02(spark, root):
-    queue = review.annotation_queue(review_of(questions(spark, root)))
+    queue = review.annotation_queue(review_of(questions(spark, root), noted(spark, root)))
     return queue.select("queue_rank", "queue_phase", "question_id", "is_initial_batch", "annotation_record_template_json")
 
 
@@ -139,7 +139,7 @@ COUNTED = ["auto_status", "annotation_priority", "annotation_batch"]
     f"WITH {REVIEW} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM review GROUP BY {c}" for c in COUNTED),
 )
 def a33(spark, root):
-    return review.column_counts(review_of(questions(spark, root)), COUNTED)
+    return review.column_counts(review_of(questions(spark, root), noted(spark, root)), COUNTED)
 
 
 @query(
@@ -434,7 +434,7 @@ V24 = ["queue_unique_question", "queue_unique_rank", "queue_review_left", "queue
 
 @query("v24_tables_agree", f"SELECT unnest({V24}) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail")
 def v24(spark, root):
-    table = review_of(questions(spark, root))
+    table = review_of(questions(spark, root), noted(spark, root))
     queue = review.annotation_queue(table)
     c = F.col
     differing = quality.field_differences(queue, table, ["question_id"], ["split", "auto_status", "annotation_priority"])

@@ -11,6 +11,7 @@ from ledgerproof.operators import quality, spans, token_scores
 from ledgerproof.operators.ordering import running_offsets
 from ledgerproof.plans import views
 from ledgerproof.plans.register import query
+from ledgerproof.session import stored_once
 
 # Token and segment patterns: each cuts a text into pieces without a gap.
 TOKEN = r" \x{fffd}|\x{fffd}|<\|[a-z_]+\|>|[ \t\r\n]+|[^ \t\r\n<\x{fffd}]+|<"
@@ -29,20 +30,36 @@ def generations(spark, root) -> DataFrame:
 
 def traces(spark, root) -> DataFrame:
     """Token traces with byte-fallback pairs, an end marker and derived scores."""
+    return score_rows(cut_documents(spark, root))
+
+
+@stored_once
+def cut_documents(spark, root) -> DataFrame:
+    """The token texts of all documents: the one place that cuts them."""
     raw = F.concat(F.replace("text", F.lit(" de "), F.lit(" �� ")), F.lit(END))
-    return trace_rows(generations(spark, root).select("qid", "lang", raw.alias("raw")))
+    return cut(generations(spark, root).select("qid", "lang", raw.alias("raw")))
 
 
 def trace_rows(texts: DataFrame) -> DataFrame:
     """(qid, lang, raw) -> one row per token with scores derived from it."""
-    tokens = texts.select(
+    return score_rows(cut(texts))
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    return texts.select(
         "qid", "lang", F.posexplode(F.regexp_extract_all("raw", F.lit(f"({TOKEN})"), F.lit(1))).alias("position", "token_text")
     )
+
+
+def score_rows(tokens: DataFrame) -> DataFrame:
     n, p = F.length("token_text"), F.col("position")
 
     def tenth(c):
         return (c.cast("decimal(18,0)") / 10).cast("decimal(18,6)")
 
+    def small(c):
+        return (c.cast("decimal(18,0)") * F.expr("0.000000137BD")).cast("decimal(18,9)")
+
     has_energy = (F.col("lang") != "fr") | (p % 97 != 0)
     delta = tenth(p * 3 % 17 - 8)
     energy = {
@@ -51,8 +68,8 @@ def trace_rows(texts: DataFrame) -> DataFrame:
         "spilled_energy_abs_delta": F.abs(delta),
         "token_energy": tenth(-n),
         "marginal_energy": tenth(-(p % 5)),
-        "spilled_probability_mass_after_top1": tenth(p % 4),
-        "spilled_probability_mass_after_top2": tenth(p % 3),
+        "spilled_probability_mass_after_top1": small(p % 4),
+        "spilled_probability_mass_after_top2": small(p % 3),
     }
     return tokens.withColumns(
         {
@@ -77,13 +94,17 @@ def pick(values, index):
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
-def annotations(spark, root) -> DataFrame:
-    """Every sentence-like segment of every document as a labelled span."""
-    pieces = generations(spark, root).select(
+@stored_once
+def segments(spark, root) -> DataFrame:
+    return generations(spark, root).select(
         "qid",
         F.posexplode(F.regexp_extract_all("generated_text", F.lit(f"({SEGMENT})"), F.lit(1))).alias("pos", "span_text"),
     ).withColumn("width", F.length("span_text"))
-    placed = running_offsets(pieces, ["qid"], "pos", "width", "span_start_char")
+
+
+def annotations(spark, root) -> DataFrame:
+    """Every sentence-like segment of every document as a labelled span."""
+    placed = running_offsets(segments(spark, root), ["qid"], "pos", "width", "span_start_char")
     return placed.filter(~F.rlike("span_text", F.lit(r"^[.\n]")) & (F.trim("span_text") != "")).select(
         F.concat_ws("_", F.lit("ann"), "qid", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("annotation_id"),
         "qid",
@@ -105,8 +126,8 @@ ENERGY_SQL = {
     "spilled_energy_abs_delta": f"abs({sql_tenth('position * 3 % 17 - 8')})",
     "token_energy": sql_tenth("-n"),
     "marginal_energy": sql_tenth("-(position % 5)"),
-    "spilled_probability_mass_after_top1": sql_tenth("position % 4"),
-    "spilled_probability_mass_after_top2": sql_tenth("position % 3"),
+    "spilled_probability_mass_after_top1": "CAST((position % 4) * 0.000000137 AS DECIMAL(18,9))",
+    "spilled_probability_mass_after_top2": "CAST((position % 3) * 0.000000137 AS DECIMAL(18,9))",
 }
 SQL_LABELS = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 SQL_FACTS = "[" + ", ".join(f"'{x}'" for x in FACT_TYPES) + "]"

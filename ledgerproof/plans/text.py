@@ -146,19 +146,20 @@ def t10(spark, root):
     )
 
 
-TWELVE = "regexp_replace(regexp_replace(format('{:.12f}', c_acctbal / 7), '0+$', ''), '\\.$', '')"
+# The balance by 7, and the same moved far down and far up.
+TWELVE = "format('{{:.12g}}', c_acctbal / 7 * power(10.0, c_custkey % 31 - 15))"
 
 
 @query(
     "t15_number_formats",
     f"""SELECT c_custkey, {sql_currency('c_acctbal')} AS currency, concat({sql_fixed2('c_acctbal')}, '%') AS percent,
-    {sql_fixed2('c_acctbal')} AS fixed, length({TWELVE}) <= 20 AS twelve_fits FROM customer""",
+    {sql_fixed2('c_acctbal')} AS fixed, {TWELVE.format()} AS twelve FROM customer""",
 )
 def t15(spark, root):
     c = F.col("c_acctbal")
     return views.table(spark, root, "customer").select(
         "c_custkey", numbers.currency(c).alias("currency"), numbers.percent(c).alias("percent"),
-        numbers.fixed2(c).alias("fixed"), (F.length(numbers.twelve_digits(c / 7)) <= 20).alias("twelve_fits"),
+        numbers.fixed2(c).alias("fixed"), numbers.twelve_digits(c / 7 * F.pow(F.lit(10.0), F.col("c_custkey") % 31 - 15)).alias("twelve"),
     )
 
 

@@ -5,16 +5,17 @@ Each view exists twice: as a DataFrame and as the SQL text the check engine runs
 
 from __future__ import annotations
 
+import calendar
+import datetime
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.text import WS
 from ledgerproof.operators import normalize, rollups
-from ledgerproof.session import durable
+from ledgerproof.session import durable, known_once, stored_once
 
-FIRST_MONTH, LAST_MONTH = "1996-01", "2001-07"
-PARTIAL_MONTH = "2001-08"
-PARTIAL_NOTE = "partial month; source data ends on 2001-08-01"
 HOME_COUNTRY = "NATION_23"
 COUNTRY_PAIRS = [
     ("NATION_1", "NATION_2"),
@@ -28,31 +29,60 @@ PAIR_FLOOR = 200000
 PAIR_QUOTA = 150
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+class Bounds(NamedTuple):
+    """The complete months of the data, and the month that it ends within ("" if it ends with a month)."""
+
+    first: str
+    last: str
+    partial: str
+    note: str  # about the partial month, in the coverage table
+    through: str  # after the month's name
+    prompt: str  # as a scope note
+
+
+@known_once
+def bounds(spark: SparkSession, root: str) -> Bounds:
+    """From the first and last order date: two values, from the column statistics of the files."""
+    low, high = table(spark, root, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    if low is None:
+        return Bounds("", "", "", "", "", "")
+    day = datetime.timedelta(days=1)
+    first = low if low.day == 1 else (low.replace(day=1) + 31 * day)
+    partial = (high + day).day != 1
+    last = high.replace(day=1) - day if partial else high
+    through = f"{calendar.month_name[high.month]} {high.day}"
+    return Bounds(
+        f"{first:%Y-%m}", f"{last:%Y-%m}", f"{high:%Y-%m}" if partial else "", f"partial month; source data ends on {high}",
+        f" through {through}", f"{calendar.month_name[high.month]} {high.year} evidence is partial and covers data through {through} only.",
+    )
+
+
+# The same in check SQL, from the ends of the data.
+BOUNDS = """
+ends AS (SELECT CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders),
+bounds AS (SELECT strftime(CASE WHEN day(low) = 1 THEN low ELSE low + INTERVAL 1 MONTH END, '%Y-%m') AS first_month,
+  strftime(CASE WHEN high = last_day(high) THEN high ELSE high - INTERVAL 1 MONTH END, '%Y-%m') AS last_month,
+  CASE WHEN high = last_day(high) THEN '' ELSE strftime(high, '%Y-%m') END AS partial_month,
+  concat('partial month; source data ends on ', high) AS note, concat(' through ', monthname(high), ' ', day(high)) AS through,
+  concat(monthname(high), ' ', year(high), ' evidence is partial and covers data through ', monthname(high), ' ', day(high), ' only.') AS prompt FROM ends)
+"""
+PERIOD = "year_month BETWEEN (SELECT first_month FROM bounds) AND (SELECT last_month FROM bounds)"
+IS_PARTIAL = "= (SELECT partial_month FROM bounds)"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table stored in fewer splits than there are cores is given to all of them; a
-    table with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}.parquet")
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    return spread(table(spark, root, "documents"), "doc_id")
+    return table(spark, root, "documents")
 
 
 # ------------------------------------------------------------------ retail lines
 
 
 def retail_raw(spark: SparkSession, root: str) -> DataFrame:
-    lines = spread(
-        table(spark, root, "lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"
-        ),
-        "l_orderkey",
-    )
+    lines = table(spark, root, "lineitem")
     orders = table(spark, root, "orders")
     customers = table(spark, root, "customer")
     nations = table(spark, root, "nation")
@@ -88,8 +118,14 @@ def retail_raw(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@stored_once
+def typed_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The five tables joined and typed: the one place that runs the join."""
+    return normalize.normalize_lines(retail_raw(spark, root))
+
+
 def retail_lines(spark: SparkSession, root: str) -> DataFrame:
-    return normalize.clean_lines(retail_raw(spark, root))
+    return normalize.add_quality_flags(normalize.flag_exact_duplicates(typed_lines(spark, root)))
 
 
 def sales(spark: SparkSession, root: str) -> DataFrame:
@@ -108,14 +144,17 @@ def goods_net(spark: SparkSession, root: str) -> DataFrame:
     return normalize.merchandise(net(spark, root))
 
 
+@stored_once
 def monthly_net(spark: SparkSession, root: str) -> DataFrame:
     return rollups.net_summary(net(spark, root), ["year_month"])
 
 
+@stored_once
 def country_month_net(spark: SparkSession, root: str) -> DataFrame:
     return rollups.net_summary(net(spark, root), ["year_month", "country"])
 
 
+@stored_once
 def product_month_net(spark: SparkSession, root: str) -> DataFrame:
     return rollups.net_summary(goods_net(spark, root), ["year_month", "stock_code", "description"], False)
 
@@ -164,6 +203,7 @@ raw AS (
 """
 
 LINES = f"""
+{BOUNDS},
 {RAW},
 typed AS (
   SELECT {sql_strip('InvoiceNo')} AS invoice_no, {sql_strip('StockCode')} AS stock_code,
@@ -220,5 +260,6 @@ def sql_fixed2(c: str) -> str:
 
 
 def sql_mean(c: str, digits: int = 6) -> str:
-    total = f"CAST(sum(CAST(round(CAST({c} AS DECIMAL(28,9)) * {10**digits}, 0) AS BIGINT)) AS BIGINT)"
-    return f"CAST(sign({total}) * ((2 * abs({total}) + count({c})) // (2 * count({c}))) AS DOUBLE) / {10**digits}"
+    # Whole units of the twelfth place are summed; the mean of these is rounded once.
+    total, unit = f"sum(CAST(CAST({c} AS DECIMAL(38,12)) * 1000000000000 AS HUGEINT))", 10 ** (12 - digits)
+    return f"CAST(sign({total}) * ((2 * abs({total}) + count({c}) * {unit}) // (2 * count({c}) * {unit})) AS DOUBLE) / {10**digits}"

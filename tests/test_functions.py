@@ -73,3 +73,17 @@ def test_direction_wrong_phrase_wins(spark):
     said = ["France generated more net revenue", "Spain had more, France generated more", "both sold"]
     got = one(spark, said, lambda c: checking.direction_stated(F.lit("France"), F.lit("Spain"), c))
     assert got == [True, False, False]
+
+
+def test_twelve_significant_digits(spark):
+    values = [1234567.123456789, 1e-13, 123456789012345.0, 0.0, 1.0, 100.0, -2.5, 1e12, 999999999999.5, 9.99999999999949e-5, 1e-5, 1 / 3, 2e300, -1e-7, None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(numbers.twelve_digits(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [None if v is None else f"{v:.12g}" for v in values]
+    for odd in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="not a finite number"):
+            spark.createDataFrame([(odd,)], "x double").select(numbers.twelve_digits(F.col("x"))).collect()
+
+
+@pytest.mark.parametrize("values, want", [([4e-7, 4e-7, 7e-7], 1e-6), ([1.4e-6] * 4 + [2.4e-6], 2e-6), ([-1.5e-6] * 2, -2e-6), ([], None), ([1e12, 1e12 + 1], 1e12 + 0.5)])
+def test_means_are_rounded_once(spark, values, want):
+    assert spark.createDataFrame([(v,) for v in values], "x double").agg(numbers.exact_mean(F.col("x"))).first()[0] == want
