@@ -19,7 +19,7 @@ HEADLINE = (
     "g05_top3_products_month", "g06_product_revenue_share", "g09_question_table", "g11_prompt_table", "v07_reconciliation",
     "w07_ordinal_ids_and_split", "w10_token_offsets", "j03_interval_overlap", "a17_span_features", "n01_step_distribution",
     "t01_normalize_text", "t02_extract_numbers", "t19_forbidden_lines", "e05_average_precision", "e08_split_safe_evaluation",
-    "w14_top_n_per_bucket", "k01_fact_level_review", "k02_ranked_list_evaluation", "j05_evidence_match", "r02_annotation_queue",
+    "w14_top_n_per_bucket", "k01_fact_level_review", "k02_ranked_list_evaluation", "j05_evidence_match", "k03_cell_level_signals", "a26_flag_rate_groups", "w18_greedy_tiling", "r02_annotation_queue",
     "r09_policy_flags", "a20_question_coverage",
 )
 

@@ -100,9 +100,9 @@ def round_metrics(df: DataFrame) -> DataFrame:
 
 def confusion(rows: DataFrame, thresholds: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Counts at each detector's threshold, positive when score >= threshold. There is
-    one threshold per configured detector, so that side is broadcast."""
+    one threshold per configured detector, so adaptive execution broadcasts that side by its measured size."""
     hit, pos = F.col("score") >= F.col("threshold"), F.col("y") == 1
-    return rows.join(F.broadcast(thresholds.select("baseline", "threshold")), "baseline").groupBy(*group, "threshold").agg(
+    return rows.join(thresholds.select("baseline", "threshold"), "baseline").groupBy(*group, "threshold").agg(
         F.count_if(hit & pos).alias("tp"),
         F.count_if(hit & ~pos).alias("fp"),
         F.count_if(~hit & ~pos).alias("tn"),
@@ -307,7 +307,7 @@ def average_ranks(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def flag_predictions(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Every span under every selected detector: threshold, margin, prediction."""
-    chosen = F.broadcast(thresholds)
+    chosen = thresholds
     margin = F.col("score") - F.col("threshold")
     return rows.join(chosen, "baseline").withColumns(
         {"score_margin": rounded(margin), "predicted": (margin >= 0).cast("int")})

@@ -498,7 +498,7 @@ def assign_ids(questions: DataFrame, type_order: str = "type_ord", order: str =
     starts = sizes.select(type_order, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     slot = F.pmod(F.col("position"), F.lit(5))
     return (
-        numbered.join(F.broadcast(starts), type_order)
+        numbered.join(starts, type_order)
         .withColumn("question_no", F.col("start") + F.col("position"))
         .withColumn("question_id", F.format_string("q_%04d", "question_no"))
         .withColumn("split", F.when(slot.isin(1, 2, 3), "train").when(slot == 4, "dev").otherwise("test"))

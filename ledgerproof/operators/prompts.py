@@ -52,8 +52,8 @@ FREE_TAIL = (
     "- Do not add unsupported causes or recommendations.\n"
 )
 TABLE_COLUMNS = ("rank", "stock_code", "product_name", "net_revenue_gbp")
-CONTRACT_HEAD = "Structured response requirements:\n"
-CONTRACT_TAIL = CONTRACT_HEAD + (
+CONTRACT_TAIL = (
+    "Structured response requirements:\n"
     "- First determine the top 3 rows by net_revenue_gbp in descending order.\n"
     "- Return exactly one markdown table and no extra prose.\n"
     "- The table must use exactly these columns: rank, stock_code, product_name, net_revenue_gbp.\n"
@@ -211,9 +211,7 @@ def table_contract_prompts(questions: DataFrame, partial_month: str, partial_not
     else:
         policy, suffix = row_order_policy(F.col("question_type")), "_top3_structured"
         rows = ordered_evidence(F.col("evidence.rows"), policy, F.col("question_id"))
-    tail = F.lit(CONTRACT_TAIL)
-    if control:
-        tail = F.replace(tail, F.lit(CONTRACT_HEAD), F.lit(CONTROL_NOTE + CONTRACT_HEAD))
+    tail = F.lit(CONTROL_NOTE + CONTRACT_TAIL if control else CONTRACT_TAIL)
     ordered = ranked.withColumn("row_order_policy", policy).withColumn("prompt_evidence_rows", rows)
     expected = F.transform(
         F.filter("gold_facts", lambda f: f["fact_type"] == "ranking")[0]["ranking"],

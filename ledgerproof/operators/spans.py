@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import exact_mean
 from ledgerproof.operators.ordering import running_max, running_offsets, running_totals
+from ledgerproof.session import durable
 
 # The markers token texts may carry.
 REPLACEMENT = "�"
@@ -151,7 +152,7 @@ def align(annotations: DataFrame, generations: DataFrame, tokens: DataFrame) ->
     checked = joined.select(
         *annotations.columns,
         F.when(F.col("generated_text").isNull(), "missing generation")
-        .when(slice_ != F.col("span_text"), "annotation span offsets do not match generated_text")
+        .when(slice_ != F.col("span_text"), "span text is not at its offsets")
         .alias("reason"),
     )
     fit = checked.filter("reason IS NULL")
@@ -207,25 +208,30 @@ def rebuilt(tokens: DataFrame, generations: DataFrame, chunk: int = 4096) -> Dat
 def greedy_tiling(spans: DataFrame, key: str = "qid") -> DataFrame:
     """Non-overlapping spans per document, first fit in (start, end) order.
 
-    A span that starts at or after every earlier end is always kept, whatever came
-    before it, so a document falls apart into islands of overlapping spans. The choice
-    inside an island depends on order: a fold over that island's sorted spans.
+    A span that starts at or after every earlier end is kept whatever came before it. After
+    a kept span the next one kept is the first that starts at or after its end. These
+    successors come from one ordered pass over starts and ends, and the chains from the spans
+    that are kept for sure are followed in doubled jumps, so a chain of n spans takes log n
+    joins and no document or run of overlapping spans is gathered anywhere.
     """
     order = [F.col("span_start_char"), F.col("span_end_char"), F.col("annotation_id")]
-    seen = running_totals(spans, order, [key], position="_p", earlier_max={"_end": F.col("span_end_char")})
-    opens = F.col("_end").isNull() | (F.col("span_start_char") >= F.col("_end"))
-    islands = running_max(seen.withColumn("_open", F.when(opens, F.col("_p"))), [key], "_p", "_open", "_island")
-    item = F.struct("span_start_char", "span_end_char", "annotation_id")
-    ordered = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    kind = "array<struct<span_start_char:bigint,span_end_char:bigint,annotation_id:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("cursor"), F.array().cast(kind).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["span_start_char"] >= acc["cursor"]
-        return F.struct(
-            F.when(fits, x["span_end_char"]).otherwise(acc["cursor"]).alias("cursor"),
-            F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    folded = ordered.select(key, F.aggregate("s", start, step).alias("f"))
-    return folded.select(key, F.inline("f.kept"))
+    placed = durable(running_totals(spans, order, [key], position="_p", earlier_max={"_end": F.col("span_end_char")}))
+    heads = placed.filter(F.col("_end").isNull() | (F.col("span_start_char") >= F.col("_end")))
+    events = placed.select(key, F.col("span_start_char").alias("_at"), F.lit(1).alias("_kind"), "_p").unionByName(
+        placed.select(key, F.col("span_end_char").alias("_at"), F.lit(0).alias("_kind"), "_p"))
+    # From the end backwards: at a span's end the least position whose start was seen is its successor.
+    seen = running_totals(
+        events, [F.desc("_at"), F.desc("_kind"), F.desc("_p")], [key], position="_place",
+        earlier_max={"_least": F.when(F.col("_kind") == 1, -F.col("_p"))})
+    jumps = durable(seen.filter("_kind = 0 AND _least IS NOT NULL").select(
+        key, "_p", F.greatest(-F.col("_least"), F.col("_p") + 1).alias("_next")))
+    kept = durable(heads.select(key, "_p"))
+    while True:
+        reached = kept.join(jumps, [key, "_p"]).select(key, F.col("_next").alias("_p")).distinct()
+        new = durable(reached.join(kept, [key, "_p"], "left_anti"))
+        if new.isEmpty():
+            break
+        kept = kept.unionByName(new)
+        further = jumps.select(key, F.col("_p").alias("_next"), F.col("_next").alias("_far"))
+        jumps = durable(jumps.join(further, [key, "_next"]).select(key, "_p", F.col("_far").alias("_next")))
+    return placed.join(kept, [key, "_p"], "left_semi").select(key, "span_start_char", "span_end_char", "annotation_id")

@@ -86,9 +86,12 @@ def test_overlap_join_matches_brute_force(spark):
         assert got == want
 
 
-def test_greedy_tiling_matches_brute_force(spark):
+@pytest.mark.parametrize("shape", ["mixed", "one island"])
+def test_greedy_tiling_matches_brute_force(spark, shape):
     rng = random.Random(5)
-    rows = [(f"q{rng.randint(0, 3)}", f"s{i:03d}", s, s + rng.randint(1, 25)) for i, s in enumerate(rng.choices(range(400), k=200))]
+    rows = [(f"q{rng.randint(0, 3)}", f"s{i:03d}", s, s + rng.randint(0, 25)) for i, s in enumerate(rng.choices(range(400), k=200))]
+    if shape == "one island":
+        rows = [("q", f"s{i:06d}", i, i + rng.randint(2, 9)) for i in range(100_000)]
     want = set()
     for q in {r[0] for r in rows}:
         cursor = 0
