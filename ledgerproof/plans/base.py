@@ -412,22 +412,40 @@ def stored_lines(spark, root) -> DataFrame:
     return durable(views.retail_lines(spark, root))
 
 
-def row_checks(lines: DataFrame) -> DataFrame:
-    sales, net = normalize.positive_sales(lines), normalize.net_revenue_lines(lines)
+def seeded_checks(lines: DataFrame) -> DataFrame:
+    """The row checks on published subsets into which some excluded lines slipped."""
+    slipped = F.col("quantity") % 13 == 0
+    sales = lines.filter(normalize.positive_sales_condition() | slipped)
+    net = normalize.net_revenue_lines(lines).unionByName(lines.filter(F.col("is_exact_duplicate") & slipped))
+    return row_checks(lines, sales, net, "slipped_")
+
+
+def row_checks(lines: DataFrame, sales: DataFrame | None = None, net: DataFrame | None = None, prefix: str = "") -> DataFrame:
+    sales, net = sales or normalize.positive_sales(lines), net or normalize.net_revenue_lines(lines)
     positive = ~F.col("is_cancel_invoice") & (F.col("quantity") >= 0)
     priced = (F.col("unit_price") > 0) & (F.length("description") > 0) & ~F.col("is_exact_duplicate")
     return quality.violations(
-        sales, {"sales_not_returned": positive, "sales_priced": priced}
-    ).unionByName(quality.violations(net, {"net_priced": priced}))
+        sales, {f"{prefix}sales_not_returned": positive, f"{prefix}sales_priced": priced}
+    ).unionByName(quality.violations(net, {f"{prefix}net_priced": priced}))
+
+
+SLIPPED = f"""published_sales AS (SELECT * FROM sales UNION ALL SELECT * FROM lines WHERE quantity % 13 = 0 AND {NOT_SALES}),
+published_net AS (SELECT * FROM net UNION ALL SELECT * FROM lines WHERE quantity % 13 = 0 AND is_exact_duplicate)"""
+POSITIVE_SQL = "NOT is_cancel_invoice AND quantity >= 0"
+PRICED_SQL = "unit_price > 0 AND length(description) > 0 AND NOT is_exact_duplicate"
+ROW_CHECKS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS check_name, count(*) FILTER (NOT coalesce({ok}, false)) = 0 AS passed, count(*) FILTER (NOT coalesce({ok}, false)) AS detail FROM {source}"""
+    for name, ok, source in [
+        ("sales_not_returned", POSITIVE_SQL, "sales"), ("sales_priced", PRICED_SQL, "sales"), ("net_priced", PRICED_SQL, "net"),
+        ("slipped_sales_not_returned", POSITIVE_SQL, "published_sales"), ("slipped_sales_priced", PRICED_SQL, "published_sales"), ("slipped_net_priced", PRICED_SQL, "published_net"),
+    ]
+)
 
 
-@query(
-    "v09_subset_predicates",
-    "SELECT unnest(['sales_not_returned', 'sales_priced', 'net_priced']) AS check_name, true AS passed, "
-    "CAST(0 AS BIGINT) AS detail",
-)
+@query("v09_subset_predicates", f"WITH {LINES}, {SLIPPED} {ROW_CHECKS}")
 def v09(spark, root):
-    return row_checks(views.retail_lines(spark, root))
+    lines = stored_lines(spark, root)
+    return row_checks(lines).unionByName(seeded_checks(lines))
 
 
 def grain_checks(lines: DataFrame) -> DataFrame:
@@ -462,21 +480,24 @@ def grain_checks(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [by_line, products, conserved])
 
 
-@query(
-    "v07_reconciliation",
-    f"""WITH {SUMMARIES},
-    t AS (SELECT (SELECT sum(revenue) FROM net) AS n, (SELECT sum(revenue) FROM goods_net) AS g)
-    SELECT 'monthly_net' AS check_name, abs((SELECT sum(net_revenue) FROM monthly_net) - n) <= 0.01 AS passed FROM t
+RECONCILED_CTE = "t AS (SELECT (SELECT sum(revenue) FROM net) AS n, (SELECT sum(revenue) FROM goods_net) AS g)"
+RECONCILED = f"""SELECT 'monthly_net' AS check_name, abs((SELECT sum(net_revenue) FROM monthly_net) - n) <= 0.01 AS passed FROM t
     UNION ALL SELECT 'country_month_net', abs((SELECT sum(net_revenue) FROM country_month) - n) <= 0.01 FROM t
     UNION ALL SELECT 'country_net', abs((SELECT sum(s) FROM (SELECT sum(revenue) s FROM net GROUP BY country)) - n) <= 0.01 FROM t
     UNION ALL SELECT 'product_month_net', abs((SELECT sum(net_revenue) FROM product_month) - g) <= 0.01 FROM t
     UNION ALL SELECT 'product_net', abs((SELECT sum(s) FROM (SELECT sum(revenue) s FROM goods_net GROUP BY stock_code, description)) - g) <= 0.01 FROM t
-    UNION ALL SELECT 'row_conservation', (SELECT count(*) FROM lines) = (SELECT count(*) FROM sales) + (SELECT count(*) FROM lines WHERE {NOT_SALES})""",
+    UNION ALL SELECT 'row_conservation', (SELECT count(*) FROM lines) = (SELECT count(*) FROM sales) + (SELECT count(*) FROM lines WHERE {NOT_SALES})"""
+
+
+@query(
+    "v07_reconciliation",
+    f"WITH {SUMMARIES}, {RECONCILED_CTE} {RECONCILED}",
 )
 def v07(spark, root):
     return grain_checks(stored_lines(spark, root))
 
 
+
 COMPONENTS = ("monthly_net", "country_month", "product_month")
 
 
@@ -495,14 +516,16 @@ def component_checks(lines: DataFrame) -> DataFrame:
     )
 
 
+COMPONENT_CHECKS = " UNION ALL ".join(
+    f"""SELECT '{t}_components' AS check_name, count(*) FILTER (NOT ok) = 0 AS passed, count(*) FILTER (NOT ok) AS detail
+    FROM (SELECT abs(gross_positive_revenue + cancellation_revenue - net_revenue) <= 1e-8 + 1e-5 * abs(net_revenue) AS ok FROM {t})"""
+    for t in COMPONENTS
+)
+
+
 @query(
     "v08_component_identity",
-    f"WITH {SUMMARIES} "
-    + " UNION ALL ".join(
-        f"""SELECT '{t}_components' AS check_name, count(*) FILTER (NOT ok) = 0 AS passed, count(*) FILTER (NOT ok) AS detail
-        FROM (SELECT abs(gross_positive_revenue + cancellation_revenue - net_revenue) <= 1e-8 + 1e-5 * abs(net_revenue) AS ok FROM {t})"""
-        for t in COMPONENTS
-    ),
+    f"WITH {SUMMARIES} {COMPONENT_CHECKS}",
 )
 def v08(spark, root):
     return component_checks(stored_lines(spark, root))
@@ -510,12 +533,13 @@ def v08(spark, root):
 
 @query(
     "v26_check_roll_up",
-    "SELECT CAST(12 AS BIGINT) AS num_checks, CAST(0 AS BIGINT) AS num_failures, true AS all_passed",
+    f"""WITH {SUMMARIES}, {SLIPPED}, {RECONCILED_CTE}, every_check AS (SELECT check_name, passed FROM ({ROW_CHECKS}) UNION ALL {RECONCILED} UNION ALL SELECT check_name, passed FROM ({COMPONENT_CHECKS}))
+    SELECT count(*) AS num_checks, count(*) FILTER (NOT passed) AS num_failures, bool_and(passed) AS all_passed FROM every_check""",
 )
 def v26(spark, root):
     names, lines = ["check_name", "passed"], stored_lines(spark, root)
     checks = reduce(
         DataFrame.unionByName,
-        [f(lines).select(*names) for f in (row_checks, grain_checks, component_checks)],
+        [f(lines).select(*names) for f in (row_checks, seeded_checks, grain_checks, component_checks)],
     )
     return quality.roll_up(checks)

@@ -569,11 +569,18 @@ def a16(spark, root):
 
 @query(
     "v05_range_and_finiteness",
-    f"""SELECT unnest({[f'{m}_in_range' for m in ('precision', 'recall', 'specificity', 'f1', 'accuracy', 'auroc', 'auprc')]}) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail""",
+    f"WITH {SWEEP}, seeded AS (SELECT * REPLACE (CASE WHEN baseline = 'd2' THEN f1 + 1 ELSE f1 END AS f1, CASE WHEN baseline = 'd3' THEN CAST('nan' AS DOUBLE) ELSE auroc END AS auroc) FROM report) "
+    + " UNION ALL ".join(
+        f"SELECT '{m}_in_range' AS check_name, count(*) FILTER (isnan({m}) OR {m} < 0 OR {m} > 1) = 0 AS passed, count(*) FILTER (isnan({m}) OR {m} < 0 OR {m} > 1) AS detail FROM seeded"
+        for m in ("precision", "recall", "specificity", "f1", "accuracy", "auroc", "auprc")
+    ),
 )
 def v05(spark, root):
-    names = [*det.METRICS, "auroc", "auprc"]
-    return quality.violations(report(spark, root), {f"{m}_in_range": quality.finite_between(m, 0, 1) for m in names})
+    """A report with an F1 beyond one and one that isn't a number."""
+    names, b = [*det.METRICS, "auroc", "auprc"], F.col("baseline")
+    seeded = report(spark, root).withColumns(
+        {"f1": F.when(b == "d2", F.col("f1") + 1).otherwise(F.col("f1")), "auroc": F.when(b == "d3", F.lit(float("nan"))).otherwise(F.col("auroc"))})
+    return quality.violations(seeded, {f"{m}_in_range": quality.finite_between(m, 0, 1) for m in names})
 
 
 @query(
@@ -587,9 +594,30 @@ def v19(spark, root):
     return counts.withColumn("negative_count", negative).withColumn("passed", (F.col("positive_count") > 0) & (negative > 0))
 
 
-@query("v20_confusion_consistency", "SELECT unnest(['counts_add_up', 'threshold_reused', 'source_is_dev']) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail")
+def failing(check: str, condition: str, source: str) -> str:
+    """A check row in SQL: how many rows of the source break the condition."""
+    bad = f"count(*) FILTER (NOT coalesce({condition}, false))"
+    return f"SELECT '{check}' AS check_name, {bad} = 0 AS passed, {bad} AS detail FROM {source}"
+
+
+@query(
+    "v20_confusion_consistency",
+    f"""WITH {SWEEP}, seeded AS (SELECT * REPLACE (CASE WHEN baseline = 'd1' AND evaluated_split = 'test' THEN tp + 1 ELSE tp END AS tp,
+      CASE WHEN baseline = 'd2' AND evaluated_split = 'test' THEN threshold + 0.5 ELSE threshold END AS threshold,
+      CASE WHEN baseline = 'd3' THEN 'test' ELSE threshold_source_split END AS threshold_source_split) FROM report),
+    joined AS (SELECT t.*, d.threshold AS dev_threshold, n FROM seeded t JOIN seeded d ON t.baseline = d.baseline AND t.evaluated_split = 'test' AND d.evaluated_split = 'dev'
+      JOIN (SELECT baseline, count(*) AS n FROM scores WHERE split = 'test' GROUP BY 1) r ON r.baseline = t.baseline)
+    {failing('counts_add_up', 'tp + fp + tn + fn = n', 'joined')} UNION ALL {failing('threshold_reused', 'threshold = dev_threshold', 'joined')}
+    UNION ALL {failing('source_is_dev', "threshold_source_split = 'dev'", 'joined')}""",
+)
 def v20(spark, root):
-    pairs, _ = det.paired_metrics(report(spark, root))
+    """A report with one count, one threshold and one threshold source that are wrong."""
+    b, test = F.col("baseline"), F.col("evaluated_split") == "test"
+    seeded = report(spark, root).withColumns({
+        "tp": F.when((b == "d1") & test, F.col("tp") + 1).otherwise(F.col("tp")),
+        "threshold": F.when((b == "d2") & test, F.col("threshold") + 0.5).otherwise(F.col("threshold")),
+        "threshold_source_split": F.when(b == "d3", "test").otherwise(F.col("threshold_source_split"))})
+    pairs, _ = det.paired_metrics(seeded)
     rows = scores(spark, root).filter("split = 'test'").groupBy("baseline").agg(F.count("*").alias("rows"))
     t, d = F.col("test"), F.col("dev")
     return quality.violations(
@@ -602,13 +630,27 @@ def v20(spark, root):
     )
 
 
-@query("v21_error_row_consistency", "SELECT unnest(['margin_sign', 'type_fits_classes', 'totals_match']) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail")
+@query(
+    "v21_error_row_consistency",
+    f"""WITH {SWEEP}, seeded AS (SELECT *, CASE WHEN row_id % 7 = 0 THEN -score_margin ELSE score_margin END AS m, CASE WHEN row_id % 11 = 0 THEN 1 - y ELSE y END AS class_ FROM errors),
+    counted AS (SELECT baseline, count(*) FILTER (error_type = 'false_positive') AS fps, count(*) FILTER (error_type = 'false_negative') AS fns FROM errors WHERE baseline <> 'd1' OR row_id % 13 <> 0 GROUP BY 1),
+    totals AS (SELECT * FROM report JOIN counted USING (baseline) WHERE evaluated_split = 'test')
+    {failing('margin_sign', "CASE WHEN error_type = 'false_negative' THEN m < 0 ELSE m >= 0 END", 'seeded')}
+    UNION ALL {failing('type_fits_classes', "(error_type = 'false_negative') = (class_ = 1)", 'seeded')}
+    UNION ALL {failing('totals_match', 'fp = fps AND fn = fns', 'totals')}""",
+)
 def v21(spark, root):
-    bad, c = errors(spark, root), F.col
+    """Error rows with some margins and classes turned round, and with rows of one detector lost."""
+    c = F.col
+    turned = F.when(c("actual_class") == "positive", "negative").otherwise("positive")
+    found = errors(spark, root)
+    bad = found.withColumns({
+        "score_margin": F.when(c("row_id") % 7 == 0, -c("score_margin")).otherwise(c("score_margin")),
+        "actual_class": F.when(c("row_id") % 11 == 0, turned).otherwise(c("actual_class"))})
     sign = F.when(c("error_type") == "false_negative", c("score_margin") < 0).otherwise(c("score_margin") >= 0)
     fits = F.when(c("error_type") == "false_negative", c("actual_class") == "positive").otherwise(c("actual_class") == "negative")
     tested = report(spark, root).filter("evaluated_split = 'test'").select("baseline", "fp", "fn")
-    totals = det.error_totals(bad).join(tested, "baseline")
+    totals = det.error_totals(found.filter("baseline <> 'd1' OR row_id % 13 <> 0")).join(tested, "baseline")
     agree = (c("fp") == c("false_positive_count")) & (c("fn") == c("false_negative_count"))
     return quality.violations(bad, {"margin_sign": sign, "type_fits_classes": fits}).unionByName(
         quality.violations(totals, {"totals_match": agree}))
