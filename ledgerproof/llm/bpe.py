@@ -28,6 +28,8 @@ from ledgerproof.llm.common import append_columns, fresh, table
 MAX_TOKENS, MAX_TOKEN_BYTES = 2_000_000, 64 << 20
 #: Pre-tokens whose ids a worker remembers; beyond it starts anew.
 REMEMBERED = 400_000
+#: Bytes of text whose pre-tokens a task holds at a time.
+ENCODE_BYTES = 1 << 20
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,19 +202,22 @@ def broadcast_vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadc
     return spark.sparkContext.broadcast(Vocabulary.read(path, pattern))
 
 
-def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs and the token ids of each whole text.
+def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs and the token ids of each whole text, and under `decoded` the bytes that these ids
+    decode to, if a name is given.
 
-    A missing or empty text has an empty list. Rows may repeat. If docs has a column of the
+    A missing or empty text has an empty list. Rows may repeat. If docs has a column of a
     new name, the new one gets underscores ahead.
     """
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         flat, ends = vocabulary.value.encode(texts.to_pylist())
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return [lists, vocabulary.value.decode(lists)][: len(fields)]
 
-    (ids,) = fresh(docs, ids)
-    return append_columns(docs, text, compute, [(ids, T.ArrayType(T.IntegerType()))])
+    names = fresh(docs, ids, *([decoded] if decoded else []))
+    fields = list(zip(names, (T.ArrayType(T.IntegerType()), T.BinaryType())))
+    return append_columns(docs, text, compute, fields, ENCODE_BYTES)
 
 
 def decode(docs: DataFrame, vocabulary: Broadcast, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -236,8 +241,7 @@ def tokenised(docs: DataFrame, vocabulary: Broadcast, keep_ids: bool = True) ->
     number and the digests of the ids and of the bytes that they decode to. Names that docs
     has already get underscores ahead."""
     ids, decoded, n_tokens, ids_sha, decoded_sha = fresh(docs, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
-    coded = decode(encode(docs, vocabulary, ids=ids).drop("text"), vocabulary, ids, decoded)
-    return coded.withColumns(
+    return encode(docs, vocabulary, ids=ids, decoded=decoded).drop("text").withColumns(
         {
             n_tokens: F.size(ids).cast("long"),
             ids_sha: F.sha2(F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary"), 256),

@@ -31,10 +31,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch that hold at most CHUNK_BYTES of the text column, or one row."""
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch that hold about `limit` bytes of the text column, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
+    group = np.cumsum(sizes, dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -42,14 +42,14 @@ def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def append_columns(
-    df: DataFrame, text: str, compute: Callable[[pa.Array], list], fields: list[tuple[str, T.DataType]]
+    df: DataFrame, text: str, compute: Callable[[pa.Array], list], fields: list[tuple[str, T.DataType]], limit: int = CHUNK_BYTES
 ) -> DataFrame:
     """df and the columns that compute(texts) gives, one value for each text, chunk by chunk."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch, text):
+            for part in text_chunks(batch, text, limit):
                 made = compute(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(n for n, _ in fields)])
 
