@@ -228,8 +228,9 @@ def unresolved(rows: DataFrame) -> DataFrame:
 
 
 def lock_decisions(rows: DataFrame) -> DataFrame:
-    """Locks every row; one unresolved row stops the job."""
-    open_ = (F.col("source_action") != "none") | (F.col("label_verdict") != "label_supported")
+    """Locks every row; one unresolved row, or one without a note, stops the job."""
+    settled = (F.col("source_action") == "none") & (F.col("label_verdict") == "label_supported") & F.col("presentation_use").isNotNull()
+    open_ = ~F.coalesce(settled, F.lit(False))
     stop = F.raise_error(F.concat(F.lit("cannot lock unresolved row "), F.col("confirmation_item_id"))).cast("boolean")
     use = F.col("presentation_use")
     return rows.withColumns(

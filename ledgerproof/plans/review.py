@@ -260,9 +260,9 @@ USES = ["paired_contrast_example", "strong_false_negative_example", "span_level_
 SQL_USES = "[" + ", ".join(f"'{u}'" for u in USES) + "]"
 
 
-def notes(spark, root) -> DataFrame:
-    """Reviewer notes for every held-out test span."""
-    return wide_scores(spark, root).filter("split = 'test'").select(
+def notes(spark, root, splits: tuple[str, ...] = ("test",)) -> DataFrame:
+    """Reviewer notes for every span of these splits."""
+    return wide_scores(spark, root).filter(F.col("split").isin(*splits)).select(
         "row_id", pick(USES, (F.col("row_id") / 5 % 5).cast("int")).alias("presentation_use"),
         F.lit("none").alias("source_action"), F.lit("label_supported").alias("label_verdict"))
 
@@ -291,11 +291,11 @@ def case(table: dict[str, str], default: str) -> str:
 
 @query(
     "r07_lock_decisions",
-    f"""WITH {PACKET}, {NOTES} SELECT row_id, true AS labels_locked, {case(review.PUBLISH_USE, 'supporting_detail')} AS publish_use,
-    {case(review.LOCK_REASON, 'Locked after assistant full review.')} AS lock_reason, presentation_use = 'span_level_caveat' AS span_level_caveat FROM packet JOIN notes USING (row_id)""",
+    f"""WITH {PACKET}, {NOTES.replace(" WHERE split = 'test'", "")} SELECT row_id, presentation_use IS NOT NULL AS labels_locked, {case(review.PUBLISH_USE, 'supporting_detail')} AS publish_use,
+    {case(review.LOCK_REASON, 'Locked after assistant full review.')} AS lock_reason, presentation_use = 'span_level_caveat' AS span_level_caveat FROM packet LEFT JOIN notes USING (row_id)""",
 )
 def r07(spark, root):
-    rows = packet(spark, root).join(notes(spark, root), "row_id")
+    rows = packet(spark, root).join(notes(spark, root, ("train", "dev", "test")), "row_id", "left")
     return review.lock_decisions(rows).select("row_id", "labels_locked", "publish_use", "lock_reason", "span_level_caveat")
 
 
@@ -328,29 +328,33 @@ def asked_documents(spark, root) -> DataFrame:
 def audited(spark, root) -> DataFrame:
     kinds = ["currency_amount", "product_name", "ranking"]
     return annotations(spark, root).withColumnRenamed("qid", "question_id").withColumns(
-        {"reference_fact_type": pick(kinds, F.length("span_text") % 3), "notes": F.lit("list_rank_marker")})
+        {
+            "reference_fact_type": pick(kinds, F.length("span_text") % 3),
+            "notes": F.when(F.length("span_text") % 2 == 0, "list_rank_marker").otherwise("seen"),
+            "fact_type": F.when(F.length("span_text") % 7 == 0, "percentage").otherwise(F.col("fact_type")),
+        })
 
 
 AUDIT = f"""
 {TOKENS},
 asked AS (SELECT CAST(doc_id AS VARCHAR) AS question_id, source AS split, CASE lang WHEN 'en' THEN '{KINDS["en"]}' WHEN 'fr' THEN '{KINDS["fr"]}' ELSE 'top_country_month' END AS question_type FROM documents),
-spans AS (SELECT *, qid AS question_id, ['currency_amount', 'product_name', 'ranking'][length(span_text) % 3 + 1] AS reference_fact_type FROM annotations),
+spans AS (SELECT * REPLACE (CASE WHEN length(span_text) % 7 = 0 THEN 'percentage' ELSE fact_type END AS fact_type), qid AS question_id, ['currency_amount', 'product_name', 'ranking'][length(span_text) % 3 + 1] AS reference_fact_type FROM annotations),
 per_question AS (SELECT question_id, count(*) AS span_count, count(*) FILTER (label = 'correct_key_fact') AS negative_span_count,
   count(*) FILTER (label IN ('hallucinated_key_fact', 'unsupported_claim')) AS positive_span_count, count(*) FILTER (label IN ('ambiguous_or_unverifiable', 'ignore')) AS excluded_span_count,
   {', '.join(f"count(*) FILTER (label = '{x}') AS {x}" for x in review.LABELS)}, string_agg(DISTINCT fact_type, '|' ORDER BY fact_type) AS fact_types,
-  count(*) FILTER (fact_type = 'ranking') AS ranked FROM spans GROUP BY question_id)
+  count(*) FILTER (fact_type = 'ranking') AS ranked, count(*) FILTER (fact_type = 'percentage') AS percentages FROM spans GROUP BY question_id)
 """
 
 
 @query(
     "r09_policy_flags",
     f"""WITH {AUDIT} SELECT question_id, annotation_id, 'warning' AS severity, 'gold_reference_fact_type_mismatch' AS rule FROM spans WHERE reference_fact_type <> fact_type
-    UNION ALL SELECT question_id, annotation_id, 'info', 'bare_rank_marker_allowed' FROM spans WHERE fact_type = 'ranking' AND regexp_matches(trim(span_text), '(?i)^\\*{{0,2}}\\d+(?:st|nd|rd|th)?[.)]?\\*{{0,2}}$')
+    UNION ALL SELECT question_id, annotation_id, 'info', 'bare_rank_marker_allowed' FROM spans WHERE fact_type = 'ranking' AND length(span_text) % 2 = 0 AND regexp_matches(trim(span_text), '(?i)^\\*{{0,2}}\\d+(?:st|nd|rd|th)?[.)]?\\*{{0,2}}$')
     UNION ALL SELECT question_id, NULL, 'warning', 'correct_only_question' FROM per_question WHERE positive_span_count = 0
     UNION ALL SELECT question_id, NULL, 'warning', 'no_correct_key_fact' FROM per_question WHERE negative_span_count = 0
     UNION ALL SELECT question_id, NULL, 'warning', 'unsupported_claim_review' FROM per_question WHERE unsupported_claim > 0
     UNION ALL SELECT question_id, NULL, 'warning', 'top3_without_ranking_span' FROM per_question JOIN asked USING (question_id) WHERE question_type = '{KINDS["en"]}' AND ranked = 0
-    UNION ALL SELECT question_id, NULL, 'warning', 'share_question_without_percentage' FROM per_question JOIN asked USING (question_id) WHERE question_type = '{KINDS["fr"]}'""",
+    UNION ALL SELECT question_id, NULL, 'warning', 'share_question_without_percentage' FROM per_question JOIN asked USING (question_id) WHERE question_type = '{KINDS["fr"]}' AND percentages = 0""",
 )
 def r09(spark, root):
     return review.policy_flags(audited(spark, root), asked_documents(spark, root))

@@ -178,3 +178,16 @@ def test_malformed_lines_are_numbered_per_file(spark, tmp_path):
     bad = {(r["file"].rsplit("/", 1)[1], r["line_no"]) for r in got.filter("is_malformed").collect()}
     assert bad == {("a.jsonl", 3), ("a.jsonl", 7), ("b.jsonl", 1)}
     assert got.count() == 20
+
+
+def test_a_missing_note_or_an_unknown_error_type_stops_the_job(spark):
+    from ledgerproof.operators import review
+
+    rows = [("confirm_1", "none", "label_supported", "supporting"), ("confirm_2", "none", "label_supported", None)]
+    df = spark.createDataFrame(rows, "confirmation_item_id string, source_action string, label_verdict string, presentation_use string")
+    assert review.lock_decisions(df.limit(1)).first()["labels_locked"]
+    with pytest.raises(Exception, match="confirm_2"):
+        review.lock_decisions(df).collect()
+    odd = spark.createDataFrame([("other", "month", "x")], "error_type string, fact_type string, question_type string")
+    with pytest.raises(Exception, match="unknown error type other"):
+        odd.select(det.error_family()).collect()
