@@ -1,7 +1,7 @@
 """Exact duplicates by content sort, in DataFrame operations alone.
 
-Normalised texts are range-partitioned by sampled splitters and sorted on disk where they
-don't fit. Equal texts are then neighbours, and the window compares neighbouring texts in
+Normalised texts are range-partitioned by sampled splitters (first characters and a hash,
+so that these stay small) and sorted on disk where they don't fit. Equal texts are then neighbours, and the window compares neighbouring texts in
 full. Texts that a sample shows to be frequent are dealt by (text, salt), so that a group
 of any share spreads over many splits; each split counts its rows and picks its best, and
 only those few are compared again.
@@ -20,6 +20,8 @@ from ledgerproof.session import durable
 
 #: Rows sampled for each partition to find frequent texts. It steers the layout, never the result.
 SAMPLE_ROWS = 64
+#: Characters of a normalised text in a splitter.
+HEAD = 16
 
 
 def normalised(text: Column) -> Column:
@@ -50,25 +52,27 @@ def _ranked(docs: DataFrame) -> tuple[DataFrame, list[str], bool]:
     shuffled once; the sort key is made again after the shuffle instead of being sent along.
     """
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
-    names = points, tie, norm, salt, place = fresh(docs, "points", "tie", "norm", "salt", "place")
+    names = points, tie, norm, salt, place, head, hashed = fresh(docs, "points", "tie", "norm", "salt", "place", "head", "hashed")
     # At most 4 * width rows, so each task looks a text's salts up.
     frequent = [(r["hash"], r["salts"]) for r in frequent_texts(docs, width).collect()]
     key = normalised(F.col("text"))
+    # The splitters that the driver samples are short: first characters and a hash. Texts that differ may share both.
+    short = [F.substring(key, 1, HEAD), F.xxhash64(key)]
     if frequent:
-        hashed, salts = fresh(docs, "hash", "salts")
+        (salts,) = fresh(docs, "salts")
         found = F.broadcast(spark.createDataFrame(frequent, T.StructType([T.StructField(hashed, T.LongType()), T.StructField(salts, T.IntegerType())])))
-        docs = docs.withColumn(hashed, F.xxhash64(key)).join(found, hashed, "left")
+        docs = docs.withColumn(hashed, short[1]).join(found, hashed, "left")
         number = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col(salts)).cast("int"), F.lit(-1))
-        docs = docs.withColumn(salt, number).drop(hashed, salts).repartitionByRange(width, key, salt)
+        docs = docs.withColumn(salt, number).drop(hashed, salts).repartitionByRange(width, *short, salt)
     else:
-        docs = docs.repartitionByRange(width, key).withColumn(salt, F.lit(-1))
-    ranked = docs.withColumns({norm: key, points: F.char_length(F.coalesce("text", F.lit(""))), tie: F.xxhash64("text")})
-    return ranked.withColumn(place, F.row_number().over(_best(norm, salt, names))), names, bool(frequent)
+        docs = docs.repartitionByRange(width, *short).withColumn(salt, F.lit(-1))
+    ranked = docs.withColumns({head: short[0], hashed: short[1], norm: key, points: F.char_length(F.coalesce("text", F.lit(""))), tie: F.xxhash64("text")})
+    return ranked.withColumn(place, F.row_number().over(_best(names))), names, bool(frequent)
 
 
-def _best(norm: str, salt: str | None, names: list[str]) -> WindowSpec:
-    points, tie = names[:2]
-    return W.partitionBy(norm, *([salt] if salt else [])).orderBy(F.desc(points), F.asc_nulls_last("doc_id"), F.asc(tie))
+def _best(names: list[str], salted: bool = True) -> WindowSpec:
+    points, tie, norm, salt, _, head, hashed = names
+    return W.partitionBy(head, hashed, norm, *([salt] if salted else [])).orderBy(F.desc(points), F.asc_nulls_last("doc_id"), F.asc(tie))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -79,8 +83,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     text is empty; a missing doc_id comes after all others. Other columns are not read.
     """
     local, names, split = _ranked(docs.select("doc_id", "text"))
-    points, tie, norm, salt, place = names
-    whole = _best(norm, salt, names).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    points, tie, norm, salt, place = names[:5]
+    whole = _best(names).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     local = local.withColumns({"keep_id": F.first("doc_id").over(whole), "group_size": F.count(F.lit(1)).over(whole)}).select(
         "doc_id", "keep_id", "group_size", (F.col(place) == 1).alias("kept"), F.sha2(F.col(norm).cast("binary"), 256).alias("text_sha256"),
         points, tie, salt, F.when((F.col(salt) >= 0) & (F.col(place) == 1), F.col(norm)).alias(norm),
@@ -108,12 +112,12 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns, whatever else these are called."""
     columns = docs.columns
     local, names, split = _ranked(docs)
-    norm, salt, place = names[2:]
+    norm, salt, place = names[2:5]
     local = local.filter(F.col(place) == 1)
     if not split:
         return local.select(*columns)
     local = durable(local)
-    rest = local.filter(F.col(salt) >= 0).withColumn(place, F.row_number().over(_best(norm, None, names))).filter(F.col(place) == 1)
+    rest = local.filter(F.col(salt) >= 0).withColumn(place, F.row_number().over(_best(names, salted=False))).filter(F.col(place) == 1)
     return local.filter(F.col(salt) < 0).unionByName(rest).select(*columns)
 
 
