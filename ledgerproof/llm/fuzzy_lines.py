@@ -3,12 +3,13 @@
 A line's normal form is lower-cased with white space runs as one space. Its shingles are all
 runs of SHINGLE characters; a shorter line is one shingle. Lines are near at a Jaccard
 similarity of SIMILAR or more of their shingle sets. BANDS bands of ROWS hashes each find
-candidates: at similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**14,
-over 0.999. All candidates are compared exactly.
+candidates: at similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**5)**16,
+over 0.998, and higher above. All links are compared exactly.
 
 In a band's bucket every line is first compared with one of it, so a bucket of any size is
-linear. Linked lines are one component then. Only where a bucket still holds several
-components are their lines compared across components. Components of all links are then
+linear. Linked lines are one component then. Where a bucket still holds several components,
+its lines are compared with further hubs, one a turn, across components; and what is still
+apart after TURNS turns is compared pair by pair, so that no candidate is left out. Components of all links are then
 found by star contraction, and of each component the first line in order of doc_id stays.
 """
 
@@ -28,26 +29,19 @@ from ledgerproof.llm.components import components
 from ledgerproof.session import durable
 
 SHINGLE, SIMILAR = 8, 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 16, 5
+#: Further hubs that each open bucket's lines are compared with before all that is left is.
+TURNS = 3
+#: Shingles hashed at a time, and pairs compared at a time.
+BLOCK, PAIRS = 1 << 16, 2000
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the shingle sets of two normal forms."""
-    x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
-
-
-@cache
-def _factors() -> np.ndarray:
-    return np.random.default_rng(7).integers(1 << 20, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """The bucket of each of these normal forms in each band: lines x BANDS, all bands apart."""
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of these normal forms in a row, and where each line's start."""
     text = "".join(s if len(s) >= SHINGLE else s.ljust(SHINGLE, "\0") for s in lines)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     base = np.uint64(0x9E3779B97F4A7C15)
@@ -59,17 +53,50 @@ def band_keys(lines: list[str]) -> np.ndarray:
     inside = np.ones(len(c), bool)
     for k in range(1, SHINGLE):
         inside[ends - k] = False
-    mixed = eight ^ (eight >> np.uint64(29))
-    hashes = ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)[inside[: len(eight)]]
-    starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+    mixed = (eight ^ (eight >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32)))[inside[: len(mixed)]], np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)])
+
+
+def near(left: list[str], right: list[str]) -> list[bool]:
+    """For each pair of normal forms: is the Jaccard similarity of their shingle sets SIMILAR or more?"""
+    each = list(dict.fromkeys([*left, *right]))
+    hashes, starts = shingles(each)
+    sets = {s: np.unique(hashes[a:b]) for s, a, b in zip(each, starts.tolist(), starts[1:].tolist())}
+    found = []
+    for x, y in zip(left, right):
+        p, q = sets[x], sets[y]
+        if min(len(p), len(q)) < SIMILAR * max(len(p), len(q)):
+            found.append(False)
+            continue
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        found.append(both >= SIMILAR * (len(p) + len(q) - both))
+    return found
+
+
+@cache
+def _factors() -> np.ndarray:
+    return np.random.default_rng(7).integers(1 << 20, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """The bucket of each of these normal forms in each band: lines x BANDS, all bands apart."""
+    hashes, starts = shingles(lines)
+    hashes = hashes.astype(np.uint32)
+    least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    # Lines are taken in groups that stay in the processor's cache.
+    group = starts[:-1] // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lines)]
+    for a, b in zip(cuts, cuts[1:]):
+        own, at = hashes[starts[a] : starts[b]], starts[a:b] - starts[a]
+        product = np.empty_like(own)
+        for k, factor in enumerate(_factors()):
+            np.multiply(own, factor, out=product)
+            np.minimum.reduceat(product, at, out=least[k, a:b])
     keys = np.empty((len(lines), BANDS), np.uint64)
-    product = np.empty_like(hashes)
-    factors = _factors()
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
-        for row in range(ROWS):
-            np.multiply(hashes, factors[band * ROWS + row], out=product)
-            key = (key ^ np.minimum.reduceat(product, starts)) * np.uint64(0x94D049BB133111EB)
+        for row in least[band * ROWS : (band + 1) * ROWS]:
+            key = (key ^ row) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys.view(np.int64)
@@ -132,16 +159,24 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs a, b of line ids that are near."""
+    """Those of the pairs a, b of line ids that are near, with the other columns of pairs."""
     told = texts.select(F.col("id").alias("a"), F.col("form").alias("x"))
-    both = pairs.join(told, "a").join(told.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = pairs.join(told, "a").join(told.toDF("b", "y"), "b").select(*pairs.columns, "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(x, y) >= SIMILAR for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                keep = near(part.column("x").to_pylist(), part.column("y").to_pylist())
+                yield pa.RecordBatch.from_arrays(part.columns[:-2], names=part.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
 
-    return both.mapInArrow(run, "a long, b long")
+def _open_buckets(rooted: DataFrame) -> DataFrame:
+    """The rows key, id, root of buckets of more than two lines that hold several components."""
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    return rooted.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi")
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -156,14 +191,22 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ids = texts.select("h", "id")
     spokes = members.filter("h <> hub").select("h", "hub").distinct()
     hubs = ids.select(F.col("h").alias("hub"), F.col("id").alias("b"))
-    first = durable(_verified(spokes.join(ids.withColumnRenamed("id", "a"), "h").join(hubs, "hub").select("a", "b"), texts))
-    roots = components(first).withColumnRenamed("node", "id")
+    links = durable(_verified(spokes.join(ids.withColumnRenamed("id", "a"), "h").join(hubs, "hub").select("a", "b"), texts))
+    roots = components(links).withColumnRenamed("node", "id")
     rooted = members.join(ids, "h").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high and n > 2").select("key")
-    rest = durable(rooted.join(open_keys, "key", "left_semi"))
+    rest = durable(_open_buckets(rooted))
+    for turn in range(TURNS):
+        if rest.isEmpty():
+            return links
+        hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "root")).alias("hub")).select("key", F.col("hub.id").alias("b"), F.col("hub.root").alias("to"))
+        pairs = rest.join(hub, "key").filter("root <> to").select(F.col("id").alias("a"), "b", "root", "to").distinct()
+        found = durable(_verified(pairs, texts))
+        links = links.unionByName(found.select("a", "b"))
+        merged = components(found, "root", "to").toDF("root", "top")
+        rest = durable(_open_buckets(rest.join(merged, "root", "left").select("key", "id", F.coalesce("top", "root").alias("root"))))
     other = rest.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
     across = rest.withColumnRenamed("id", "a").join(other, "key").filter("a < b and root <> other").select("a", "b").distinct()
-    return first.unionByName(_verified(across, texts))
+    return links.unionByName(_verified(across, texts))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ import numpy as np
 from test_simhash import roots
 
 from ledgerproof.llm import fuzzy_lines as f
+from ledgerproof.session import durable
+
+
+def similarity(a, b):
+    x, y = ({s[i : i + f.SHINGLE] for i in range(max(1, len(s) - f.SHINGLE + 1))} for s in (a, b))
+    return len(x & y) / len(x | y)
 
 
 def brute(rows):
     """The lines that go, by document."""
     own = [(i, k, f.normal(line)) for i, t in rows if i is not None for k, line in enumerate((t or "").split("\n")) if f.normal(line)]
     forms = sorted({s for _, _, s in own})
-    near = [(a, b) for i, a in enumerate(forms) for b in forms[:i] if min(len(a), len(b)) > 0.6 * max(len(a), len(b)) and f.similarity(a, b) >= 0.8]
+    near = [(a, b) for i, a in enumerate(forms) for b in forms[:i] if min(len(a), len(b)) > 0.6 * max(len(a), len(b)) and similarity(a, b) >= 0.8]
     root = roots(forms, near)
     first = {}
     for i, k, s in own:
@@ -49,13 +55,14 @@ def test_against_brute_force(spark):
     rows = made()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string").repartition(4)
     want = brute(rows)
-    got = f.without_near_lines(docs).collect()
+    report = durable(f.without_near_lines(docs))
+    got = report.collect()
     assert len(got) == len(rows)
     # A pair at the very threshold is missed once in a thousand; here none is.
     assert {r["doc_id"]: r["removed"] for r in got} == want
     by_id = dict(rows)
     assert all(r["n_lines"] == (0 if by_id[r["doc_id"]] is None else by_id[r["doc_id"]].count("\n") + 1) and r["n_removed"] == len(r["removed"]) for r in got)
-    texts = {r["doc_id"]: r["text"] for r in f.kept_texts(docs, f.without_near_lines(docs)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in f.kept_texts(docs, report).collect()}
     assert texts[9] == "\n".join(x for k, x in enumerate(by_id[9].split("\n")) if k not in want[9])
 
 
@@ -66,10 +73,12 @@ def test_recall_of_the_bands():
         a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 300)))
         at = rng.randrange(len(a) - 12)
         b = a[:at] + "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 9))) + a[at + rng.randrange(9) :]
-        if 0.8 <= f.similarity(a, b) < 0.9:
+        if 0.8 <= similarity(a, b) < 0.9:
             pairs.append((a, b))
     x, y = f.band_keys([a for a, _ in pairs]), f.band_keys([b for _, b in pairs])
     assert (x == y).any(axis=1).mean() > 0.995
+    assert f.near([a for a, _ in pairs], [b for _, b in pairs]) == [True] * len(pairs)
+    assert f.near(["a", "a b", pairs[0][0]], ["a", "a c", pairs[1][0]]) == [True, False, False]
     assert len(np.unique(f.band_keys(["short", "short x", "é" * 9]))) == 3 * f.BANDS
 
 
