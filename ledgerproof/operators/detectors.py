@@ -383,7 +383,8 @@ def selected_by_role(picks: Sequence[tuple[str, DataFrame]], merge: bool = True)
 
 
 def error_family() -> Column:
-    """The fixed ladder of families; an error type that it doesn't know stops the job."""
+    """The fixed ladder of families; an error type that it doesn't know stops the job.
+    Rows without an error have none."""
     kind, fact, question = F.col("error_type"), F.col("fact_type"), F.col("question_type")
     wrong = (
         F.when(question == "top3_products_month", "confident_wrong_top3_ranked_item")
@@ -399,8 +400,8 @@ def error_family() -> Column:
         .when(fact == "ranking", "correct_ranking_flagged_uncertain")
         .otherwise("correct_other_fact_flagged_uncertain")
     )
-    unknown = F.raise_error(F.concat(F.lit("unknown error type "), F.coalesce(kind, F.lit("NULL")))).cast("string")
-    return F.when(kind == "false_negative", wrong).when(kind == "false_positive", flagged).otherwise(unknown)
+    unknown = F.raise_error(F.concat(F.lit("unknown error type "), kind)).cast("string")
+    return F.when(kind == "false_negative", wrong).when(kind == "false_positive", flagged).when(kind.isNotNull(), unknown)
 
 
 def severity() -> Column:
