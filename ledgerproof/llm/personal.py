@@ -28,8 +28,8 @@ from ledgerproof.llm.common import expand_rows, fresh, table
 #: The kinds in the order of the output; label 0 is none.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-#: Documents with digits that the weights are learnt from at most.
-SAMPLE = 2000
+#: Documents with digits that the weights are learnt from at most, and how many are looked at for each.
+SAMPLE, LOOKED_AT = 2000, 20
 #: Trust that a mention which no base pattern takes is none.
 UNLABELLED_TRUST = 0.8
 #: Log odds of none for shapes that the sample lacks, and how strongly weights are held to them.
@@ -222,8 +222,11 @@ def fit(found: list[Mentions]) -> Field:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
-    """Learns on the documents with digits that have the smallest id hashes, `sample` at most."""
-    some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    """Learns on documents with digits, `sample` at most: those with the smallest hashes of ids
+    in a share of the table that has about LOOKED_AT documents for each one wanted."""
+    share = min(1.0, LOOKED_AT * sample / max(1, docs.count()))
+    inside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = docs.select("doc_id", "text").filter(inside & F.col("text").rlike("[0-9]")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
 
     def compute(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text in chunk.column("text").to_pylist():
