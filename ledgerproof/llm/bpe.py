@@ -106,36 +106,51 @@ class PerfectHash:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Merges the lowest-ranked neighbours, leftmost first, until none is in the vocabulary.
 
-    A heap holds (rank, place) of the pairs and links hold each part's neighbours, so a
-    pre-token of n bytes takes n log n steps however long it is.
+    A heap holds rank and place of the pairs as one number and links hold each part's
+    neighbours, so a pre-token of n bytes takes n log n steps however long it is.
     """
-    n = len(piece)
+    n, rank_of, push, pop = len(piece), ranks.get, heapq.heappush, heapq.heappop
+    if n == 1:
+        return (ranks[piece],)
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    parts = [piece[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = list(range(1, n + 1))
-    rank_of = [ranks.get(piece[i : i + 2]) for i in range(n - 1)] + [None]
-    heap = [(r, i) for i, r in enumerate(rank_of) if r is not None]
+    # The heap entry of each part and its right neighbour; others in the heap are outdated.
+    valid = [-1] * n
+    heap = []
+    for i in range(n - 1):
+        rank = rank_of(piece[i : i + 2])
+        if rank is not None:
+            valid[i] = entry = rank << bits | i
+            heap.append(entry)
     heapq.heapify(heap)
     while heap:
-        rank, i = heapq.heappop(heap)
-        if rank_of[i] != rank:
+        entry = pop(heap)
+        i = entry & low
+        if valid[i] != entry:
             continue
         j = after[i]
-        end[i], after[i], rank_of[j] = end[j], after[j], None
-        if after[i] < n:
-            before[after[i]] = i
-            rank_of[i] = ranks.get(piece[i : end[after[i]]])
-            if rank_of[i] is not None:
-                heapq.heappush(heap, (rank_of[i], i))
-        else:
-            rank_of[i] = None
-        if before[i] >= 0:
-            h = before[i]
-            rank_of[h] = ranks.get(piece[h : end[i]])
-            if rank_of[h] is not None:
-                heapq.heappush(heap, (rank_of[h], h))
+        k = after[i] = after[j]
+        parts[i] = own = parts[i] + parts[j]
+        valid[i] = valid[j] = -1
+        if k < n:
+            before[k] = i
+            rank = rank_of(own + parts[k])
+            if rank is not None:
+                valid[i] = entry = rank << bits | i
+                push(heap, entry)
+        h = before[i]
+        if h >= 0:
+            rank = rank_of(parts[h] + own)
+            if rank is None:
+                valid[h] = -1
+            else:
+                valid[h] = entry = rank << bits | h
+                push(heap, entry)
     found, i = [], 0
     while i < n:
-        found.append(ranks[piece[i : end[i]]])
+        found.append(ranks[parts[i]])
         i = after[i]
     return tuple(found)
 
