@@ -5,7 +5,8 @@ mentions are these spans and everything else that looks like a number of some le
 spelled-out address. The field labels mentions with a kind or none. Neighbouring mentions
 share a chain potential. Mentions of the same normal form (the last digits, or the address
 in one spelling), however far apart, share a skip potential through a node of their own, so
-a group of any size has as many skip edges as members. Base spans are evidence; loopy
+a group of any size has as many skip edges as members. Shorter numbers are mentions if they
+repeat the parts of a short base span or the local part of a phone number. Base spans are evidence; loopy
 messages carry it to the other mentions of the form. Weights are learnt from the base spans
 of a bounded sample of documents.
 """
@@ -37,6 +38,8 @@ NONE_PRIOR, DECAY = 3.0, 0.01
 ROUNDS, DAMPING, CLAMP = 30, 0.3, 30.0
 #: Digits that numbers must end in alike to share a skip potential.
 SAME_DIGITS = 8
+#: Digits of a phone number without its area code.
+LOCAL_DIGITS = 7
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +49,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_=@])\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9])+(?![A-Za-z0-9_@])")
 _SPELLED = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_AT = re.compile(r"@|\[at\]|\(at\)|\x20at\x20", re.IGNORECASE)
+_DOT = re.compile(r"\x20?(?:\.|\[dot\]|\(dot\)|\x20dot\x20)\x20?", re.IGNORECASE)
 _DIGITS = re.compile("[^0-9]+")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -106,13 +111,36 @@ def _features(s: str) -> list[float]:
     ]
 
 
-def _form(s: str) -> str | None:
+def _short_forms(base: list[tuple[int, str]]) -> dict[str, str]:
+    """What a number of too few digits can repeat, and its form: a short base span part by part
+    (the digits alone could be a year or a count), or the end of a phone number."""
+    forms: dict[str, str] = {}
+    for kind, s in base:
+        digits = _DIGITS.sub("", s)
+        if KINDS[kind] == "phone":
+            forms.setdefault(digits[-LOCAL_DIGITS:], digits[-SAME_DIGITS:])
+        elif KINDS[kind] != "email" and len(digits) < SAME_DIGITS:
+            parts = _DIGITS.sub(".", s)
+            forms[parts] = parts
+    return forms
+
+
+def _form(s: str, short: dict[str, str]) -> str | None:
     """The normal form that repeated and similar mentions share."""
     low = s.lower()
     if "@" in low or "at" in low:
         return re.sub(r"\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?", ".", re.sub(r"\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?", "@", low)).replace(" ", "")
     digits = _DIGITS.sub("", s)
-    return digits[-SAME_DIGITS:] if len(digits) >= SAME_DIGITS else None
+    return digits[-SAME_DIGITS:] if len(digits) >= SAME_DIGITS else short.get(digits) or short.get(_DIGITS.sub(".", s).strip("."))
+
+
+def _spelled(text: str, addresses: set[str]) -> Iterator[tuple[int, int]]:
+    """What looks like an address. The next sentence can look like more of the domain, so a known address ends where it does."""
+    at = 0
+    while m := _SPELLED.search(text, at):
+        ends = [m.end(), *(m.start() + d.start() for d in reversed(list(_DOT.finditer(m[0]))))]
+        at = next((e for e in ends if _form(text[m.start() : e], {}) in addresses), m.end())
+        yield m.start(), at
 
 
 def mentions(text: str, base: list[Span]) -> Mentions:
@@ -124,15 +152,18 @@ def mentions(text: str, base: list[Span]) -> Mentions:
             known[a, b] = kind + 1
             last = b
     taken = sorted((a, b) for _, a, b in base)
+    short = _short_forms([(kind - 1, text[a:b]) for (a, b), kind in known.items()])
     loose = []
-    patterns = [_NUMBER] + ([_SPELLED] if re.search(r"[\[( ]at[\]) ]", text, re.IGNORECASE) and "@" in text else [])
+    patterns: list[Iterator[tuple[int, int]]] = [(m.span() for m in _NUMBER.finditer(text))]
+    if _AT.search(text):
+        patterns.append(_spelled(text, {_form(text[a:b], {}) for (a, b), kind in known.items() if kind == 1}))
     for pattern in patterns:
         k = 0
-        for m in pattern.finditer(text):
-            while k < len(taken) and taken[k][1] <= m.start():
+        for a, b in pattern:
+            while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if (k == len(taken) or taken[k][0] >= m.end()) and _form(m[0]):
-                loose.append((m.start(), m.end()))
+            if (k == len(taken) or taken[k][0] >= b) and _form(text[a:b], short):
+                loose.append((a, b))
     for a, b in sorted(loose):
         if not any((a, b) == s for s in known):
             known.setdefault((a, b), 0)
@@ -141,7 +172,7 @@ def mentions(text: str, base: list[Span]) -> Mentions:
         if s[0] >= clear or known[s]:
             spans.append(s)
             clear = max(clear, s[1])
-    forms = [_form(text[a:b]) for a, b in spans]
+    forms = [_form(text[a:b], short) for a, b in spans]
     number: dict[str, int] = {}
     group = [-1 if f is None else number.setdefault(f, len(number)) for f in forms]
     features = np.array([_features(text[a:b]) for a, b in spans], np.float64).reshape(-1, FEATURES)
@@ -243,11 +274,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
 def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and added spans, by kind and start."""
     base = sorted(base_spans(text)) if text else []
-    if not base:
-        # Without evidence no form is known; single mentions stay below one half.
-        return base, base
-    m = mentions(text, base)
+    m = mentions(text or "", base)
     if all(m.known):
+        # Nothing is left to label.
         return base, base
     p = field.marginals(m)
     best = p.argmax(axis=1)

@@ -79,6 +79,21 @@ def test_similar_mentions_get_the_label_of_a_base_span(spark):
     assert not any(added[k] for k in range(4, 8))
 
 
+
+def test_prefilters_keep_no_mention_from_the_field(spark):
+    field = p.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).value
+    for text, want in {
+        "Mail bob@example.com now, later bob @ example.com": {("email", "bob @ example.com")},
+        "Mail bob@example.com. Later bob @ example.com. Thanks": {("email", "bob @ example.com")},
+        "Host 10.0.0.1 is 10-0-0-1 there": {("ip", "10-0-0-1")},
+        "Call +1 (375) 555-4393 or locally 555-4393": {("phone", "555-4393")},
+        "Version 2.0.2.4 of 2024": set(),
+        "No base span: +1 375/555/4393": {("phone", "+1 375/555/4393")},
+    }.items():
+        base, spans = p.all_spans(text, field)
+        assert {(p.KINDS[k], text[a:b]) for k, a, b in spans if (k, a, b) not in base} == want, text
+
+
 def test_query_over_the_table(spark):
     root = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
