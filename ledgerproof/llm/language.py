@@ -3,7 +3,8 @@
 Texts are lower-cased and everything but letters becomes one space. Runs of one to three
 characters are hashed into BUCKETS; the log-probabilities of buckets by language are one
 matrix that is broadcast (BUCKETS x languages). A batch of texts is scored as one sparse
-product: the matrix rows of all its n-grams, summed within each text.
+product: the matrix rows of all its n-grams, summed within each text. More languages than
+one matrix holds are scored in blocks, a pass for each, which carry the best and the log-sum.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerproof.llm.common import expand_rows, fresh, held_out, table
+from ledgerproof.session import durable
 
 BUCKETS = 1 << 14
-#: Documents of each language that are learnt from at most, and languages at most: they bound the matrix.
+#: Documents of each language that are learnt from at most, and languages in one block: they bound a matrix.
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 20_000, 400
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -54,16 +56,20 @@ class Model:
     log_prior: np.ndarray
     log_likelihood: np.ndarray  # buckets x languages
 
-    def predict(self, texts: list[str | None], lettered: list[bool]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its posterior."""
+    def totals(self, texts: list[str | None], lettered: list[bool]) -> np.ndarray:
+        """The joint log-probability of each text with each language."""
         totals = np.tile(self.log_prior, (len(texts), 1))
         for k, (text, has) in enumerate(zip(texts, lettered)):
             if has and self.languages:
                 grams = hashed(text)
                 for a in range(0, len(grams), STEP):
                     totals[k] += self.log_likelihood[grams[a : a + STEP]].sum(axis=0, dtype=np.float64)
+        return totals
+
+    def predict(self, texts: list[str | None], lettered: list[bool]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its posterior."""
         names, scores = [], []
-        for row, has in zip(totals, lettered):
+        for row, has in zip(self.totals(texts, lettered), lettered):
             if not has or not self.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -82,49 +88,87 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def compute(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, row in sums.items():
+                (at,) = np.nonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at < BUCKETS, at, -1), pa.int32()), pa.array(row[at])], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
             row = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
             row[:BUCKETS] += np.bincount(hashed(text or ""), minlength=BUCKETS)
             row[BUCKETS] += 1
-        for lang, row in sums.items():
-            (at,) = np.nonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at < BUCKETS, at, -1), pa.int32()), pa.array(row[at])], names=["lang", "bucket", "n"])
+            if len(sums) >= MAX_LANGUAGES:
+                yield from told()
+        yield from told()
 
     return expand_rows(docs.select("lang", "text"), "text", compute, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, learn, per_language: int = SAMPLE_PER_LANGUAGE) -> Broadcast:
+def train(docs: DataFrame, learn, per_language: int = SAMPLE_PER_LANGUAGE, block: int = MAX_LANGUAGES) -> Broadcast | list[Broadcast]:
     """Learns from the rows of docs where the column `learn` holds and lang and text are there.
 
     Of a language with more than per_language such documents those with small id hashes are
-    taken, about per_language of them. More than MAX_LANGUAGES languages are an error.
+    taken, about per_language of them. More than `block` languages make a list of models, in the
+    order of names.
     """
     spark = docs.sparkSession
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in usable.select("lang").groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in usable.select("lang").groupBy("lang").count().collect()}
     large = {lang: per_language / n for lang, n in sizes.items() if n > per_language}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     if large:
         share = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col("lang")], F.lit(1.0))
         usable = usable.filter(part < share)
     languages = sorted(sizes)
-    counts = np.zeros((BUCKETS, len(languages)))
-    documents = np.zeros(len(languages))
-    place = {lang: k for k, lang in enumerate(languages)}
-    # At most BUCKETS + 1 rows for each language.
-    for lang, bucket, n in counted(usable).collect():
-        if bucket < 0:
-            documents[place[lang]] = n
-        else:
-            counts[bucket, place[lang]] = n
-    smooth = counts + SMOOTHING
-    prior = np.log((documents + 1) / (documents + 1).sum()) if languages else np.zeros(0)
-    return spark.sparkContext.broadcast(Model(languages, prior, np.log(smooth / smooth.sum(axis=0)).astype(np.float32)))
-
-
-def identified(docs: DataFrame, model: Broadcast, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    rows = counted(usable)
+    blocks = [languages[a : a + block] for a in range(0, len(languages), block)] or [[]]
+    if len(blocks) > 1:
+        rows = durable(rows)
+    learnt = {r["lang"]: r["n"] for r in rows.filter("bucket < 0").collect()} if len(blocks) > 1 else {}
+    models = []
+    for names in blocks:
+        counts = np.zeros((BUCKETS, len(names)))
+        documents = np.zeros(len(names))
+        place = {lang: k for k, lang in enumerate(names)}
+        # At most BUCKETS + 1 rows for each language.
+        inside = rows.filter(F.col("lang").between(names[0], names[-1])) if len(blocks) > 1 else rows
+        for lang, bucket, n in inside.collect():
+            if bucket < 0:
+                documents[place[lang]] = n
+            else:
+                counts[bucket, place[lang]] = n
+        smooth = counts + SMOOTHING
+        everything = sum(learnt.values()) + len(languages) if learnt else (documents + 1).sum()
+        prior = np.log((documents + 1) / everything) if names else np.zeros(0)
+        models.append(spark.sparkContext.broadcast(Model(names, prior, np.log(smooth / smooth.sum(axis=0)).astype(np.float32))))
+    return models if len(models) > 1 else models[0]
+
+
+def _scored(docs: DataFrame, model: Broadcast, lettered: str, best: str, top: str, total: str) -> DataFrame:
+    """docs with the best language so far, its joint log-probability and the log-sum of all so far."""
+    more = best in docs.columns
+    kept = [c for c in docs.columns if c not in (best, top, total)]
+
+    def compute(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block = model.value
+        rows = block.totals(part.column("text").to_pylist(), part.column(lettered).to_pylist())
+        at = rows.argmax(axis=1)
+        tops = rows[np.arange(len(rows)), at]
+        sums = tops + np.log(np.exp(rows - tops[:, None]).sum(axis=1))
+        names = [block.languages[k] for k in at]
+        if more:
+            old = part.column(top).to_numpy(zero_copy_only=False)
+            names = [a if x >= y else b for a, b, x, y in zip(part.column(best).to_pylist(), names, old, tops)]
+            tops, sums = np.maximum(old, tops), np.logaddexp(part.column(total).to_numpy(zero_copy_only=False), sums)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(tops), pa.array(sums)], names=[*kept, best, top, total])
+
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(best, T.StringType()), T.StructField(top, T.DoubleType()), T.StructField(total, T.DoubleType())])
+    return expand_rows(docs, "text", compute, schema)
+
+
+def identified(docs: DataFrame, model: Broadcast | list[Broadcast], lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the likeliest language of each whole text and its posterior, 0 to 1.
 
     Only the text is looked at. A text that is missing or has no letter is `und` with score
@@ -138,6 +182,12 @@ def identified(docs: DataFrame, model: Broadcast, lang_pred: str = "lang_pred",
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_pred, score])
 
     marked = docs.withColumn(lettered, F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)))
+    if isinstance(model, list):
+        best, top, total = fresh(marked, "best", "top", "total")
+        for k, one in enumerate(model):
+            marked = _scored(durable(marked) if k else marked, one, lettered, best, top, total)
+        has = F.col(lettered)
+        return marked.withColumns({lang_pred: F.when(has, F.col(best)).otherwise(UNKNOWN), score: F.when(has, F.exp(F.col(top) - F.col(total))).otherwise(0.0)}).drop(lettered, best, top, total)
     schema = T.StructType([*marked.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return expand_rows(marked, "text", compute, schema).drop(lettered)
 

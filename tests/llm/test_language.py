@@ -61,3 +61,23 @@ def test_odd_rows(spark, learn):
         assert (r["_lang_pred"] == "und") == (not lettered or not learn)
         assert 0 <= r["score"] <= 1 and (r["_lang_pred"] != "und" or r["score"] == 0)
     assert language.identified(docs.limit(0), language.train(docs.limit(0), F.lit(True))).count() == 0
+
+
+def test_blocks_of_languages_score_as_one_matrix(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k * 3 + j, f"l{k:02d}", " ".join(letters[(k * 7 + i * i + j) % 26] * (1 + i % 3) for i in range(12))) for k in range(11) for j in range(3)]
+    docs = spark.createDataFrame([*rows, (98, None, "12 3"), (99, None, None)], "doc_id long, lang string, text string")
+    every = language.F.lit(True)
+    one, blocks = (language.train(docs, every, block=n) for n in (400, 3))
+    assert len(blocks) == 4
+    a, b = ({r["doc_id"]: r for r in language.identified(docs, m).collect()} for m in (one, blocks))
+    assert a.keys() == b.keys() and len(a) == 35
+    for k, r in a.items():
+        assert r["lang_pred"] == b[k]["lang_pred"] and abs(r["score"] - b[k]["score"]) < 1e-9
+
+
+def test_more_languages_than_one_block(spark):
+    n = language.MAX_LANGUAGES + 1
+    docs = spark.createDataFrame([(k, f"l{k:03d}", "abc " * 3) for k in range(n)], "doc_id long, lang string, text string")
+    got = language.identified(docs, language.train(docs, language.F.lit(True))).collect()
+    assert len(got) == n and {r["lang_pred"] for r in got} == {"l000"}
