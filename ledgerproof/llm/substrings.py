@@ -11,7 +11,8 @@ paths of an anchor are equal the graph doesn't branch, and each path but those o
 document repeats as a whole, without looking at its windows. Only where paths of an anchor
 differ are they opened: the words at their coordinates are read again and their windows
 meet one by one. Paths and windows are equal when anchor and content agree, two hashes of 64
-bits each; verify() compares the words of spans at their source coordinates.
+bits each, and removal trusts them; verify() looks for the words of a span anywhere in its
+source document, for audits.
 
 A path that is cut at any place stays right, since equal windows have equal anchors. Long
 texts are therefore read in segments.
@@ -213,7 +214,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def verify(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs whose words are nowhere in the document that they name as their source.
 
-    Reads the words at the coordinates of both: for audits, since it reads all texts twice more.
+    Runs hold no place in the source: for audits, since it reads all texts twice more.
     """
     own, source = fresh(runs, "own", "source")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ").alias(own))
