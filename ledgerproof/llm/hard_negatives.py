@@ -315,9 +315,9 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT a.vec_id AS anchor_id, e.vec_id AS id, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score, a.label = e.label AS positive
   FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
@@ -325,9 +325,10 @@ WITH e AS (
   SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE positive
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
 )
-SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
-FROM positives JOIN pairs USING (anchor_id)
-WHERE NOT positive AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
-WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
-QUALIFY row_number() OVER w <= 5
+SELECT * FROM (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+         id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN pairs USING (anchor_id)
+  WHERE NOT positive AND 80 * positive_score <= 100 * score AND score <= positive_score
+) WHERE rank <= 5
 """
