@@ -86,15 +86,6 @@ def running_offsets(
     ).drop("_chunk", "_ahead")
 
 
-def running_max(
-    df: DataFrame, key: Sequence[str], position: str, value: str, name: str, chunk: int = 4096
-) -> DataFrame:
-    """Adds the largest `value` up to and including this row, per key."""
-    joined, inside = _chunks(df, key, position, value, F.max, chunk)
-    upto = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn(name, F.greatest(upto, "_ahead")).drop("_chunk", "_ahead")
-
-
 def top_n(
     df: DataFrame, n: int, partition_by: Sequence[str], order_by: Sequence[Column], rank: str = "rank"
 ) -> DataFrame:

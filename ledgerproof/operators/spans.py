@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import exact_mean
-from ledgerproof.operators.ordering import running_max, running_offsets, running_totals
+from ledgerproof.operators.ordering import running_offsets, running_totals
 from ledgerproof.session import durable
 
 # The markers token texts may carry.
@@ -21,39 +21,85 @@ def is_special(token_text: Column) -> Column:
     return token_text.startswith(SPECIAL_PREFIX) & token_text.endswith(SPECIAL_SUFFIX)
 
 
-def repair_byte_pairs(tokens: DataFrame, key: Sequence[str] = ("qid",)) -> DataFrame:
-    """Adds `display_text`: a token ending in U+FFFD followed by a lone U+FFFD becomes
-    its prefix plus an approximation sign.
+def placed_tokens(tokens: DataFrame, key: Sequence[str] = ("qid",), chunk: int = 4096) -> DataFrame:
+    """Repaired text and half-open character offsets of every token, in one scan.
+
+    A token ending in U+FFFD followed by a lone U+FFFD becomes its prefix plus an approximation
+    sign. Pairs form left to right inside a run of such tokens, so the place in the run decides;
+    neighbours meet by position. Special tokens have no width.
 
-    Pairs form left to right inside a run of such tokens, so parity inside the run
-    decides. Only tokens that end in U+FFFD take part; neighbours meet by position.
+    A document is cut into chunks of positions. What a chunk leaves open is one row: its width
+    for either way in which a run can enter it, how it begins, and the run at its end. The rows of
+    a document are put together in order, and each chunk gets the state that it starts with.
+    Adds display_text, is_special_token, aligned_text, char_start and char_end.
     """
-    marked = tokens.filter(F.col("token_text").endswith(REPLACEMENT)).select(*key, "position", "token_text")
-    lone = F.col("token_text") == REPLACEMENT
-    before = marked.select(*key, (F.col("position") + 1).alias("position"), F.lit(True).alias("_before"))
-    after = marked.filter(lone).select(*key, (F.col("position") - 1).alias("position"), F.lit(True).alias("_after"))
-    met = marked.join(before, [*key, "position"], "left").join(after, [*key, "position"], "left")
-    continues = lone & F.col("_before").isNotNull()
-    starts = met.withColumn("_own_start", F.when(~continues, F.col("position")))
-    runs = running_max(starts, key, "position", "_own_start", "_start")
-    odd = F.pmod(F.col("position") - F.col("_start"), F.lit(2)) == 1
-    fixed = runs.select(
-        *key,
-        "position",
-        F.when(odd, APPROX)
-        .when(F.col("_after").isNotNull(), F.expr("substring(token_text, 1, length(token_text) - 1)"))
-        .otherwise(F.col("token_text"))
-        .alias("_fixed"),
+    keys = [*key, "_chunk"]
+    inside = Window.partitionBy(*keys).orderBy("position")
+    upto, before = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    text, at = F.col("token_text"), F.col("position")
+    lone, marked = text == REPLACEMENT, text.endswith(REPLACEMENT)
+    joins = lone & (F.lag(at).over(inside) == at - 1) & F.lag(marked).over(inside)
+    local = tokens.withColumn("_chunk", F.floor(at / chunk)).withColumns(
+        {
+            "_head": F.first(F.struct(at.alias("at"), lone.alias("lone"))).over(upto),
+            "_start": F.when(marked & ~F.coalesce(joins, F.lit(False)), at),
+            "_followed": F.coalesce((F.lead(at).over(inside) == at + 1) & F.lead(lone).over(inside), F.lit(False)),
+        }
     )
+    local = local.withColumn("_start", F.last("_start", ignorenulls=True).over(upto))
+    # A run that may have begun in an earlier chunk.
+    entered = marked & F.col("_head.lone") & (F.col("_start") == F.col("_head.at"))
+
+    def odd(entering: Column) -> Column:
+        return F.pmod(at - F.col("_start") + F.when(entered, entering).otherwise(0), F.lit(2)) == 1
+
+    def width(entering: int) -> Column:
+        cut = marked & F.col("_followed") & ~odd(F.lit(entering))
+        return F.sum(F.when(is_special(text), 0).otherwise(F.length(text) - F.coalesce(cut, F.lit(False)).cast("int")))
+
+    rows = local.groupBy(*keys).agg(
+        F.min(F.struct(at.alias("at"), lone.alias("lone"))).alias("_from"),
+        F.max(F.struct(at.alias("at"), marked.alias("marked"), F.col("_start").alias("start"), entered.alias("entered"))).alias("_to"),
+        width(0).alias("_even"), width(1).alias("_odd"),
+    )
+    along = Window.partitionBy(*key).orderBy("_chunk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    last, following = F.lag("_to").over(along), F.lead("_from").over(along)
+    states = rows.withColumns(
+        {
+            "_continues": F.coalesce(F.col("_from.lone") & (last["at"] == F.col("_from.at") - 1) & last["marked"], F.lit(False)),
+            "_next": F.coalesce(following["lone"] & (following["at"] == F.col("_to.at") + 1), F.lit(False)),
+        }
+    )
+    open_start = F.when(~(F.col("_to.entered") & F.col("_continues")), F.col("_to.start"))
+    states = states.withColumn("_open", F.last(open_start, ignorenulls=True).over(earlier))
+    states = states.withColumn("_entering", F.when(F.col("_continues"), F.pmod(F.col("_from.at") - F.col("_open"), F.lit(2))).otherwise(0))
+    place = F.col("_to.at") - F.col("_to.start") + F.when(F.col("_to.entered"), F.col("_entering")).otherwise(0)
+    cut_at_end = F.col("_next") & F.col("_to.marked") & (F.pmod(place, F.lit(2)) == 0)
+    total = F.when(F.col("_entering") == 1, F.col("_odd")).otherwise(F.col("_even")) - F.coalesce(cut_at_end, F.lit(False)).cast("int")
+    states = states.select(
+        *keys, "_entering", "_next", F.col("_to.at").alias("_end"), F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias("_ahead")
+    )
+    special = is_special(text)
+    cut = (F.col("_followed") | (F.col("_next") & (at == F.col("_end")))) & ~odd(F.col("_entering"))
+    shown = F.when(marked & odd(F.col("_entering")), APPROX).when(marked & cut, F.expr("substring(token_text, 1, length(token_text) - 1)")).otherwise(text)
     return (
-        tokens.join(fixed, [*key, "position"], "left")
-        .withColumn("display_text", F.coalesce("_fixed", "token_text"))
-        .drop("_fixed")
+        local.join(states, keys)
+        .withColumn("display_text", shown)
+        .withColumns({"is_special_token": special, "aligned_text": F.when(special, "").otherwise(F.col("display_text"))})
+        .withColumn("char_start", F.col("_ahead") + F.coalesce(F.sum(F.length("aligned_text")).over(before), F.lit(0)))
+        .withColumn("char_end", F.col("char_start") + F.length("aligned_text"))
+        .select(*tokens.columns, "display_text", "is_special_token", "aligned_text", "char_start", "char_end")
     )
 
 
+def repair_byte_pairs(tokens: DataFrame, key: Sequence[str] = ("qid",)) -> DataFrame:
+    """Adds `display_text` only; see `placed_tokens`."""
+    return placed_tokens(tokens, key).select(*tokens.columns, "display_text")
+
+
 def token_offsets(tokens: DataFrame, key: Sequence[str] = ("qid",)) -> DataFrame:
-    """Half-open character offsets from token widths; special tokens have width 0."""
+    """Half-open character offsets from the widths of display_text; special tokens have width 0."""
     special = is_special(F.col("token_text"))
     sized = tokens.withColumns(
         {

@@ -83,7 +83,7 @@ def score_rows(tokens: DataFrame) -> DataFrame:
 
 
 def tokens(spark, root) -> DataFrame:
-    return spans.token_offsets(spans.repair_byte_pairs(traces(spark, root)))
+    return spans.placed_tokens(traces(spark, root))
 
 
 LABELS = ["correct_key_fact", "hallucinated_key_fact", "unsupported_claim", "ambiguous_or_unverifiable", "ignore"]

@@ -70,6 +70,28 @@ def test_byte_pair_repair_matches_the_sequential_rule(spark):
     assert got == {q: looped_repair(ts) for q, ts in docs.items()}
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 4096])
+def test_placed_tokens_over_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    docs = {f"d{n}": [rng.choice(["�", "�", "�", " �", "ab", "<|x|>", "é�"]) for _ in range(rng.randint(1, 40))] for n in range(60)}
+    docs["run"], docs["lone"] = ["a�"] + ["�"] * 40 + ["b"], ["�"] * 41
+    gaps = {q: rng.choice([None, len(ts) // 2]) for q, ts in docs.items()}
+    place = lambda q, i: i + (gaps[q] is not None and i >= gaps[q])
+    rows = [(q, place(q, i), t) for q, ts in docs.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "qid string, position long, token_text string").repartition(3)
+    got = {}
+    for r in spans.placed_tokens(df, chunk=chunk).orderBy("qid", "position").collect():
+        got.setdefault(r["qid"], []).append((r["display_text"], r["aligned_text"], r["char_start"], r["char_end"]))
+    for q, ts in docs.items():
+        cut = gaps[q] if gaps[q] is not None else len(ts)
+        at, want = 0, []
+        for t in looped_repair(ts[:cut]) + looped_repair(ts[cut:]):
+            kept = "" if t == "<|x|>" else t
+            want.append((t, kept, at, at + len(kept)))
+            at += len(kept)
+        assert got[q] == want, q
+
+
 def test_overlap_join_matches_brute_force(spark):
     rng = random.Random(4)
     tokens, at = [], 0

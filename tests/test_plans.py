@@ -1,5 +1,7 @@
 """Plan shapes that must hold whatever the data size."""
 
+import re
+
 import pytest
 
 from ledgerproof.plans import views
@@ -49,6 +51,13 @@ def test_documents_are_cut_once(spark, monkeypatch):
     assert len(calls) == 1 and "documents.parquet" not in plan
 
 
+def test_the_token_table_is_read_twice_at_most(spark):
+    plan = plan_of(QUERIES["w10_token_offsets"](spark, ROOT)).split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") <= 2 and len(re.findall(r"Exchange (hash|range)partitioning", plan)) <= 5
+    plan = plan_of(QUERIES["a17_span_features"](spark, ROOT)).split("== Initial Plan ==")[-1]
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "token_text" in line]) <= 2
+
+
 def test_stages_are_removed(spark):
     import os
 
