@@ -11,7 +11,8 @@ Sorting is by range over many tasks. An interval that is open where a slice begi
 again there: at most the depth of nesting for each slice. A key that many urls share is cut by
 a hash. Before the sweep urls are reduced to what rules can see, as many labels and characters
 as the deepest and longest rule has, and repeated ones are one row; afterwards urls look their
-answer up by a join that adaptive execution can split.
+answer up by a join. Spark broadcasts the answers where their stored size is below its limit; else
+adaptive execution can split the join.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def judged(pages: DataFrame, rules: DataFrame, keep: Sequence[str] = ("page_id",
         .select(_key(F.slice(parts, F.lit(1), F.col("n")), F.col("head")).alias("key"), "tail", "head")
     )
     found = innermost(asked, usable).filter("rule is not null").groupBy("tail", "head").agg(F.max("rule").alias("best"))
-    found = found.toDF(tail, head, "best")
+    # Stored, so that its size is known before pages are shuffled: a small table goes to the pages instead.
+    found = durable(found.toDF(tail, head, "best"))
     judged = pages.select(*keep, url).select(*(F.col(c) for c in dict.fromkeys((*keep, url))), *(c.alias(n) for n, c in seen.items()))
     return judged.join(found, [tail, head], "left").select(
         *keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
