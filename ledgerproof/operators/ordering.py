@@ -86,6 +86,45 @@ def running_offsets(
     ).drop("_chunk", "_ahead")
 
 
+def with_previous(
+    df: DataFrame, key: Sequence[str], position: str, columns: Sequence[str], name: str = "previous", chunk: int = 4096
+) -> DataFrame:
+    """Adds the struct of `columns` of the row before, per key in order of position.
+
+    A lag over chunks of positions: inside a chunk it is a window, and a chunk's first row gets
+    the last row of the nearest chunk ahead that has rows. A key of any size spreads over tasks.
+    """
+    keys = [*key, "_chunk"]
+    chunked = df.withColumn("_chunk", F.floor(F.col(position) / chunk)).withColumn("_own", F.struct(position, *columns))
+    ahead = Window.partitionBy(*key).orderBy("_chunk")
+    edges = chunked.groupBy(*keys).agg(F.max("_own").alias("_last"))
+    edges = edges.select(*keys, F.lag("_last").over(ahead).alias("_edge"))
+    inside = Window.partitionBy(*keys).orderBy(position)
+    return (
+        chunked.join(edges, keys)
+        .withColumn(name, F.coalesce(F.lag("_own").over(inside), "_edge"))
+        .drop("_chunk", "_own", "_edge")
+    )
+
+
+def sorted_stretches(
+    df: DataFrame, key: Sequence[str], position: str, value: str, descending: bool = False, chunk: int = 4096
+) -> DataFrame:
+    """Per key: rows, breaks (neighbours out of order) and longest_run (rows of the longest stretch in order).
+
+    Neighbours are compared, edges of chunks included; equal and missing values break nothing.
+    A key is in order where it has no breaks, and then its longest run is all of it.
+    """
+    paired = with_previous(df.select(*key, position, value), key, position, [value], "_before", chunk)
+    here, before = F.col(value), F.col("_before")[value]
+    breaks = F.coalesce(here > before if descending else here < before, F.lit(False)).cast("int")
+    runs = running_offsets(paired.select(*key, position, breaks.alias("_break")), key, position, "_break", "_run", chunk)
+    lengths = runs.groupBy(*key, (F.col("_run") + F.col("_break")).alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    return lengths.groupBy(*key).agg(
+        F.sum("_n").alias("rows"), (F.count(F.lit(1)) - 1).alias("breaks"), F.max("_n").alias("longest_run")
+    )
+
+
 def top_n(
     df: DataFrame, n: int, partition_by: Sequence[str], order_by: Sequence[Column], rank: str = "rank"
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import currency, fixed2
+from ledgerproof.operators.ordering import sorted_stretches
 
 # Display names of evidence columns and the template texts.
 DISPLAY = {
@@ -74,6 +75,9 @@ CONTROL_NOTE = (
 )
 
 
+CONTROL_POLICY = "sorted_by_net_revenue_desc_control"
+
+
 def _family(question_type: Column) -> Column:
     return (
         F.when(question_type.isin(*PRODUCT_TYPES), "product")
@@ -207,7 +211,7 @@ def table_contract_prompts(questions: DataFrame, partial_month: str, partial_not
     """The fixed-table answer contract; `control` shows evidence already sorted."""
     ranked = questions.filter(F.col("question_type") == "top3_products_month")
     if control:
-        rows, policy, suffix = metric_descending(F.col("evidence.rows")), F.lit("sorted_by_net_revenue_desc_control"), "_top3_sorted_control"
+        rows, policy, suffix = metric_descending(F.col("evidence.rows")), F.lit(CONTROL_POLICY), "_top3_sorted_control"
     else:
         policy, suffix = row_order_policy(F.col("question_type")), "_top3_structured"
         rows = ordered_evidence(F.col("evidence.rows"), policy, F.col("question_id"))
@@ -224,24 +228,68 @@ def table_contract_prompts(questions: DataFrame, partial_month: str, partial_not
 
 
 def prompt_checks() -> dict[str, Column]:
-    """Conditions each prompt must meet: question shown, answer not shown, order kept."""
+    """Conditions that each prompt must meet on its own: question shown, answer not shown, policy of its type."""
     c = F.col
-    rows = c("prompt_evidence_rows")
-    lower_names = F.transform(rows, lambda r: F.lower(r["country"]))
-    months = F.transform(rows, lambda r: r["year_month"])
     return {
         "question_shown": F.contains("full_prompt", "question"),
         "answer_not_shown": ~F.contains("full_prompt", "gold_short_answer"),
         "gold_not_named": ~F.rlike(F.lower("full_prompt"), F.lit("gold_answer|gold short answer")),
-        "evidence_present": F.contains("full_prompt", F.lit("Evidence table:")) & (F.size(rows) > 0),
+        "evidence_present": F.contains("full_prompt", F.lit("Evidence table:")) & (F.size("prompt_evidence_rows") > 0),
         "table_is_markdown": c("evidence_table_markdown").startswith("| "),
         "policy_fits_type": c("row_order_policy") == row_order_policy(c("question_type")),
-        "countries_alphabetical": (~c("question_type").isin(*COUNTRY_TYPES)) | (lower_names == F.array_sort(lower_names)),
-        "months_chronological": (c("question_type") != "monthly_revenue_change") | (months == F.array_sort(months)),
         "share_total_shown": (c("question_type") != "product_revenue_share_month")
         | F.contains("full_prompt", F.lit("Total merchandise net revenue for the month is GBP")),
     }
 
 
+def evidence_lines(made: DataFrame) -> DataFrame:
+    """One row per evidence row of each prompt: its place, what its stated policy sorts by, and the gold metric."""
+    placed = made.select("prompt_id", "question_id", "row_order_policy", F.posexplode("prompt_evidence_rows").alias("place", "row"))
+    row = F.col("row")
+    return placed.select(
+        "prompt_id", "row_order_policy", "place", order_key(F.col("row_order_policy"), F.col("question_id"), row).alias("sort_key"),
+        row["net_revenue"].alias("metric"),
+    )
+
+
+def order_report(made: DataFrame) -> DataFrame:
+    """Per prompt with evidence: policy, rows, neighbours that break the stated policy, and the
+    longest stretch of rows that falls by the gold metric.
+
+    The keys are made again from the rows, so an order that was stored wrongly shows. The
+    control's policy is the metric itself.
+    """
+    lines = evidence_lines(made)
+    key = ["prompt_id", "row_order_policy"]
+    stated = sorted_stretches(lines, key, "place", "sort_key").select(*key, "rows", F.col("breaks").alias("key_breaks"))
+    metric = sorted_stretches(lines, key, "place", "metric", descending=True)
+    metric = metric.select(*key, F.col("breaks").alias("metric_breaks"), F.col("longest_run").alias("falling_rows"))
+    control = F.col("row_order_policy") == CONTROL_POLICY
+    return stated.join(metric, key).select(
+        *key, "rows", F.when(control, F.col("metric_breaks")).otherwise(F.col("key_breaks")).alias("policy_breaks"), "falling_rows"
+    )
+
+
+POLICIES = {
+    "hash_order": "deterministic_hash_by_question_and_product", "countries_alphabetical": "alphabetical_by_country",
+    "months_chronological": "chronological_by_year_month", "control_falls_by_metric": CONTROL_POLICY,
+}
+
+
+def policy_checks(report: DataFrame) -> DataFrame:
+    """One check row per policy; detail counts the neighbours that break it. A policy of one row allows no second."""
+    breaks = [
+        F.coalesce(F.sum(F.when(F.col("row_order_policy") == p, F.col("policy_breaks"))), F.lit(0)).alias(n) for n, p in POLICIES.items()
+    ]
+    breaks.append(F.count_if((F.col("row_order_policy") == "single_month_row") & (F.col("rows") > 1)).alias("one_row_for_one_month"))
+    counted = report.agg(*breaks)
+    return counted.unpivot([], counted.columns, "check_name", "detail").select("check_name", (F.col("detail") == 0).alias("passed"), "detail")
+
+
+def order_leaks(report: DataFrame) -> DataFrame:
+    """Prompts, but for the control, whose evidence of more than one row is already in the answer's order."""
+    return report.filter((F.col("row_order_policy") != CONTROL_POLICY) & (F.col("rows") > 1) & (F.col("falling_rows") == F.col("rows")))
+
+
 def fill_template(template: Column, name: str, value: Column) -> Column:
     return F.replace(template, F.lit(f"{{{name}}}"), value)

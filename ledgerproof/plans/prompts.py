@@ -148,25 +148,105 @@ def g12(spark, root):
     )
 
 
-CHECKS = {
-    "v17_answer_leak": ["question_shown", "answer_not_shown", "gold_not_named", "evidence_present", "table_is_markdown", "share_total_shown"],
-    "v18_row_order_policy": ["policy_fits_type", "countries_alphabetical", "months_chronological"],
-}
+# ------------------------------------------------------- checks, with planted faults
+
+TOTAL_TEXT = "Total merchandise net revenue for the month is GBP"
+DIGIT = "right(question_id, 1)"
+
+
+def spoiled(frame):
+    """The prompts with faults planted by the last digit of the question's number."""
+    c, digit = F.col, F.substring("question_id", -1, 1)
+    rows = c("prompt_evidence_rows")
+    return frame.withColumns(
+        {
+            "full_prompt": F.when(digit == "1", F.replace("full_prompt", "question", F.lit("")))
+            .when(digit == "2", F.concat("full_prompt", "gold_short_answer"))
+            .when(digit == "3", F.concat("full_prompt", F.lit(" GOLD_answer")))
+            .when(digit == "9", F.replace("full_prompt", F.lit(TOTAL_TEXT), F.lit("")))
+            .otherwise(c("full_prompt")),
+            "evidence_table_markdown": F.when(digit == "5", F.concat(F.lit("x"), "evidence_table_markdown")).otherwise(c("evidence_table_markdown")),
+            "row_order_policy": F.when(digit == "6", "source_order").otherwise(c("row_order_policy")),
+            "prompt_evidence_rows": F.when(digit == "4", F.filter(rows, lambda r: F.lit(False)))
+            .when(digit == "7", F.reverse(rows))
+            .when(digit == "8", prompts.metric_descending(c("evidence.rows")))
+            .when((digit == "0") & (c("question_type") == "return_impact_month"), F.concat(rows, rows))
+            .otherwise(rows),
+        }
+    )
+
+
+# The evidence of each prompt in the order that it has after the faults are planted, and the same for the control.
+ORDER_SQL = f"""
+{EVIDENCE},
+known AS (SELECT question_id, question_type, k, net_revenue, row_number() OVER (PARTITION BY question_id ORDER BY k, i) AS rn,
+    row_number() OVER (PARTITION BY question_id ORDER BY net_revenue DESC, i) AS falling
+    FROM evidence JOIN questions USING (question_id) WHERE {DIGIT} <> '4'),
+shown_lines AS (SELECT false AS control, *, CASE {DIGIT} WHEN '7' THEN -rn WHEN '8' THEN falling ELSE rn END AS place FROM known
+    UNION ALL SELECT true, *, CASE WHEN {DIGIT} = '7' THEN -falling ELSE falling END FROM known WHERE question_type = 'top3_products_month'),
+pairs_shown AS (SELECT *, coalesce(lag(k) OVER w > k, false) AS key_break, coalesce(lag(net_revenue) OVER w < net_revenue, false) AS metric_break
+    FROM shown_lines WINDOW w AS (PARTITION BY control, question_id ORDER BY place))
+"""
+
+
+def check_sql(counts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, ({c}) = 0 AS passed, CAST(({c}) AS BIGINT) AS detail" for n, c in counts.items())
+
 
+def planted_sql(digit: str, where: str = "true") -> str:
+    return f"SELECT count(*) FROM questions WHERE {DIGIT} = '{digit}' AND {where}"
 
-def prompt_check(name: str, wanted: list[str]) -> None:
-    sql = f"SELECT unnest({wanted}) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail"
-    conditions = {}
 
-    def run(spark, root):
-        conditions.update({k: v for k, v in prompts.prompt_checks().items() if k in wanted})
-        return quality.violations(made(spark, root), conditions)
+def break_sql(kind: str, where: str) -> str:
+    return f"SELECT count(*) FROM pairs_shown WHERE {kind} AND {DIGIT} <> '6' AND {where}"
 
-    query(name, sql)(run)
 
+LEAK_SQL = """SELECT count(*) FROM (SELECT question_id FROM pairs_shown WHERE NOT control AND question_type = 'top3_products_month'
+  GROUP BY question_id HAVING count(*) > 1 AND NOT bool_or(metric_break))"""
 
-for _name, _wanted in CHECKS.items():
-    prompt_check(_name, _wanted)
+
+@query(
+    "v17_answer_leak",
+    f"WITH {ORDER_SQL} " + check_sql(
+        {
+            "question_shown": planted_sql("1"), "answer_not_shown": planted_sql("2"), "gold_not_named": planted_sql("3"),
+            "evidence_present": planted_sql("4"), "table_is_markdown": planted_sql("5"),
+            "share_total_shown": planted_sql("9", "question_type = 'product_revenue_share_month'"), "evidence_not_in_answer_order": LEAK_SQL,
+        }
+    ),
+)
+def v17(spark, root):
+    """The answer is neither in the text nor given away by the order of the evidence."""
+    checks = {k: v for k, v in prompts.prompt_checks().items() if k != "policy_fits_type"}
+    asked = questions(spark, root)
+    told = quality.violations(spoiled(prompts.prompts(asked, *noted(spark, root))), checks)
+    ranked = spoiled(prompts.table_contract_prompts(asked, *noted(spark, root)))
+    leaks = prompts.order_leaks(prompts.order_report(ranked)).agg(F.count(F.lit(1)).alias("detail"))
+    return told.unionByName(leaks.select(F.lit("evidence_not_in_answer_order").alias("check_name"), (F.col("detail") == 0).alias("passed"), "detail"))
+
+
+@query(
+    "v18_row_order_policy",
+    f"WITH {ORDER_SQL} " + check_sql(
+        {
+            "policy_fits_type": planted_sql("6"),
+            "hash_order": break_sql("key_break", f"NOT control AND {PRODUCT_IN}"),
+            "countries_alphabetical": break_sql("key_break", "question_type IN ('top_country_month', 'country_comparison_month')"),
+            "months_chronological": break_sql("key_break", "question_type = 'monthly_revenue_change'"),
+            "control_falls_by_metric": break_sql("metric_break", "control"),
+            "one_row_for_one_month": planted_sql("0", "question_type = 'return_impact_month'"),
+        }
+    ),
+)
+def v18(spark, root):
+    """Each prompt's rows follow its stated policy: hash, alphabet, calendar, or the metric in the control."""
+    asked = questions(spark, root)
+    shown = spoiled(prompts.prompts(asked, *noted(spark, root)))
+    control = spoiled(prompts.table_contract_prompts(asked, *noted(spark, root), control=True))
+    fits = {k: v for k, v in prompts.prompt_checks().items() if k == "policy_fits_type"}
+    columns = ["prompt_id", "question_id", "row_order_policy", "prompt_evidence_rows"]
+    report = prompts.order_report(shown.select(*columns).unionByName(control.select(*columns)))
+    return quality.violations(shown, fits).unionByName(prompts.policy_checks(report))
 
 
 @query(
