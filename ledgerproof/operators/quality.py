@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -125,6 +125,49 @@ def field_differences(left: DataFrame, right: DataFrame, key: Sequence[str], fie
     )
 
 
+def disagreements(
+    tables: Mapping[str, DataFrame], key: str, fields: Sequence[str], rules: Mapping[str, Mapping[str, Column]] | None = None
+) -> DataFrame:
+    """(key, problem) for tables that should tell the same about the same keys, in one aggregation.
+
+    Each table is one branch of a union: its key, those of `fields` that it has, and whether the
+    row breaks one of the table's own rules. Rows of a key then meet once. Problems are
+    missing_in_<table>, repeated_in_<table>, <field>_differs (between tables or rows that have the
+    field; a missing value is a value), and the names of the rules.
+    """
+    rules = {name: dict((rules or {}).get(name, {})) for name in tables}
+    named = [r for each in rules.values() for r in each]
+    branches = [
+        t.select(
+            F.col(key), F.lit(name).alias("_source"),
+            *[(F.struct(F.col(f).cast("string").alias("v")) if f in t.columns else F.lit(None).cast("struct<v:string>")).alias(f"_f_{f}") for f in fields],
+            *[(F.coalesce(~rules[name][r], F.lit(True)) if r in rules[name] else F.lit(False)).alias(f"_r_{r}") for r in named],
+        )
+        for name, t in tables.items()
+    ]
+    met = reduce(DataFrame.unionByName, branches).groupBy(key).agg(
+        *[F.count_if(F.col("_source") == n).alias(f"_n_{n}") for n in tables],
+        *[(~F.min(f"_f_{f}").eqNullSafe(F.max(f"_f_{f}"))).alias(f"_f_{f}") for f in fields],
+        *[F.bool_or(f"_r_{r}").alias(f"_r_{r}") for r in named],
+    )
+    found = [F.when(F.col(f"_n_{n}") == 0, f"missing_in_{n}") for n in tables] + [F.when(F.col(f"_n_{n}") > 1, f"repeated_in_{n}") for n in tables]
+    found += [F.when(F.col(f"_f_{f}"), f"{f}_differs") for f in fields] + [F.when(F.col(f"_r_{r}"), r) for r in named]
+    return met.select(key, F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+def problem_checks(problems: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One check row per named problem; detail counts the keys that have it."""
+    counted = problems.agg(*[F.count_if(F.col("problem") == n).alias(n) for n in names])
+    return counted.unpivot([], list(names), "check_name", "detail").select("check_name", (F.col("detail") == 0).alias("passed"), "detail")
+
+
+def id_differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(key, gap): ids that are missing from `actual`, and extra ones, by one signed count per id."""
+    sides = expected.select(key).distinct().withColumn("_side", F.lit(1)).unionByName(actual.select(key).distinct().withColumn("_side", F.lit(-1)))
+    signed = sides.groupBy(key).agg(F.sum("_side").alias("_side")).filter("_side <> 0")
+    return signed.select(key, F.when(F.col("_side") > 0, "missing").otherwise("extra").alias("gap"))
+
+
 def roll_up(checks: DataFrame) -> DataFrame:
     return checks.agg(
         F.count("*").alias("num_checks"),

@@ -256,9 +256,14 @@ def decision_mismatches(decisions: DataFrame, annotations: DataFrame) -> DataFra
 BARE_RANK = r"(?i)^\*{0,2}\d+(?:st|nd|rd|th)?[.)]?\*{0,2}$"
 
 
-def policy_flags(annotations: DataFrame, questions: DataFrame) -> DataFrame:
+def policy_flags(annotations: DataFrame, questions: DataFrame, source: str | None = None, splits: Sequence[str] = ()) -> DataFrame:
     """(question_id, annotation_id, severity, rule): one filter per rule, all rules of one
-    level in one pass over their table."""
+    level in one pass over their table.
+
+    `source` is a part of the path that each annotation's source_file, carried from its scan,
+    must have. Each of `splits` must have a span of a positive label; a split without one, also
+    one that no question is in, is named in question_id.
+    """
     c = F.col
 
     def flags(df: DataFrame, rules: Sequence[tuple[str, str, Column]], annotation: Column) -> DataFrame:
@@ -271,16 +276,18 @@ def policy_flags(annotations: DataFrame, questions: DataFrame) -> DataFrame:
     same_kind = (c("reference_fact_type") == c("fact_type")) | (
         (c("fact_type") == "malformed_number") & (c("reference_fact_type") == "currency_amount"))
     bare = (c("fact_type") == "ranking") & F.rlike(F.trim("span_text"), F.lit(BARE_RANK)) & F.contains("notes", F.lit("list_rank_marker"))
+    lineage = [] if source is None else [("failure", "unexpected_source_file", ~F.coalesce(F.contains("source_file", F.lit(source)), F.lit(False)))]
     by_span = flags(
         annotations,
-        [("warning", "gold_reference_fact_type_mismatch", ~same_kind), ("info", "bare_rank_marker_allowed", bare)],
+        [("warning", "gold_reference_fact_type_mismatch", ~same_kind), ("info", "bare_rank_marker_allowed", bare), *lineage],
         c("annotation_id"))
     totals = annotations.groupBy("question_id").agg(
         F.count_if(c("label").isin(*POSITIVE)).alias("positive"), F.count_if(c("label").isin(*NEGATIVE)).alias("correct"),
         F.count_if(c("label") == "unsupported_claim").alias("unsupported"), F.count_if(c("fact_type") == "ranking").alias("ranked"),
         F.count_if(c("fact_type") == "percentage").alias("percentages"))
+    counted = totals.join(questions.select("question_id", "question_type", *(["split"] if splits else [])), "question_id")
     by_question = flags(
-        totals.join(questions.select("question_id", "question_type"), "question_id"),
+        counted,
         [
             ("warning", "correct_only_question", c("positive") == 0),
             ("warning", "no_correct_key_fact", c("correct") == 0),
@@ -289,7 +296,16 @@ def policy_flags(annotations: DataFrame, questions: DataFrame) -> DataFrame:
             ("warning", "share_question_without_percentage", (c("question_type") == "product_revenue_share_month") & (c("percentages") == 0)),
         ],
         F.lit(None).cast("string"))
-    return by_span.unionByName(by_question)
+    if not splits:
+        return by_span.unionByName(by_question)
+    # A row without positives for each split that is wanted, so that one without questions is there too.
+    wanted = totals.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in splits])).alias("split"), F.lit(0).alias("positive"))
+    positives = counted.select("split", F.col("positive").cast("int").alias("positive")).filter(c("split").isin(*splits))
+    bare_splits = wanted.unionByName(positives).groupBy("split").agg(F.sum("positive").alias("n")).filter("n = 0")
+    by_split = bare_splits.select(
+        c("split").alias("question_id"), F.lit(None).cast("string").alias("annotation_id"), F.lit("failure").alias("severity"),
+        F.lit("split_has_no_positive_spans").alias("rule"))
+    return by_span.unionByName(by_question).unionByName(by_split)
 
 
 def _label_columns() -> list[Column]:
@@ -321,26 +337,37 @@ def type_coverage(by_question: DataFrame) -> DataFrame:
     return by_question.groupBy("question_type").agg(F.count("*").alias("question_count"), *[F.sum(c).alias(c) for c in counts])
 
 
-def coverage_rules(by_question: DataFrame, by_fact_type: DataFrame) -> DataFrame:
-    """(rule, level, broken, measure): readiness failures and warnings."""
+def thin_question_types(by_question: DataFrame, least: int = 2) -> DataFrame:
+    """(question_type, question_count) of types with fewer than `least` questions."""
+    return by_question.groupBy("question_type").agg(F.count(F.lit(1)).alias("question_count")).filter(F.col("question_count") < least)
+
+
+def coverage_rules(by_question: DataFrame, by_fact_type: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(rule, level, broken, measure): readiness failures and warnings. `gaps` lists ids that the
+    annotations lack or have too many (`quality.id_differences`)."""
     totals = by_question.agg(
         F.sum("span_count").alias("spans"), F.sum("positive_span_count").alias("p"), F.sum("negative_span_count").alias("n"),
         F.sum("unsupported_claim").alias("u"), F.count_if(F.col("span_count") < 3).alias("thin"), F.countDistinct("split").alias("splits"))
     rare = by_fact_type.agg(F.count_if(F.col("span_count") < 5).alias("rare"))
+    few = thin_question_types(by_question).agg(F.count(F.lit(1)).alias("few"))
+    lists = gaps.agg(F.count_if(F.col("gap") == "missing").alias("missing"), F.count_if(F.col("gap") == "extra").alias("extra"))
     c = F.col
     balance = F.round(ratio(F.least("p", "n"), F.greatest("p", "n")), 4)
     rules = [
+        ("no_missing_questions", "failure", c("missing") > 0, c("missing")),
+        ("no_extra_questions", "failure", c("extra") > 0, c("extra")),
         ("at_least_100_spans", "failure", c("spans") < 100, c("spans")),
         ("both_classes", "failure", (c("p") == 0) | (c("n") == 0), F.least("p", "n")),
         ("three_spans_per_question", "failure", c("thin") > 0, c("thin")),
         ("class_balance", "warning", balance < 0.5, balance),
         ("unsupported_claims_rare", "warning", c("u") < 5, c("u")),
         ("qualitative_fact_types", "warning", c("rare") > 0, c("rare")),
+        ("two_questions_per_type", "warning", c("few") > 0, c("few")),
         ("single_split", "warning", c("splits") == 1, c("splits")),
     ]
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(level).alias("level"), b.alias("broken"), m.cast("double").alias("measure"))
                      for r, level, b, m in rules])
-    return one_row([totals, rare]).select(F.inline(rows))
+    return one_row([totals, rare, few, lists]).select(F.inline(rows))
 
 
 def theme_coverage(questions: DataFrame, themes: Mapping[str, Sequence[str]], examples: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -13,8 +13,9 @@ from ledgerproof.plans.detectors import SWEEP, errors, wide_scores
 from ledgerproof.plans.gold import questions
 from ledgerproof.plans.prompts import POLICY_SQL, noted
 from ledgerproof.plans.register import query
-from ledgerproof.plans.spans import TOKENS, annotations, pick
+from ledgerproof.plans.spans import TOKENS, annotations, annotations_of, generations_of, pick, segments_of
 from ledgerproof.plans.views import sql_mean
+from ledgerproof.session import durable
 
 TOKEN_LIMIT = 40
 
@@ -326,8 +327,12 @@ def asked_documents(spark, root) -> DataFrame:
 
 
 def audited(spark, root) -> DataFrame:
+    return as_audited(annotations(spark, root))
+
+
+def as_audited(spans: DataFrame) -> DataFrame:
     kinds = ["currency_amount", "product_name", "ranking"]
-    return annotations(spark, root).withColumnRenamed("qid", "question_id").withColumns(
+    return spans.withColumnRenamed("qid", "question_id").withColumns(
         {
             "reference_fact_type": pick(kinds, F.length("span_text") % 3),
             "notes": F.when(F.length("span_text") % 2 == 0, "list_rank_marker").otherwise("seen"),
@@ -346,9 +351,23 @@ per_question AS (SELECT question_id, count(*) AS span_count, count(*) FILTER (la
 """
 
 
+#: Splits that must have positives; no question is in the last.
+AUDITED_SPLITS = ["src0", "src7", "src19", "held_back"]
+
+
+def traced_documents(spark, root) -> DataFrame:
+    """The documents with the file that each came from. Every ninth came late, by another file."""
+    docs = views.documents(spark, root).select("doc_id", "lang", "text", F.col("_metadata.file_path").alias("source_file"))
+    late = durable(docs.filter("doc_id % 9 = 0").drop("source_file"))
+    return docs.filter("doc_id % 9 <> 0").unionByName(late.select("*", F.col("_metadata.file_path").alias("source_file")))
+
+
 @query(
     "r09_policy_flags",
-    f"""WITH {AUDIT} SELECT question_id, annotation_id, 'warning' AS severity, 'gold_reference_fact_type_mismatch' AS rule FROM spans WHERE reference_fact_type <> fact_type
+    f"""WITH {AUDIT} SELECT question_id, annotation_id, 'failure' AS severity, 'unexpected_source_file' AS rule FROM spans WHERE CAST(question_id AS BIGINT) % 9 = 0
+    UNION ALL SELECT split, NULL, 'failure', 'split_has_no_positive_spans' FROM (SELECT unnest({AUDITED_SPLITS}) AS split) WHERE split NOT IN (
+      SELECT split FROM asked JOIN per_question USING (question_id) WHERE positive_span_count > 0)
+    UNION ALL SELECT question_id, annotation_id, 'warning', 'gold_reference_fact_type_mismatch' FROM spans WHERE reference_fact_type <> fact_type
     UNION ALL SELECT question_id, annotation_id, 'info', 'bare_rank_marker_allowed' FROM spans WHERE fact_type = 'ranking' AND length(span_text) % 2 = 0 AND regexp_matches(trim(span_text), '(?i)^\\*{{0,2}}\\d+(?:st|nd|rd|th)?[.)]?\\*{{0,2}}$')
     UNION ALL SELECT question_id, NULL, 'warning', 'correct_only_question' FROM per_question WHERE positive_span_count = 0
     UNION ALL SELECT question_id, NULL, 'warning', 'no_correct_key_fact' FROM per_question WHERE negative_span_count = 0
@@ -357,7 +376,9 @@ per_question AS (SELECT question_id, count(*) AS span_count, count(*) FILTER (la
     UNION ALL SELECT question_id, NULL, 'warning', 'share_question_without_percentage' FROM per_question JOIN asked USING (question_id) WHERE question_type = '{KINDS["fr"]}' AND percentages = 0""",
 )
 def r09(spark, root):
-    return review.policy_flags(audited(spark, root), asked_documents(spark, root))
+    cut = durable(segments_of(generations_of(traced_documents(spark, root), "source_file"), "source_file"))
+    spans = as_audited(annotations_of(cut, "source_file"))
+    return review.policy_flags(spans, asked_documents(spark, root), "/documents.parquet", AUDITED_SPLITS)
 
 
 COVERAGE = ["span_count", "negative_span_count", "positive_span_count", "excluded_span_count", *review.LABELS]
@@ -394,18 +415,55 @@ def a20_types(spark, root):
     return review.type_coverage(coverage(spark, root))
 
 
+RARE_KIND = "median_order_month"
+
+
+def pilot(spark, root) -> tuple[DataFrame, DataFrame]:
+    """Coverage of the annotated questions, one of them of a type of its own, and the ids that were
+    to be annotated: not every eleventh document, and names that no document has."""
+    rare = F.when(F.col("question_id") == "7", RARE_KIND).otherwise(F.col("question_type"))
+    annotated = coverage(spark, root).withColumn("question_type", rare)
+    docs = views.documents(spark, root)
+    wanted = docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("question_id"))
+    return annotated, wanted.unionByName(docs.filter("doc_id % 13 = 0").select(F.concat(F.lit("lost_"), "doc_id").alias("question_id")))
+
+
+PILOT = f"""
+{AUDIT},
+pilot AS (SELECT * REPLACE (CASE WHEN question_id = '7' THEN '{RARE_KIND}' ELSE question_type END AS question_type) FROM asked),
+gaps AS (SELECT concat('lost_', doc_id) AS question_id, 'missing' AS gap FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'extra' FROM documents WHERE doc_id % 11 = 0),
+few AS (SELECT question_type, count(*) AS question_count FROM pilot GROUP BY 1 HAVING count(*) < 2)
+"""
+
+
+@query("a21_missing_and_extra_ids", f"WITH {PILOT} SELECT question_id, gap FROM gaps")
+def a21_ids(spark, root):
+    annotated, wanted = pilot(spark, root)
+    return quality.id_differences(wanted, annotated, "question_id")
+
+
+@query("a21_thin_question_types", f"WITH {PILOT} SELECT question_type, question_count FROM few")
+def a21_types(spark, root):
+    return review.thin_question_types(pilot(spark, root)[0])
+
+
 @query(
     "a21_balance_and_warnings",
-    f"""WITH {AUDIT}, t AS (SELECT sum(span_count) AS spans, sum(positive_span_count) AS p, sum(negative_span_count) AS n, sum(unsupported_claim) AS u FROM per_question),
+    f"""WITH {PILOT}, t AS (SELECT sum(span_count) AS spans, sum(positive_span_count) AS p, sum(negative_span_count) AS n, sum(unsupported_claim) AS u FROM per_question),
     thin AS (SELECT count(*) FILTER (coalesce(span_count, 0) < 3) AS thin, count(DISTINCT split) AS splits FROM asked LEFT JOIN per_question USING (question_id)),
     rare AS (SELECT count(*) AS rare FROM (SELECT 1 FROM spans GROUP BY fact_type HAVING count(*) < 5)),
-    m AS (SELECT *, round(CAST(least(p, n) AS DOUBLE) / greatest(p, n), 4) AS balance FROM t, thin, rare)
-    SELECT unnest(['at_least_100_spans', 'both_classes', 'three_spans_per_question', 'class_balance', 'unsupported_claims_rare', 'qualitative_fact_types', 'single_split']) AS rule,
-    unnest(['failure', 'failure', 'failure', 'warning', 'warning', 'warning', 'warning']) AS level, unnest([spans < 100, p = 0 OR n = 0, thin > 0, balance < 0.5, u < 5, rare > 0, splits = 1]) AS broken,
-    unnest([CAST(spans AS DOUBLE), CAST(least(p, n) AS DOUBLE), CAST(thin AS DOUBLE), balance, CAST(u AS DOUBLE), CAST(rare AS DOUBLE), CAST(splits AS DOUBLE)]) AS measure FROM m""",
+    lists AS (SELECT count(*) FILTER (gap = 'missing') AS missing, count(*) FILTER (gap = 'extra') AS extra, (SELECT count(*) FROM few) AS few FROM gaps),
+    m AS (SELECT *, round(CAST(least(p, n) AS DOUBLE) / greatest(p, n), 4) AS balance FROM t, thin, rare, lists)
+    SELECT unnest(['no_missing_questions', 'no_extra_questions', 'at_least_100_spans', 'both_classes', 'three_spans_per_question', 'class_balance', 'unsupported_claims_rare', 'qualitative_fact_types', 'two_questions_per_type', 'single_split']) AS rule,
+    unnest(['failure', 'failure', 'failure', 'failure', 'failure', 'warning', 'warning', 'warning', 'warning', 'warning']) AS level,
+    unnest([missing > 0, extra > 0, spans < 100, p = 0 OR n = 0, thin > 0, balance < 0.5, u < 5, rare > 0, few > 0, splits = 1]) AS broken,
+    unnest([CAST(missing AS DOUBLE), CAST(extra AS DOUBLE), CAST(spans AS DOUBLE), CAST(least(p, n) AS DOUBLE), CAST(thin AS DOUBLE), balance, CAST(u AS DOUBLE), CAST(rare AS DOUBLE), CAST(few AS DOUBLE), CAST(splits AS DOUBLE)]) AS measure FROM m""",
 )
 def a21(spark, root):
-    return review.coverage_rules(coverage(spark, root), review.fact_type_coverage(audited(spark, root)))
+    annotated, wanted = pilot(spark, root)
+    gaps = quality.id_differences(wanted, annotated, "question_id")
+    return review.coverage_rules(annotated, review.fact_type_coverage(audited(spark, root)), gaps)
 
 
 # ------------------------------------------------------------------------------ checks
@@ -433,23 +491,83 @@ def v12(spark, root):
     return quality.field_differences(docs, again, ["doc_id"], ["n_chars", "lang"])
 
 
-V24 = ["queue_unique_question", "queue_unique_rank", "queue_review_left", "queue_review_right", "queue_fields_agree", "initial_batch_is_phase_1", "ranks_contiguous"]
+# Faults planted by the last digit of a question's number, in the tables that V24 compares.
+QUEUE_FIELDS = ["split", "auto_status", "annotation_priority"]
+QUEUE_CHECKS = [
+    "missing_in_queue", "missing_in_review", "repeated_in_queue", "repeated_in_review", *(f"{f}_differs" for f in QUEUE_FIELDS), "initial_batch_is_phase_1",
+]
+LOCK_CHECKS = [
+    *(f"missing_in_{t}" for t in ("packet", "notes", "locks", "labels")), *(f"repeated_in_{t}" for t in ("packet", "notes", "locks", "labels")),
+    "y_differs", "publish_use_differs", "labels_locked", "lock_reason_given",
+]
 
 
-@query("v24_tables_agree", f"SELECT unnest({V24}) AS check_name, true AS passed, CAST(0 AS BIGINT) AS detail")
-def v24(spark, root):
-    table = review_of(questions(spark, root), noted(spark, root))
-    queue = review.annotation_queue(table)
-    c = F.col
-    differing = quality.field_differences(queue, table, ["question_id"], ["split", "auto_status", "annotation_priority"])
-    agree = differing.agg(F.count("*").alias("bad")).select(F.lit("queue_fields_agree").alias("check_name"), (c("bad") == 0).alias("passed"), c("bad").alias("detail"))
-    spread = queue.agg((F.max("queue_rank") - F.min("queue_rank") + 1 - F.countDistinct("queue_rank")).alias("bad")).select(
-        F.lit("ranks_contiguous").alias("check_name"), (c("bad") == 0).alias("passed"), c("bad").alias("detail"))
-    flag = quality.violations(queue, {"initial_batch_is_phase_1": c("is_initial_batch") == (c("queue_phase") == "phase_1_heldout_high")})
-    return review.all_checks(
-        [
-            quality.unique_key(queue, ["question_id"], "queue_unique_question"), quality.unique_key(queue, ["queue_rank"], "queue_unique_rank"),
-            quality.references(queue, table, ["question_id"], "queue_review"), agree, flag, spread,
-        ])
+def spoiled_queue(queue: DataFrame) -> DataFrame:
+    digit = F.substring("question_id", -1, 1)
+    changed = queue.withColumns(
+        {
+            "split": F.when(digit == "3", "x").otherwise(F.col("split")),
+            "is_initial_batch": F.col("is_initial_batch") != (digit == "4"),
+            "queue_rank": F.col("queue_rank") + F.when(digit == "5", 1_000_000).otherwise(0),
+            "question_id": F.when(digit == "6", F.concat(F.lit("x"), "question_id")).otherwise(F.col("question_id")),
+        }
+    )
+    times = F.when(digit == "1", 0).when(digit == "2", 2).otherwise(1)
+    return changed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).drop("_n")
+
+
+def lock_tables(spark, root) -> dict[str, DataFrame]:
+    """Packet, notes, locks and labels of the packet's rows, with planted faults."""
+    c, digit = F.col, F.col("question_id") % 10
+    rows = packet(spark, root).join(notes(spark, root, ("train", "dev", "test")), "row_id", "left")
+    locked = durable(review.lock_decisions(rows).select("row_id", "question_id", "y", "labels_locked", "publish_use", "lock_reason"))
+    labels = wide_scores(spark, root).select("row_id", "question_id", "y").join(locked.select("row_id"), "row_id", "left_semi")
+    times = F.when(digit == 1, 0).when(digit == 2, 2).otherwise(1)
+    locks = locked.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times))).select(
+        "row_id", F.when(digit == 3, "other").otherwise(c("publish_use")).alias("publish_use"), (c("labels_locked") & (digit != 4)).alias("labels_locked"),
+        F.when(digit == 5, "short").otherwise(c("lock_reason")).alias("lock_reason"))
+    return {
+        "packet": locked.select("row_id", "y"), "notes": locked.filter(digit != 8).select("row_id", "publish_use"), "locks": locks,
+        "labels": labels.filter(digit != 7).select("row_id", F.when(digit == 6, 1 - c("y")).otherwise(c("y")).alias("y")),
+    }
+
+
+def counted_sql(counts: dict[str, str], names: list[str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS check_name, ({c}) = 0 AS passed, CAST(({c}) AS BIGINT) AS detail FROM (SELECT 1)" for n in names
+        for c in [f"SELECT {counts[n]} FROM {source}" if n in counts else "0"])
+
+
+def of_digit(*digits: int) -> str:
+    return f"count(*) FILTER (digit IN ({', '.join(map(str, digits))}))"
+
+
+V24_SQL = f"""
+SELECT * FROM (WITH {REVIEW}, q AS (SELECT *, CAST(right(question_id, 1) AS INTEGER) AS digit FROM queued),
+  sq AS (SELECT queue_rank + CASE WHEN digit = 5 THEN 1000000 ELSE 0 END AS queue_rank FROM q, range(2) AS r(k) WHERE digit <> 1 AND (k = 0 OR digit = 2))
+  {counted_sql({"missing_in_queue": of_digit(1, 6), "missing_in_review": of_digit(6), "repeated_in_queue": of_digit(2), "split_differs": of_digit(3), "initial_batch_is_phase_1": of_digit(4)}, QUEUE_CHECKS, "q")}
+  UNION ALL SELECT 'ranks_unique', count(*) = 0, count(*) FROM (SELECT queue_rank FROM sq GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'ranks_contiguous', max(queue_rank) - min(queue_rank) + 1 = count(DISTINCT queue_rank), CAST(max(queue_rank) - min(queue_rank) + 1 - count(DISTINCT queue_rank) AS BIGINT) FROM sq)
+UNION ALL SELECT concat('lock_', check_name), passed, detail FROM (WITH {PACKET}, {NOTES.replace(" WHERE split = 'test'", "")},
+  l AS (SELECT row_id, question_id % 10 AS digit, {case(review.LOCK_REASON, 'Locked after assistant full review.')} AS reason FROM packet LEFT JOIN notes USING (row_id))
+  {counted_sql({"missing_in_notes": of_digit(8), "missing_in_locks": of_digit(1), "missing_in_labels": of_digit(7), "repeated_in_locks": of_digit(2), "y_differs": of_digit(6), "publish_use_differs": of_digit(3), "labels_locked": of_digit(4), "lock_reason_given": "count(*) FILTER (digit <> 1 AND (digit = 5 OR length(reason) < 40))"}, LOCK_CHECKS, "l")})
+"""
 
 
+@query("v24_tables_agree", V24_SQL)
+def v24(spark, root):
+    """Review and queue by question, packet, notes, locks and labels by row: each group of tables in one aggregation."""
+    c = F.col
+    table = durable(review_of(questions(spark, root), noted(spark, root)).select("question_id", "prompt_id", *QUEUE_FIELDS))
+    queue = durable(spoiled_queue(review.annotation_queue(table)))
+    found = quality.disagreements(
+        {"review": table, "queue": queue}, "question_id", QUEUE_FIELDS,
+        {"queue": {"initial_batch_is_phase_1": c("is_initial_batch") == (c("queue_phase") == "phase_1_heldout_high")}})
+    ranks = queue.groupBy("queue_rank").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count_if(c("n") > 1).alias("ranks_unique"), (F.max("queue_rank") - F.min("queue_rank") + 1 - F.count(F.lit(1))).alias("ranks_contiguous"))
+    ranked = ranks.unpivot([], ranks.columns, "check_name", "detail").select("check_name", (c("detail") == 0).alias("passed"), "detail")
+    locks = quality.disagreements(
+        lock_tables(spark, root), "row_id", ["y", "publish_use"],
+        {"locks": {"labels_locked": c("labels_locked"), "lock_reason_given": F.length("lock_reason") >= 40}})
+    locked = quality.problem_checks(locks, LOCK_CHECKS).withColumn("check_name", F.concat(F.lit("lock_"), "check_name"))
+    return review.all_checks([quality.problem_checks(found, QUEUE_CHECKS), ranked, locked])

@@ -20,11 +20,14 @@ END = "<|im_end|>"
 
 
 def generations(spark, root) -> DataFrame:
+    return generations_of(views.documents(spark, root))
+
+
+def generations_of(docs: DataFrame, *carry: str) -> DataFrame:
     """Documents as answers; French ' de ' stands for an approximation sign."""
-    docs = views.documents(spark, root)
     return docs.select(
         F.col("doc_id").cast("string").alias("qid"), "lang",
-        F.replace("text", F.lit(" de "), F.lit(" ≈ ")).alias("generated_text"), "text",
+        F.replace("text", F.lit(" de "), F.lit(" ≈ ")).alias("generated_text"), "text", *carry,
     )
 
 
@@ -96,15 +99,23 @@ def pick(values, index):
 
 @stored_once
 def segments(spark, root) -> DataFrame:
-    return generations(spark, root).select(
-        "qid",
+    return segments_of(generations(spark, root))
+
+
+def segments_of(answers: DataFrame, *carry: str) -> DataFrame:
+    return answers.select(
+        "qid", *carry,
         F.posexplode(F.regexp_extract_all("generated_text", F.lit(f"({SEGMENT})"), F.lit(1))).alias("pos", "span_text"),
     ).withColumn("width", F.length("span_text"))
 
 
 def annotations(spark, root) -> DataFrame:
     """Every sentence-like segment of every document as a labelled span."""
-    placed = running_offsets(segments(spark, root), ["qid"], "pos", "width", "span_start_char")
+    return annotations_of(segments(spark, root))
+
+
+def annotations_of(segments: DataFrame, *carry: str) -> DataFrame:
+    placed = running_offsets(segments, ["qid"], "pos", "width", "span_start_char")
     return placed.filter(~F.rlike("span_text", F.lit(r"^[.\n]")) & (F.trim("span_text") != "")).select(
         F.concat_ws("_", F.lit("ann"), "qid", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("annotation_id"),
         "qid",
@@ -113,6 +124,7 @@ def annotations(spark, root) -> DataFrame:
         (F.col("span_start_char") + F.col("width")).cast("bigint").alias("span_end_char"),
         pick(LABELS, F.col("width") % 5).alias("label"),
         pick(FACT_TYPES, F.col("width") % 4).alias("fact_type"),
+        *carry,
     )
 
 
