@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,30 @@ def contains_any(c: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
-def redact(c: Column, root: str, patterns: Sequence[str], known: Sequence[tuple[str, str]] = ()) -> Column:
-    """Root-relative where the text lies under the root; known places by name; any
-    other text that holds a local pattern is replaced whole."""
+def known_end(path: Column, ends: Mapping[str, str]) -> Column:
+    """What is shown for the longest of `ends` that the path ends with; NULL when none.
+
+    One look-up per length that occurs, in a set of all ends of that length, so a path that
+    ends otherwise costs the same for ten places and for ten thousand.
+    """
+    by_length: dict[int, dict[str, str]] = {}
+    for end, shown in ends.items():
+        by_length.setdefault(len(end), {})[end] = shown
+    found = []
+    for n in sorted(by_length, reverse=True):
+        group, tail = by_length[n], F.right(path, F.lit(n))
+        shown = F.lit(None).cast("string")
+        for end, text in group.items():
+            shown = F.when(tail == end, text).otherwise(shown)
+        found.append(F.when(tail.isin(*group), shown))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def redact(
+    c: Column, root: str, patterns: Sequence[str], known: Sequence[tuple[str, str]] = (), ends: Mapping[str, str] | None = None
+) -> Column:
+    """Root-relative where the text lies under the root; known places by a part of the name or by
+    how it ends; any other text that holds a local pattern is replaced whole."""
     path = F.replace(c, F.lit("\\"), F.lit("/"))
     local = contains_any(c, patterns)
     out = F.when(path == root, ".").when(
@@ -48,24 +69,26 @@ def redact(c: Column, root: str, patterns: Sequence[str], known: Sequence[tuple[
     )
     for marker, shown in known:
         out = out.when(local & F.contains(path, F.lit(marker)), shown)
-    return out.when(local, REDACTED).otherwise(c)
+    return out.when(local, F.coalesce(known_end(path, ends or {}), F.lit(REDACTED))).otherwise(c)
 
 
-def redact_table(df: DataFrame, root: str, patterns: Sequence[str], known: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def redact_table(
+    df: DataFrame, root: str, patterns: Sequence[str], known: Sequence[tuple[str, str]] = (), ends: Mapping[str, str] | None = None
+) -> DataFrame:
     """Redacts every string of a nested table; other values pass unchanged."""
     return df.select(
-        *[_redact_value(F.col(f"`{f.name}`"), f.dataType, root, patterns, known).alias(f.name) for f in df.schema.fields]
+        *[_redact_value(F.col(f"`{f.name}`"), f.dataType, root, patterns, known, ends).alias(f.name) for f in df.schema.fields]
     )
 
 
-def _redact_value(c: Column, kind: T.DataType, root, patterns, known) -> Column:
+def _redact_value(c: Column, kind: T.DataType, *how) -> Column:
     if isinstance(kind, T.StringType):
-        return redact(c, root, patterns, known)
+        return redact(c, *how)
     if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: _redact_value(x, kind.elementType, root, patterns, known))
+        return F.transform(c, lambda x: _redact_value(x, kind.elementType, *how))
     if isinstance(kind, T.MapType):
-        return F.transform_values(c, lambda _, v: _redact_value(v, kind.valueType, root, patterns, known))
+        return F.transform_values(c, lambda _, v: _redact_value(v, kind.valueType, *how))
     if isinstance(kind, T.StructType):
-        fields = [_redact_value(c[f.name], f.dataType, root, patterns, known).alias(f.name) for f in kind.fields]
+        fields = [_redact_value(c[f.name], f.dataType, *how).alias(f.name) for f in kind.fields]
         return F.when(c.isNotNull(), F.struct(*fields))
     return c

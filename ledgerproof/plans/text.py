@@ -179,14 +179,16 @@ def t16(spark, root):
 SITE_ROOT = "https://www.ththhe.example.com"
 LOCAL = ["http://blog.", "https://blog.", "https://m."]
 KNOWN = [("page=", "../paged"), ("/en/", "../english")]
+ENDS = {".html": "pages/page.html", "/": "../folder", "#top": "../top", "9.html": "pages/ninth.html", "utm_source=feed": "../feed"}
 
 
 def redact_sql(c: str) -> str:
     path = f"replace({c}, chr(92), '/')"
     local = "(" + " OR ".join(f"contains({c}, '{p}')" for p in LOCAL) + ")"
     known = " ".join(f"WHEN {local} AND contains({path}, '{m}') THEN '{s}'" for m, s in KNOWN)
+    ends = " ".join(f"WHEN {local} AND ends_with({path}, '{e}') THEN '{ENDS[e]}'" for e in sorted(ENDS, key=len, reverse=True))
     return f"""CASE WHEN {path} = '{SITE_ROOT}' THEN '.' WHEN starts_with({path}, '{SITE_ROOT}/')
-      THEN substring({path}, {len(SITE_ROOT) + 2}) {known} WHEN {local} THEN '{hygiene.REDACTED}' ELSE {c} END"""
+      THEN substring({path}, {len(SITE_ROOT) + 2}) {known} {ends} WHEN {local} THEN '{hygiene.REDACTED}' ELSE {c} END"""
 
 
 @query(
@@ -196,7 +198,7 @@ def redact_sql(c: str) -> str:
 def t18(spark, root):
     pages = views.table(spark, root, "pages")
     nested = pages.select("page_id", "url", F.array(F.struct(F.col("url").alias("link"))).alias("links"), "html")
-    clean = hygiene.redact_table(nested, SITE_ROOT, LOCAL, KNOWN)
+    clean = hygiene.redact_table(nested, SITE_ROOT, LOCAL, KNOWN, ENDS)
     return clean.select("page_id", "url", F.col("links")[0]["link"].alias("first_link"), F.md5("html").alias("html"))
 
 
