@@ -63,21 +63,46 @@ def add_quality_flags(lines: DataFrame, codes: Sequence[str] = NON_MERCHANDISE_C
     )
 
 
+#: Bits of the filter of repeated fingerprints: 16 MB, whatever the number of lines.
+FILTER_BITS = 1 << 27
+
+
+def repeated_filter(prints: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(_bucket, _bitmap): one bit for each fingerprint that occurs more than once, modulo `bits`."""
+    repeated = prints.groupBy("_fingerprint").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    slot = F.pmod("_fingerprint", F.lit(bits))
+    return repeated.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bitmap")
+    )
+
+
+def _bit(bitmap: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) > 0, F.lit(False))
+
+
 def flag_exact_duplicates(
-    lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS, row_id: str = "row_id"
+    lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS, row_id: str = "row_id", bits: int = FILTER_BITS
 ) -> DataFrame:
     """True for every copy but the one with the smallest row id.
 
-    A window over the columns would put all copies of one row in one task. Here a 64-bit
-    fingerprint finds the lines that may have copies; fingerprints are pre-aggregated
-    before the shuffle, so a hot row is one row of each map task. Only the candidates are
-    grouped by all columns, and only groups with copies go back to the lines.
+    A window over the columns would put all copies of one row in one task. Here 64-bit
+    fingerprints are counted, pre-aggregated before the shuffle, so a hot row is one row of
+    each map task. Repeated ones go into a filter of fixed size, which is broadcast. A line that
+    the filter doesn't hold has no copy and passes by without a shuffle. The others, a few
+    without a copy among them, are grouped by all columns, and the groups with copies are joined
+    to them; adaptive execution splits that join where a row is hot.
     """
     lines = lines.withColumn("_fingerprint", F.xxhash64(*columns))
-    repeated = lines.groupBy("_fingerprint").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fingerprint")
+    slot = F.pmod("_fingerprint", F.lit(bits))
+    marked = lines.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(
+        F.broadcast(repeated_filter(lines.select("_fingerprint"), bits)), "_bucket", "left"
+    )
+    marked = marked.withColumn("_candidate", _bit(F.col("_bitmap"), F.bitmap_bit_position(slot))).drop("_bucket", "_bitmap")
+    passing = marked.filter(~F.col("_candidate")).drop("_candidate", "_fingerprint").withColumn("is_exact_duplicate", F.lit(False))
+    candidates = marked.filter("_candidate").drop("_candidate")
     copied = (
-        lines.join(repeated, "_fingerprint", "left_semi")
-        .groupBy("_fingerprint", *columns)
+        candidates.groupBy("_fingerprint", *columns)
         .agg(F.count("*").alias("_copies"), F.min(row_id).alias("_first"))
         .filter("_copies > 1")
         .select(F.col("_fingerprint").alias("_k_fingerprint"), *[F.col(c).alias(f"_k_{c}") for c in columns], "_first")
@@ -85,11 +110,12 @@ def flag_exact_duplicates(
     same = F.col("_fingerprint") == F.col("_k_fingerprint")
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return (
-        lines.join(copied, same, "left")
+    met = (
+        candidates.join(copied, same, "left")
         .withColumn("is_exact_duplicate", _flag(F.col(row_id) != F.col("_first")))
         .drop("_first", "_fingerprint", "_k_fingerprint", *[f"_k_{c}" for c in columns])
     )
+    return passing.unionByName(met)
 
 
 def clean_lines(raw: DataFrame) -> DataFrame:

@@ -51,6 +51,18 @@ def test_exact_duplicates_keep_the_first_copy(spark):
     assert [k for k, v in got.items() if not v] and sorted(k for k, v in got.items() if not v) == ["000", "900"]
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 16, 1 << 27])
+def test_duplicate_flags_do_not_depend_on_the_filter(spark, bits):
+    rng = random.Random(bits)
+    rows = [(f"{i:05d}", rng.choice(["a", "b", None]), rng.choice([None, *range(200)])) for i in range(900)] + [(f"x{i:04d}", "hot", 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id string, s string, n int").repartition(4)
+    first = {}
+    for i, s, n in sorted(rows):
+        first.setdefault((s, n), i)
+    got = {r["row_id"]: r["is_exact_duplicate"] for r in normalize.flag_exact_duplicates(df, ["s", "n"], bits=bits).collect()}
+    assert got == {i: first[s, n] != i for i, s, n in rows}
+
+
 def looped_repair(tokens):
     out = list(tokens)
     for i in range(len(out) - 1):
