@@ -512,6 +512,67 @@ def gold_fact_rows(questions: DataFrame) -> DataFrame:
     return facts.select("question_id", "question_type", F.col("fact_ord").cast("bigint").alias("fact_ord"), "fact.*")
 
 
+# What every record tells the writer of an answer.
+GUIDANCE = {"answer_style": "concise business analysis", "must_use_only_provided_evidence": True, "default_metric": "net_revenue"}
+RECORD_SCHEMA = (
+    "question_id string, question_type string, difficulty string, split string, question string, gold_short_answer string, gold_answer variant, "
+    "evidence struct<source_file: string, filters: variant, rows: array<variant>, metadata: variant>, "
+    "generation_guidance struct<answer_style: string, must_use_only_provided_evidence: boolean, default_metric: string>"
+)
+
+
+def nested_records(questions: DataFrame) -> DataFrame:
+    """One nested record per question of any type.
+
+    Answers, filters and evidence rows of different types have different fields. Each is an
+    object of variant type with the fields that it has, so all types stand in one column. An
+    answer's value is a text, a number, or for a ranking an array of objects.
+    """
+    c = F.col
+    value = lambda f: F.when(f["ranking"].isNotNull(), F.to_variant_object(f["ranking"])).when(
+        f["num_value"].isNotNull(), f["num_value"].cast("variant")).otherwise(f["str_value"].cast("variant"))
+    answer = F.to_variant_object(F.map_from_entries(F.transform("gold_facts", lambda f: F.struct(f["field"].alias("key"), value(f).alias("value")))))
+
+    def row(r: Column) -> Column:
+        shaped = [F.when(c("evidence.source_file") == source, F.to_variant_object(F.struct(*[r[n].alias(n) for n in fields]))) for source, fields in SHOWN_FIELDS.items()]
+        return F.coalesce(*shaped)
+
+    total = F.to_variant_object(F.struct(c("evidence.total_merchandise_net_revenue").alias("total_merchandise_net_revenue")))
+    return questions.select(
+        "question_id", "question_type", "difficulty", "split", "question", "gold_short_answer", answer.alias("gold_answer"),
+        F.struct(
+            c("evidence.source_file").alias("source_file"), F.to_variant_object(c("evidence.filters")).alias("filters"),
+            F.transform("evidence.rows", row).alias("rows"),
+            F.when(c("evidence.total_merchandise_net_revenue").isNotNull(), total).alias("metadata"),
+        ).alias("evidence"),
+        F.struct(*[F.lit(v).alias(k) for k, v in GUIDANCE.items()]).alias("generation_guidance"),
+    )
+
+
+def record_json(records: DataFrame) -> DataFrame:
+    """(question_id, record): each record as one JSON object."""
+    return records.select("question_id", F.to_json(F.struct(*records.columns)).alias("record"))
+
+
+def parsed_records(lines: DataFrame) -> DataFrame:
+    """The records again from their JSON."""
+    return lines.select(F.from_json("record", RECORD_SCHEMA).alias("r")).select("r.*")
+
+
+def answer_fields(records: DataFrame) -> DataFrame:
+    """(question_id, question_type, field, kind, text): one row per field of each answer; kind is text, number or ranking."""
+    fields = records.select("question_id", "question_type", "gold_answer").lateralJoin(
+        records.sparkSession.tvf.variant_explode(F.col("gold_answer").outer()))
+    kind = F.schema_of_variant("value")
+    items = F.try_variant_get("value", "$", "array<struct<rank:bigint,stock_code:string>>")
+    shown = F.array_join(F.transform(items, lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["stock_code"])), " > ")
+    number = F.try_variant_get("value", "$", "double")
+    is_rank, is_text = kind.startswith("ARRAY"), kind == "STRING"
+    return fields.select(
+        "question_id", "question_type", F.col("key").alias("field"), F.when(is_rank, "ranking").when(is_text, "text").otherwise("number").alias("kind"),
+        F.when(is_rank, shown).when(is_text, F.try_variant_get("value", "$", "string")).otherwise(fixed2(number)).alias("text"))
+
+
 def evidence_cells(questions: DataFrame) -> DataFrame:
     """One row per non-NULL cell of a question's evidence rows."""
     rows = questions.select("question_id", F.posexplode("evidence.rows").alias("row_pos", "r"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerproof.functions.numbers import fixed2
 from ledgerproof.operators import gold, prompts, quality
 from ledgerproof.plans import views
 from ledgerproof.plans.gold import NET2, QUESTIONS, questions
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import bounds, sql_currency, sql_fixed2
+from ledgerproof.session import durable
 
 
 
@@ -148,6 +150,37 @@ def g12(spark, root):
     )
 
 
+@query(
+    "p09_nested_records",
+    f"""WITH {EVIDENCE}, told AS (SELECT question_id, string_agg(concat_ws('=', field, kind, value), '; ' ORDER BY field) AS answer FROM (
+      SELECT question_id, field, CASE WHEN fact_type = 'ranking' THEN 'ranking' WHEN num_value IS NULL THEN 'text' ELSE 'number' END AS kind,
+        CASE WHEN fact_type = 'ranking' THEN display_value WHEN num_value IS NULL THEN str_value ELSE {sql_fixed2('num_value')} END AS value FROM facts) GROUP BY question_id)
+    SELECT question_id, question_type, split, answer, evidence_source, rows_shown, '{gold.GUIDANCE["answer_style"]}' AS answer_style,
+      CASE WHEN question_type = 'product_revenue_share_month' THEN {sql_fixed2("(SELECT den FROM month_total t WHERE t.year_month = right(ord, 7))")} END AS total
+    FROM questions JOIN told USING (question_id) JOIN (SELECT question_id, string_agg(line, chr(10) ORDER BY line) AS rows_shown FROM evidence GROUP BY 1) USING (question_id)""",
+)
+def p09_records(spark, root):
+    """The records of all seven types, as JSON and back, with the answer's fields and the evidence rows told from the variants."""
+    made = gold.nested_records(questions(spark, root))
+    records = gold.parsed_records(durable(gold.record_json(made)))
+    entry = F.concat_ws("=", "field", "kind", "text")
+    told = gold.answer_fields(records).groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("field", entry.alias("e")))).getField("e"), "; ").alias("answer"))
+
+    def cell(row, name):
+        number = F.try_variant_get(row, f"$.{name}", "double")
+        return fixed2(number) if name in prompts.AMOUNTS else F.try_variant_get(row, f"$.{name}", "string")
+
+    def line_of(row):
+        shapes = [F.when(F.col("evidence.source_file") == s, prompts.table_line([cell(row, n) for n in fields])) for s, fields in gold.SHOWN_FIELDS.items()]
+        return F.coalesce(*shapes)
+
+    total = F.try_variant_get("evidence.metadata", "$.total_merchandise_net_revenue", "double")
+    return records.join(told, "question_id").select(
+        "question_id", "question_type", "split", "answer", F.col("evidence.source_file").alias("evidence_source"),
+        F.array_join(F.array_sort(F.transform("evidence.rows", line_of)), "\n").alias("rows_shown"), F.col("generation_guidance.answer_style").alias("answer_style"),
+        F.when(total.isNotNull(), fixed2(total)).alias("total"))
+
+
 # ------------------------------------------------------- checks, with planted faults
 
 TOTAL_TEXT = "Total merchandise net revenue for the month is GBP"

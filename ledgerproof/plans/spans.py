@@ -349,12 +349,34 @@ def n02(spark, root):
     )
 
 
+# The errors of each identity over features as they are, and with planted faults, in the order of IDENTITIES.
+ERRORS_SQL = [
+    "(lse - logit) + CASE WHEN seeded AND qid % 7 = 0 THEN 0.5 ELSE 0 END + logprob", "-lse + lse", "-logit - CASE WHEN seeded AND qid % 5 = 0 THEN 0.25 ELSE 0 END + logit",
+    "-next_lse + next_lse", "(next_lse - logit) - (next_lse - logit)", "CASE WHEN seeded AND qid % 3 = 0 THEN next_lse - logit - abs(next_lse - logit) ELSE 0 END",
+]
+
+
 @query(
     "a31_identity_errors",
-    f"SELECT unnest({list(token_scores.IDENTITIES)}) AS formula, true AS passed",
+    f"""WITH {STEPS}, tried AS (SELECT *, false AS seeded FROM linked UNION ALL SELECT *, true FROM linked) """
+    + " UNION ALL ".join(
+        f"""SELECT CASE WHEN seeded THEN 'seeded' ELSE 'stored' END AS features, '{n}' AS formula, round(coalesce(max(abs({e})), 0), 4) AS largest_error,
+        coalesce(max(abs({e})), 0) <= 1e-4 AS passed FROM tried GROUP BY seeded"""
+        for n, e in zip(token_scores.IDENTITIES, ERRORS_SQL)
+    ),
 )
 def a31(spark, root):
-    return token_scores.identity_errors(linked(spark, root)).select("formula", "passed")
+    """The largest error of each identity, over the features and over features with planted faults."""
+    c, made = F.col, durable(linked(spark, root))
+    wrong = made.withColumns(
+        {
+            "selected_step_energy_gap": c("selected_step_energy_gap") + F.when(c("qid") % 7 == 0, 0.5).otherwise(0.0),
+            "token_energy": c("token_energy") - F.when(c("qid") % 5 == 0, 0.25).otherwise(0.0),
+            "spilled_energy_abs_delta": F.when(c("qid") % 3 == 0, c("spilled_energy_delta")).otherwise(c("spilled_energy_abs_delta")),
+        }
+    )
+    told = [token_scores.identity_errors(f).withColumn("features", F.lit(n)) for n, f in (("stored", made), ("seeded", wrong))]
+    return told[0].unionByName(told[1]).withColumn("largest_error", F.round(F.coalesce("largest_error", F.lit(0.0)), 4))
 
 
 @query("v06_arithmetic_identity", f"""WITH {STEPS} SELECT 'gap' AS check_name, count(*) FILTER (abs((lse - logit) + logprob) > 1e-9) = 0 AS passed,

@@ -119,3 +119,8 @@ def stored_once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         return build(spark, *args) if _stored.get() is None else once(spark, *args)
 
     return made
+
+
+def unstored(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The lazy form of a `stored_once` builder, for a job that reads its table once."""
+    return build.__wrapped__
