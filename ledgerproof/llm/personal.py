@@ -14,6 +14,7 @@ of a bounded sample of documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,9 +165,8 @@ def mentions(text: str, base: list[Span]) -> Mentions:
                 k += 1
             if (k == len(taken) or taken[k][0] >= b) and _form(text[a:b], short):
                 loose.append((a, b))
-    for a, b in sorted(loose):
-        if not any((a, b) == s for s in known):
-            known.setdefault((a, b), 0)
+    for s in sorted(loose):
+        known.setdefault(s, 0)
     spans, clear = [], -1
     for s in sorted(known, key=lambda s: (s[0], -known[s])):
         if s[0] >= clear or known[s]:
@@ -219,12 +219,35 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
+Counts = dict[tuple[str, tuple[float, ...]], int]
+
+
+def tally(found: list[Mentions]) -> Counts:
+    """What the fit needs of these documents: how often each (shape, label), each pair of
+    neighbouring labels, and agreement and disagreement of base mentions of one form occur."""
+    counts: Counter = Counter()
+    for m in found:
+        counts.update(("mention", (*row, float(y))) for row, y in zip(m.features.tolist(), m.known))
+        counts.update(("pair", (float(a), float(b))) for a, b in zip(m.known, m.known[1:]))
+        first: dict[int, int] = {}
+        for g, y in zip(m.group, m.known):
+            if g >= 0 and y:
+                counts["agree" if first.setdefault(g, y) == y else "differ", ()] += 1
+    return counts
+
+
 def fit(found: list[Mentions]) -> Field:
+    return fit_counts(tally(found))
+
+
+def fit_counts(counts: Counts) -> Field:
     """Weights from base labels: a softmax for the mentions, smoothed counts for neighbours, and
     the log odds that base mentions of one form agree. A mention that no pattern takes is none
     with UNLABELLED_TRUST, else of any kind."""
-    rows = np.concatenate([m.features for m in found] or [np.zeros((0, FEATURES))])
-    known = np.array([y for m in found for y in m.known], np.int64)
+    mentioned = sorted((key, n) for (kind, key), n in counts.items() if kind == "mention")
+    rows = np.array([key[:-1] for key, _ in mentioned]).reshape(-1, FEATURES)
+    known = np.array([int(key[-1]) for key, _ in mentioned], np.int64)
+    times = np.array([n for _, n in mentioned], np.float64)[:, None]
     target = np.full((len(known), LABELS), (1 - UNLABELLED_TRUST) / (LABELS - 1))
     target[:, 0] = UNLABELLED_TRUST
     target[known > 0] = np.eye(LABELS)[known[known > 0]]
@@ -236,39 +259,35 @@ def fit(found: list[Mentions]) -> Field:
             z = rows @ w
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            w += rows.T @ (target - p) / len(rows) - DECAY * (w - prior)
+            w += rows.T @ (times * (target - p)) / times.sum() - DECAY * (w - prior)
     pairs = np.full((LABELS, LABELS), 5.0)
-    agree, differ = 400.0, 1.0
-    for m in found:
-        np.add.at(pairs, (m.known[:-1], m.known[1:]), 1.0)
-        first: dict[int, int] = {}
-        for g, y in zip(m.group, m.known):
-            if g >= 0 and y:
-                if first.setdefault(g, y) == y:
-                    agree += 1
-                else:
-                    differ += 1
+    for (kind, key), n in counts.items():
+        if kind == "pair":
+            pairs[int(key[0]), int(key[1])] += n
+    agree, differ = 400.0 + counts.get(("agree", ()), 0), 1.0 + counts.get(("differ", ()), 0)
     expected = pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True) / pairs.sum()
     return Field(w, np.clip(np.log(pairs / expected), -1, 1), float(np.clip(np.log(agree / differ), 2, 8)))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Broadcast:
     """Learns on documents with digits, `sample` at most: those with the smallest hashes of ids
-    in a share of the table that has about LOOKED_AT documents for each one wanted."""
+    in a share of the table that has about LOOKED_AT documents for each one wanted.
+
+    The documents are counted where they are read; the driver gets one row per shape of a
+    mention and label, however many mentions there are.
+    """
     share = min(1.0, LOOKED_AT * sample / max(1, docs.count()))
     inside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     some = docs.select("doc_id", "text").filter(inside & F.col("text").rlike("[0-9]")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
 
     def compute(chunk: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for text in chunk.column("text").to_pylist():
-            m = mentions(text, base_spans(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m.features.ravel().tolist()], pa.list_(pa.float64())), pa.array([m.known], pa.list_(pa.int32())), pa.array([m.group], pa.list_(pa.int32()))], names=["features", "known", "part"]
-            )
-
-    rows = expand_rows(some, "text", compute, "features array<double>, known array<int>, part array<int>").collect()
-    rows = sorted((r["known"], r["part"], r["features"]) for r in rows)
-    return docs.sparkSession.sparkContext.broadcast(fit([Mentions([], k, np.array(f).reshape(-1, FEATURES), g) for k, g, f in rows]))
+        counts = tally([mentions(text, base_spans(text)) for text in chunk.column("text").to_pylist()])
+        columns = [pa.array([k for k, _ in counts]), pa.array([list(key) for _, key in counts], pa.list_(pa.float64())), pa.array(list(counts.values()), pa.int64())]
+        if counts:
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
+
+    rows = expand_rows(some, "text", compute, "kind string, key array<double>, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    return docs.sparkSession.sparkContext.broadcast(fit_counts({(r["kind"], tuple(r["key"])): r["n"] for r in rows}))
 
 
 def all_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:

@@ -44,6 +44,55 @@ def test_long_runs_take_linear_time():
         p.all_spans("a@b.cc " + text, p.fit([]))
 
 
+def test_many_mentions_take_linear_time():
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        text = " and ".join(str(10**9 + 7919 * k) for k in range(n)) + " a@b.cc"
+        started = time.perf_counter()
+        m = p.mentions(text, p.base_spans(text))
+        took.append(time.perf_counter() - started)
+        assert len(m.spans) == n + 1
+    assert took[1] < 12 * took[0] + 1 and took[1] < 30
+
+
+def test_fit_from_counts_is_the_fit_of_documents():
+    texts = ["Call +1 (375) 555-4393, later 375-555-4393", "a@b.cc and 10.1.2.3 or 20241107", "Card 4111 1111 1111 1111 4111.1111.1111.1111", "no 1234567890"]
+    found = [p.mentions(t, p.base_spans(t)) for t in texts]
+    apart = p.tally([])
+    for m in found * 3:
+        for key, n in p.tally([m]).items():
+            apart[key] = apart.get(key, 0) + n
+    one, other = p.fit(found * 3), p.fit_counts(apart)
+    assert np.allclose(one.unary, other.unary) and np.allclose(one.chain, other.chain) and one.skip == other.skip
+
+
+def test_beliefs_on_small_loops_are_near_enumeration():
+    """Three labels of a loop of chain and skip edges: beliefs lean to the labels that enumeration does."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        field = p.Field(rng.normal(size=(p.FEATURES, p.LABELS)), rng.normal(size=(p.LABELS, p.LABELS)) / 4, 1.0)
+        m = p.Mentions([(k, k + 1) for k in range(4)], [0, 0, 2, 0], rng.normal(size=(4, p.FEATURES)) / 3, [0, 1, 0, 1])
+        unary, want = m.features @ field.unary, np.zeros((4, p.LABELS))
+        for y in itertools.product(range(p.LABELS), repeat=4):
+            if y[2] != 2:
+                continue
+            score = sum(unary[k, y[k]] for k in (0, 1, 3)) + sum(field.chain[y[k], y[k + 1]] for k in range(3))
+            hubs = sum(np.exp(field.skip * (y[0] == g) + field.skip * (y[2] == g)) for g in range(p.LABELS)) * sum(np.exp(field.skip * (y[1] == g) + field.skip * (y[3] == g)) for g in range(p.LABELS))
+            want[range(4), y] += np.exp(score) * hubs
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.abs(field.marginals(m) - want).max() < 0.12
+
+
+def test_missing_ids_and_clashing_names(spark):
+    rows = [(None, "a@b.cc", "x", 1), (1, None, "y", 2), (1, None, "y", 2), (2, "", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, kind int")
+    got = p.found(docs, p.train(docs))
+    assert got.columns == ["doc_id", "text", "base", "kind", "_base", "spans"] and got.count() == 4
+    assert [len(r["_base"]) for r in got.collect() if r["doc_id"] is None] == [1]
+
+
 def test_messages_are_exact_on_trees():
     rng = np.random.default_rng(2)
     field = p.Field(rng.normal(size=(p.FEATURES, p.LABELS)), np.zeros((p.LABELS, p.LABELS)), 1.5)
