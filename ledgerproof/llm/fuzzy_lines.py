@@ -7,10 +7,12 @@ candidates: at similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8
 over 0.998, and higher above. All links are compared exactly.
 
 In a band's bucket every line is first compared with one of it, so a bucket of any size is
-linear. Linked lines are one component then. Where a bucket still holds several components,
-its lines are compared with further hubs, one a turn, across components; and what is still
-apart after TURNS turns is compared pair by pair, so that no candidate is left out. Components of all links are then
-found by star contraction, and of each component the first line in order of doc_id stays.
+linear. Linked lines are one component then. The lines of buckets that still hold several
+components meet by prefix filtering: shingles are ordered by how rare they are among these
+lines, and a line looks for partners by its rarest ones only, as many as near lines can't
+all differ in. That leaves out no near pair, and lines that have only common text in common
+never meet. Components of all links are then found by star contraction, and of each
+component the first line in order of doc_id stays.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from ledgerproof.session import durable
 
 SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 16, 5
-#: Further hubs that each open bucket's lines are compared with before all that is left is.
-TURNS = 3
+#: Hash classes of shingles that are counted to tell rare ones.
+COUNTERS = 1 << 18
 #: Shingles hashed at a time, and pairs compared at a time.
 BLOCK, PAIRS = 1 << 16, 2000
 
@@ -173,19 +176,123 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, pairs.schema)
 
 
-def _open_buckets(rooted: DataFrame) -> DataFrame:
-    """The rows key, id, root of buckets of more than two lines that hold several components."""
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    return rooted.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi")
+def _shared_buckets(dealt: DataFrame) -> DataFrame:
+    """key, h and hub (the least h) of buckets with several lines, each line once.
+
+    One pass over rows that are sorted by bucket and line; a task holds one row of a bucket back
+    until it sees a second line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = hub = None
+        waiting = False
+        for batch in batches:
+            k, h = (np.asarray(batch.column(c)) for c in ("key", "h"))
+            if not len(k):
+                continue
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+            fresh[0] = (k[0], h[0]) != (key, last)
+            end = k[-1], h[-1]
+            k, h = k[fresh], h[fresh]
+            if not len(k):
+                continue
+            opens = np.ones(len(k), bool)
+            opens[1:] = k[1:] != k[:-1]
+            opens[0] = k[0] != key
+            starts = np.flatnonzero(opens)
+            hubs = h[np.maximum.accumulate(np.where(opens, np.arange(len(k)), 0))]
+            if not opens[0]:
+                hubs[: starts[0] if len(starts) else len(k)] = hub
+            keep = ~opens
+            keep[starts[:-1]] = np.diff(starts) > 1
+            if len(starts):
+                keep[starts[-1]] = starts[-1] < len(k) - 1
+            held = [[key], [hub], [hub]] if waiting and not opens[0] else [[], [], []]
+            columns = [np.concatenate([np.array(x, np.int64), y[keep]]) for x, y in zip(held, (k, h, hubs))]
+            waiting = not keep[starts[-1]] if len(starts) else False
+            hub = hubs[-1]
+            key, last = end
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "hub"])
+
+    return dealt.sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, hub long")
+
+
+def _rarity(lines: DataFrame) -> Broadcast:
+    """How often the lines hold shingles of each of COUNTERS hash classes: an order of shingles,
+    rare ones first, that is exact enough to be short of common ones and of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, PAIRS):
+                hashes, _ = shingles(batch.column("form").slice(k, PAIRS).to_pylist())
+                counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["class", "n"])
+
+    read = lines.select("form").mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[np.asarray(read["class"])] = np.asarray(read["n"])
+    return lines.sparkSession.sparkContext.broadcast(counts)
+
+
+def _prefixes(lines: DataFrame, rarity: Broadcast) -> DataFrame:
+    """id, root, n (shingles of the line), place and shingle for the rarest shingles of each line.
+
+    Of n shingles these are n - ceil(SIMILAR * n) + 1: two lines that are near share one of them,
+    since what is left of either is too little for the similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(k, PAIRS)
+                hashes, starts = shingles(part.column("form").to_pylist())
+                line = np.repeat(np.arange(part.num_rows), np.diff(starts))
+                order = np.lexsort([hashes, counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], line])
+                line, hashes = line[order], hashes[order]
+                once = np.ones(len(line), bool)
+                once[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+                line, hashes = line[once], hashes[once]
+                n = np.bincount(line, minlength=part.num_rows)
+                place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+                keep = place <= n[line] - np.ceil(SIMILAR * n - 1e-9).astype(np.int64)[line]
+                line = line[keep]
+                ids, roots = (np.asarray(part.column(c))[line] for c in ("id", "root"))
+                columns = [pa.array(ids), pa.array(roots), pa.array(n[line].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "n", "place", "shingle"])
+
+    return lines.select("id", "root", "form").mapInArrow(run, "id long, root long, n int, place int, shingle long")
+
+
+def _across(lines: DataFrame) -> DataFrame:
+    """Pairs a, b of line ids of different roots that can be near: those that share a rare shingle
+    and are alike in length. No near pair of the lines is left out.
+
+    Where most lines with a shingle are of one root already, only the others look for partners.
+    """
+    prefixes = durable(_prefixes(lines, _rarity(lines)))
+    shares = prefixes.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    main = main.filter("roots > 1").select("shingle", F.col("most.root").alias("main"))
+    mixed = durable(prefixes.join(main, "shingle"))
+    left = mixed.filter("root <> main").select("shingle", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    right = mixed.select("shingle", "main", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    alike = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-9
+    # What can be common from the first shared shingle on.
+    enough = (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))) * (1 + SIMILAR) >= SIMILAR * (F.col("n_a") + F.col("n_b")) - 1e-6
+    once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    met = left.join(right, "shingle").filter((F.col("root_a") != F.col("root_b")) & once & alike & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Links of line ids that make the components of all near candidates."""
     spark = docs.sparkSession
     dealt = _banded(docs).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    # The same shuffle serves the bucket sizes and their members.
-    several = dealt.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("last")).filter("hub < last").select("key", "hub")
-    members = durable(dealt.join(several, "key").groupBy("key", "h").agg(F.first("hub").alias("hub")))
+    members = durable(_shared_buckets(dealt))
     wanted = members.select("h").distinct()
     texts = durable(_texts(docs, distinct.join(wanted, "h", "left_semi")).dropDuplicates(["id"]))
     ids = texts.select("h", "id")
@@ -193,20 +300,11 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     hubs = ids.select(F.col("h").alias("hub"), F.col("id").alias("b"))
     links = durable(_verified(spokes.join(ids.withColumnRenamed("id", "a"), "h").join(hubs, "hub").select("a", "b"), texts))
     roots = components(links).withColumnRenamed("node", "id")
-    rooted = members.join(ids, "h").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rest = durable(_open_buckets(rooted))
-    for turn in range(TURNS):
-        if rest.isEmpty():
-            return links
-        hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "root")).alias("hub")).select("key", F.col("hub.id").alias("b"), F.col("hub.root").alias("to"))
-        pairs = rest.join(hub, "key").filter("root <> to").select(F.col("id").alias("a"), "b", "root", "to").distinct()
-        found = durable(_verified(pairs, texts))
-        links = links.unionByName(found.select("a", "b"))
-        merged = components(found, "root", "to").toDF("root", "top")
-        rest = durable(_open_buckets(rest.join(merged, "root", "left").select("key", "id", F.coalesce("top", "root").alias("root"))))
-    other = rest.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
-    across = rest.withColumnRenamed("id", "a").join(other, "key").filter("a < b and root <> other").select("a", "b").distinct()
-    return links.unionByName(_verified(across, texts))
+    rooted = durable(members.join(ids, "h").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    unsettled = rooted.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi").select("id", "root").distinct()
+    lines = durable(texts.select("id", "form").join(unsettled, "id"))
+    return links.unionByName(_verified(_across(lines), lines.select("id", "form")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

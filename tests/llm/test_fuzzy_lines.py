@@ -66,6 +66,50 @@ def test_against_brute_force(spark):
     assert texts[9] == "\n".join(x for k, x in enumerate(by_id[9].split("\n")) if k not in want[9])
 
 
+def families(rng):
+    """Lines of families that share most of their text, at similarities of 0.5 to 0.95, a hot one among them."""
+    word = lambda: "".join(rng.choice("aeioubcdrst") for _ in range(rng.randrange(2, 9)))
+    lines = []
+    for size in (1, 2, 30, 30, 150):
+        shared = [word() for _ in range(14)]
+        for _ in range(size):
+            own = [word() for _ in range(rng.choice([1, 2, 4, 6]))]
+            at = rng.randrange(len(shared))
+            lines.append(" ".join(shared[:at] + own + shared[at:]))
+    return list(dict.fromkeys([*lines, "a", "ab", "a b c", "short one"]))
+
+
+def test_prefixes_leave_out_no_near_pair(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        lines = families(rng)
+        near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similarity(lines[i], lines[j]) >= 0.8}
+        for root in ([i for i in range(len(lines))], [rng.choice([0, 0, 0, i]) for i in range(len(lines))]):
+            df = spark.createDataFrame([(i, root[i], s) for i, s in enumerate(lines)], "id long, root long, form string").repartition(3)
+            got = {tuple(r) for r in f._across(df).collect()}
+            want = {(i, j) for i, j in near if root[i] != root[j]}
+            assert want <= got and all(root[i] != root[j] for i, j in got)
+            apart = sum(root[i] != root[j] for i in range(len(lines)) for j in range(i + 1, len(lines)))
+            assert len(got) < 0.4 * apart
+
+
+def test_shared_buckets_over_batches(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(4)) for k in range(40) for _ in range(rng.randrange(1, 9))] + [(99, 7)] * 20 + [(100, k % 3) for k in range(20)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, h in rows:
+        want.setdefault(k, set()).add(h)
+    want = sorted((k, h, min(hs)) for k, hs in want.items() if len(hs) > 1 for h in hs)
+    try:
+        for n in ("1", "2", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            df = spark.createDataFrame(rows, "key long, h long").repartition(2, "key")
+            assert sorted(tuple(r) for r in f._shared_buckets(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_recall_of_the_bands():
     rng = random.Random(2)
     pairs = []
