@@ -4,9 +4,10 @@ The automaton holds every word sequence of every item. A document's words run th
 at each word it knows the longest sequence ending there that some item holds. Words that
 no item has reset it, so only runs of known words are walked.
 
-The test set is dealt to shards of at most SHARD_WORDS words (a longer item is a shard by
-itself). One automaton at a time is made and broadcast; with several shards the documents
-pass several times, so memory stays bounded however large the test set is.
+Item texts, each once, are dealt to shards by a running count of words and ids: a shard holds
+SHARD_WORDS of them at most, and its last text. One automaton at a time is made and broadcast;
+with several shards the documents pass several times, so memory stays bounded however large
+the test set is and however often an item is in it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerproof.llm.common import expand_rows, fresh, table
+from ledgerproof.operators.ordering import running_totals
 from ledgerproof.session import durable
 
 WINDOW = 10
@@ -150,17 +152,25 @@ class SuffixAutomaton:
         return spans, found.union(*(self.items[x] for x in states))
 
 
-def shards(benchmark: DataFrame, limit: int = SHARD_WORDS) -> list[list[int]]:
-    """Shard numbers with how many words each holds: hash shards, as many as the word count asks for."""
-    n = F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\u0080-\U0010ffff]+"))), F.lit(0))
-    return list(range(1 + int(benchmark.agg(n.alias("n")).first()["n"]) // limit))
+def dealt(benchmark: DataFrame, limit: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(text, names, shard): each distinct item text once, with its item_ids, and the number of shards.
+
+    The texts are dealt by a running count of words and ids in the order of their hashes: a
+    shard holds at most `limit` of these and its last text. Copies of a text are one text.
+    """
+    named = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter(F.col("name").isNotNull() & F.col("text").isNotNull())
+    texts = named.groupBy("text").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    size = F.size(F.split("text", "[^0-9A-Za-z\u0080-\U0010ffff]+")) + F.size("names")
+    counted = running_totals(texts, [F.xxhash64("text"), F.col("text")], sums={"upto": size.cast("long")}, position="place")
+    start = F.col("upto") - size
+    found = durable(counted.select("text", "names", F.floor(start / limit).cast("int").alias("shard")))
+    last = found.agg(F.max("shard")).first()[0]
+    return found, 1 + (last or 0)
 
 
-def _automaton(benchmark: DataFrame, shard: int, of: int, window: int) -> Broadcast:
-    spark = benchmark.sparkSession
-    own = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").filter(F.col("name").isNotNull() & F.col("text").isNotNull())
-    rows = own.filter(F.pmod(F.xxhash64("text"), F.lit(of)) == shard).collect()
-    return spark.sparkContext.broadcast(SuffixAutomaton([(r["name"], words(r["text"])) for r in rows], window))
+def _automaton(items: DataFrame, shard: int, window: int) -> Broadcast:
+    rows = items.filter(F.col("shard") == shard).collect()
+    return items.sparkSession.sparkContext.broadcast(SuffixAutomaton([(r["names"], words(r["text"])) for r in rows], window))
 
 
 def _scan(docs: DataFrame, automaton: Broadcast, spans: str, items: str, n_words: str) -> DataFrame:
@@ -175,7 +185,7 @@ def _scan(docs: DataFrame, automaton: Broadcast, spans: str, items: str, n_words
         for text in part.column("text").to_pylist():
             ws = words(text)
             hit, who = auto.matches(ws)
-            names = {auto.names[k] for k in who}
+            names = {name for k in who for name in auto.names[k]}
             if known:
                 old, before = next(known)
                 hit = _merged(hit + list(zip(old[::2], old[1::2])))
@@ -208,11 +218,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
     is found. The names get underscores ahead where docs has such columns.
     """
     names = fresh(docs, "spans", "items", "n_words")
-    numbers = shards(benchmark, limit)
-    for k in numbers:
+    items, shards = dealt(benchmark, limit)
+    for k in range(shards):
         if k:
             docs = durable(docs)
-        docs = _scan(docs, _automaton(benchmark, k, len(numbers), window), *names)
+        docs = _scan(docs, _automaton(items, k, window), *names)
     return (docs, *names)
 
 

@@ -84,3 +84,24 @@ def test_cut_and_drop(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert c.decontaminated(df, none, 0.0).count() == 4
     assert c.decontaminated(df.limit(0), bench, 0.0).count() == 0
+
+
+def test_shards_keep_their_bound(spark):
+    rng = random.Random(8)
+    rows = [(k, "the same text of seven words here") for k in range(400)] + [(1000 + k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 60)))) for k in range(300)]
+    bench = spark.createDataFrame([*rows, (None, "no id"), (5000, None)], "item_id long, text string")
+    items, n = c.dealt(bench, limit=1000)
+    shards = {}
+    for r in items.collect():
+        shards.setdefault(r["shard"], []).append(len(plain_words(r["text"])) + len(r["names"]))
+    assert sum(map(len, shards.values())) == len({t for _, t in rows}) and n == max(shards) + 1
+    assert all(sum(x) <= 1000 + max(x) for x in shards.values()) and len(shards) > 5
+    assert c.dealt(bench.limit(0))[1] == 1
+
+
+def test_a_long_text_and_repeated_rows(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " * 200_000 + item + " y" * 100_000), (1, item), (1, item), (2, "w1 w2")], "doc_id long, text string")
+    found, spans, names, n_words = c.matches(docs, spark.createDataFrame([(7, item)] * 3, "item_id long, text string"))
+    assert sorted((r["doc_id"], r[n_words], list(r[spans]), r[names]) for r in found.collect()) == [
+        (1, 12, [0, 12], ["7"]), (1, 12, [0, 12], ["7"]), (1, 300_012, [200_000, 200_012], ["7"]), (2, 2, [], [])]
