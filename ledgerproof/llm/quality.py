@@ -1,10 +1,12 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-The terms of a text are its shape: runs of one to three character classes (letters by case,
-digits, white space, each punctuation mark), and words and lines that repeat. A bounded
+The terms of a text are what it says and how it looks: words, as letter runs of four with a
+mark where a word begins or ends, hashed; runs of one to three character classes (letters
+by case, digits, white space, each punctuation mark); and words and lines that repeat. A bounded
 sample of labelled documents gives term weights and, by singular value decomposition, the
 latent axes. The sample's vectors and labels are broadcast; every document is compared with
-all of them by exact cosines, in blocks, and its nearest vote with their similarity.
+all of them by exact cosines, in blocks, and its nearest vote with their similarity (of
+neighbours at the very same similarity any may vote).
 """
 
 from __future__ import annotations
@@ -24,8 +26,13 @@ from ledgerproof.llm.common import append_columns, fresh, held_out, table
 
 #: Labelled documents of each class that the model is fitted on at most, so it has a fixed size.
 SAMPLE_PER_CLASS = 2000
-GRAMS, AXES, NEIGHBOURS, BLOCK = 1024, 48, 15, 256
-TERMS = 64 + GRAMS
+GRAMS, LETTERS, AXES, NEIGHBOURS, BLOCK = 1024, 2048, 64, 15, 256
+SHAPES = 64 + GRAMS
+TERMS = SHAPES + LETTERS
+#: Weight of a word's terms beside those of shape: there are more of them, and most differ by topic alone.
+WORD_SHARE = 0.35
+#: Rounds of subspace iteration and vectors beside the axes.
+ROUNDS, SPARE = 6, 16
 #: Votes of the base rate beside the neighbours' votes; a text without terms has only these.
 PRIOR_VOTES = 0.05
 THRESHOLD = 0.3
@@ -43,6 +50,13 @@ def _classes() -> np.ndarray:
     return np.array([known.get(chr(c), kind(chr(c))) for c in range(1 << 16)], np.uint32)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Each UTF-16 unit in lower case if it is of a word (a letter, mark or digit), else 0."""
+    low = lambda c: ord(c.lower()[0]) if len(c.lower()) == 1 else ord(c)
+    return np.array([low(chr(c)) if chr(c).isalnum() or c >= 0xD800 and not chr(c).isspace() else 0 for c in range(1 << 16)], np.uint32)
+
+
 def term_counts(texts: list[str | None]) -> np.ndarray:
     """Logarithms of one plus the count of each term in each text."""
     out = np.zeros((len(texts), TERMS + REPEATS), np.float32)
@@ -59,7 +73,14 @@ def _count(text: str, row: np.ndarray) -> None:
     row[:64] = np.bincount(c, minlength=64)
     for grams, factor in ((pair, 0x9E3779B1), (triple, 0x85EBCA77)):
         mixed = (grams + np.uint32(1)) * np.uint32(factor)
-        row[64:TERMS] += np.bincount((mixed ^ (mixed >> np.uint32(15))) & np.uint32(GRAMS - 1), minlength=GRAMS)
+        row[64:SHAPES] += np.bincount((mixed ^ (mixed >> np.uint32(15))) & np.uint32(GRAMS - 1), minlength=GRAMS)
+    low = np.concatenate([[np.uint32(0)], _letters()[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)], [np.uint32(0)] * 3])
+    two = low[:-1] * np.uint32(0x9E3779B1) + low[1:]
+    four = two[:-2] * np.uint32(0x85EBCA77) + two[2:]
+    # Runs that begin in a word or at its edge.
+    four = four[(low[:-3] > 0) | (low[1:-2] > 0)]
+    mixed = (four ^ (four >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+    row[SHAPES:TERMS] = np.bincount((mixed ^ (mixed >> np.uint32(13))) & np.uint32(LETTERS - 1), minlength=LETTERS)
     words, lines = text.split(), text.split("\n")
     row[TERMS:] = sum(map(eq, words, words[1:])), sum(map(eq, words, words[2:])), len(lines) - len(set(lines))
 
@@ -97,14 +118,26 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[int], prior: float) -> Model:
     """The model of these labelled texts; with none, every score is the prior."""
-    counts, y = term_counts(texts), np.asarray(labels, np.float64)
-    n = len(texts)
+    return fit_counts(term_counts(texts), np.asarray(labels, np.float64), prior)
+
+
+def latent_axes(x: np.ndarray, axes: int = AXES) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from fixed random vectors."""
+    q = np.random.default_rng(3).normal(size=(x.shape[1], axes + SPARE))
+    x = x.astype(np.float64)
+    for _ in range(ROUNDS):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, vectors = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ vectors.T)[:, :axes], np.float32)
+
+
+def fit_counts(counts: np.ndarray, y: np.ndarray, prior: float) -> Model:
+    n = len(counts)
     weights = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.2)
+    weights[SHAPES:TERMS] *= np.float32(WORD_SHARE)
     x = counts * weights
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = vectors[:, ::-1][:, :AXES].astype(np.float32)
-    model = Model(weights, np.ascontiguousarray(axes), np.zeros((n, AXES), np.float32), y, prior)
+    model = Model(weights, latent_axes(x), np.zeros((n, AXES), np.float32), y, prior)
     model.vectors = model.vectors_of(counts).astype(np.float32)
     return model
 
@@ -122,11 +155,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Broadcast:
-    """Fits the model on a bounded sample of labelled documents and broadcasts it."""
+    """Fits the model on a bounded sample of labelled documents and broadcasts it.
+
+    Terms are counted where the texts are; the driver gets a row of fixed width for each.
+    """
     spark = docs.sparkSession
-    sample = sorted((r["doc_id"], r["label"], r["text"]) for r in labelled_sample(docs, labels, per_class).collect())
+
+    def counted(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([row.tobytes() for row in term_counts(texts.to_pylist())], pa.binary())]
+
+    sample = append_columns(labelled_sample(docs, labels, per_class), "text", counted, [("terms", T.BinaryType())]).select("doc_id", "label", "terms")
+    read = sample.toArrow().sort_by("doc_id")
+    counts = np.array([np.frombuffer(x, np.float32) for x in read["terms"].to_pylist()], np.float32).reshape(-1, TERMS + REPEATS)
     share = labels.filter(F.col("quality").isin(0, 1) & ~held_out(5, 0)).agg(F.avg("quality")).first()[0]
-    return spark.sparkContext.broadcast(fit([t for _, _, t in sample], [y for _, y, _ in sample], 0.5 if share is None else float(share)))
+    return spark.sparkContext.broadcast(fit_counts(counts, np.asarray(read["label"], np.float64), 0.5 if share is None else float(share)))
 
 
 def scored(docs: DataFrame, model: Broadcast, score: str) -> DataFrame:

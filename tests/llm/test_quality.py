@@ -37,6 +37,18 @@ def test_scores_against_brute_force():
             assert math.isclose(got, 0.7)
 
 
+def test_texts_of_one_shape_differ_by_their_words():
+    import random
+
+    rng = random.Random(1)
+    good = "the river ran past old stone houses while children played near bridges".split()
+    bad = "the casino pay for big poker rounds while gamblers jumped near jackpot".split()
+    assert [len(a) == len(b) for a, b in zip(good, bad)].count(True) >= 6
+    text = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    model = q.fit([text(good) for _ in range(150)] + [text(bad) for _ in range(150)], [1] * 150 + [0] * 150, 0.5)
+    assert min(model.scores([text(good) for _ in range(30)])) > 0.9 and max(model.scores([text(bad) for _ in range(30)])) < 0.1
+
+
 def test_term_counts():
     (row,) = q.term_counts(["aB a a\n\na."])
     want = {0: 4, 1: 1, 3: 2, 4: 2, q.TERMS: 1, q.TERMS + 1: 0, q.TERMS + 2: 0}
