@@ -26,8 +26,10 @@ from ledgerproof.llm.common import append_columns, fresh, table
 
 #: Largest vocabulary that is broadcast, in tokens and in bytes of all tokens.
 MAX_TOKENS, MAX_TOKEN_BYTES = 2_000_000, 64 << 20
-#: Pre-tokens whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+#: Bytes of pieces and their ids that a worker remembers, roughly; longer pieces are not remembered.
+REMEMBERED_BYTES, LONG_PIECE = 128 << 20, 64
+#: Bytes of one entry beside the piece's own and the ids'.
+PIECE_BYTES = 220
 #: Bytes of text whose pre-tokens a task holds at a time.
 ENCODE_BYTES = 1 << 20
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +180,7 @@ class Vocabulary:
         return cls(tokens, pattern)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_split", "_seen", "_bytes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_split", "_seen", "_held", "_bytes")}
 
     @property
     def split(self):
@@ -190,15 +192,23 @@ class Vocabulary:
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one row, and where each text's begin and end."""
-        seen = self.__dict__.setdefault("_seen", {})
+        seen, held = self.__dict__.setdefault("_seen", {}), self.__dict__.setdefault("_held", [0])
         pieces = [self.split(t) if t else [] for t in texts]
-        if len(seen) > REMEMBERED:
+        if held[0] > REMEMBERED_BYTES:
             seen.clear()
+            held[0] = 0
         new = list(set(chain.from_iterable(pieces)).difference(seen))
         raw = [p.encode() for p in new]
+        long = {}
         for piece, b, i in zip(new, raw, self.whole.find(raw)):
-            seen[piece] = (self.ids[i],) if i >= 0 else merge_bytes(b, self.ranks)
-        ids = [list(chain.from_iterable(map(seen.__getitem__, p))) for p in pieces]
+            ids = (self.ids[i],) if i >= 0 else merge_bytes(b, self.ranks)
+            if len(b) > LONG_PIECE:
+                long[piece] = ids
+            else:
+                seen[piece] = ids
+                held[0] += PIECE_BYTES + len(b) + 8 * len(ids)
+        known = {**{p: seen[p] for p in set(chain.from_iterable(pieces)) - long.keys()}, **long}.__getitem__ if long else seen.__getitem__
+        ids = [list(chain.from_iterable(map(known, p))) for p in pieces]
         ends = np.cumsum([0, *map(len, ids)])
         return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends
 

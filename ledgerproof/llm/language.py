@@ -2,9 +2,9 @@
 
 Texts are lower-cased and everything but letters becomes one space. Runs of one to three
 characters are hashed into BUCKETS; the log-probabilities of buckets by language are one
-matrix that is broadcast (BUCKETS x languages). A batch of texts is scored as one sparse
-product: the matrix rows of all its n-grams, summed within each text. More languages than
-one matrix holds are scored in blocks, a pass for each, which carry the best and the log-sum.
+matrix that is broadcast (BUCKETS x languages). The texts of a batch are scored one after the
+other, each as the sum of the matrix rows of its n-grams. More languages than one matrix holds
+are scored in blocks, a pass for each, which carry the best and the log-sum.
 """
 
 from __future__ import annotations
@@ -132,13 +132,13 @@ def train(docs: DataFrame, learn, per_language: int = SAMPLE_PER_LANGUAGE, block
         counts = np.zeros((BUCKETS, len(names)))
         documents = np.zeros(len(names))
         place = {lang: k for k, lang in enumerate(names)}
-        # At most BUCKETS + 1 rows for each language.
+        # One packed row for each language, of BUCKETS + 1 entries at most.
         inside = rows.filter(F.col("lang").between(names[0], names[-1])) if len(blocks) > 1 else rows
-        for lang, bucket, n in inside.collect():
-            if bucket < 0:
-                documents[place[lang]] = n
-            else:
-                counts[bucket, place[lang]] = n
+        packed = inside.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("entries")).toArrow().combine_chunks()
+        for lang, entries in zip(packed["lang"].to_pylist(), packed["entries"]):
+            buckets, n = (np.asarray(entries.values.field(c)) for c in ("bucket", "n"))
+            counts[buckets[buckets >= 0], place[lang]] = n[buckets >= 0]
+            documents[place[lang]] = n[buckets < 0].sum()
         smooth = counts + SMOOTHING
         everything = sum(learnt.values()) + len(languages) if learnt else (documents + 1).sum()
         prior = np.log((documents + 1) / everything) if names else np.zeros(0)

@@ -71,3 +71,16 @@ def test_no_rows(spark):
     vocabulary = bpe.broadcast_vocabulary(spark, PATH, public_tokenizers.PATTERN)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip_digests(empty, vocabulary).collect() == []
+
+
+def test_the_cache_is_bounded_by_bytes(library, monkeypatch):
+    vocabulary = bpe.Vocabulary.read(PATH, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20_000)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for _ in range(20):
+        texts = [" ".join(word(rng.choice([3, 9, 63, 64, 65, 300])) for _ in range(30)) for _ in range(5)]
+        flat, ends = vocabulary.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode_ordinary(t) for t in texts]
+        assert all(len(p.encode()) <= bpe.LONG_PIECE for p in vocabulary._seen)
+        assert vocabulary._held[0] < 20_000 + 150 * (bpe.PIECE_BYTES + 64 * 9)
