@@ -10,9 +10,11 @@ a batch id that is committed already is left alone, and one that was broken off
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerproof.llm import bpe
 from ledgerproof.llm.common import table
 from ledgerproof.session import scratch_path
 
@@ -37,9 +39,18 @@ def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.explode(F.array(*each)).alias("count")).select("doc_id", "source", "lang", "count.*")
 
 
+def bpe_counted(docs: DataFrame, vocabulary: Broadcast, name: str) -> DataFrame:
+    """The same rows for a byte-level BPE vocabulary: the ids that `bpe.encode` gives each whole text."""
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary, ids="ids")
+    return coded.select("doc_id", "source", "lang", F.lit(name).alias("tokenizer"), F.size("ids").cast("long").alias("tokens"))
+
+
 class Ledger:
     """The batches in a folder that all executors reach.
 
+    `compact` writes the counts that hold after a batch once more as one base, so that later
+    commits look documents up in the newest base and the few batches after it.
+
     A document is known by (doc_id, tokenizer); of rows of one batch that share both, the one
     with the largest (tokens, source, lang) counts. A missing source or language is a group
     of its own. Rows without doc_id are left out, since nothing could revise them. Deleting
@@ -53,14 +64,14 @@ class Ledger:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def batches(self) -> list[int]:
-        """Committed batch ids, in order."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/delta")
+    def batches(self, kind: str = "delta") -> list[int]:
+        """Committed batch ids, in order; of kind "base" those after which there is a base."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(at):
             return []
         names = (f.getPath().getName() for f in fs.listStatus(at))
-        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and self._exists(f"{self.path}/delta/{n}/_SUCCESS"))
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and self._exists(f"{self.path}/{kind}/{n}/_SUCCESS"))
 
     def _read(self, kind: str, schema: str, batches: list[int]) -> DataFrame:
         parts = [f"{self.path}/{kind}/batch={b}" for b in batches]
@@ -69,7 +80,10 @@ class Ledger:
     def current(self, only: DataFrame | None = None) -> DataFrame:
         """The counts that hold: of each document and tokenizer those of the last batch that has
         it; of the doc_ids in `only`, if given."""
-        state = self._read("state", STATE, self.batches())
+        done, bases = self.batches(), self.batches("base")
+        state = self._read("state", STATE, [b for b in done if not bases or b > bases[-1]])
+        if bases:
+            state = state.unionByName(self._read("base", STATE, bases[-1:]))
         if only is not None:
             state = state.join(only, "doc_id", "left_semi")
         last = F.max_by(F.struct("source", "lang", "tokens"), "batch").alias("last")
@@ -106,6 +120,12 @@ class Ledger:
         sums.filter("documents <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/delta/batch={batch}")
         return True
 
+    def compact(self) -> None:
+        """Writes the counts that hold now as the base; broken off, it changes nothing and can be done again."""
+        done = self.batches()
+        if done and done[-1] not in self.batches("base"):
+            self.current().withColumn("batch", F.lit(done[-1])).write.mode("overwrite").parquet(f"{self.path}/base/batch={done[-1]}")
+
     def totals(self) -> DataFrame:
         """Documents and tokens of each source, language and tokenizer version that has any."""
         deltas = self._read("delta", DELTA, self.batches())
