@@ -11,7 +11,8 @@ linear. Linked lines are one component then. The lines of buckets that still hol
 components meet by prefix filtering: shingles are ordered by how rare they are among these
 lines, and a line looks for partners by its rarest ones only, as many as near lines can't
 all differ in. That leaves out no near pair, and lines that have only common text in common
-never meet. Components of all links are then found by star contraction, and of each
+never meet. Where many lines share a rare shingle they are first compared with a few of them,
+and only pairs of different components are compared after that. Components of all links are then found by star contraction, and of each
 component the first line in order of doc_id stays.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerproof.llm.common import expand_rows, table
@@ -35,8 +36,10 @@ SHINGLE, SIMILAR = 8, 0.8
 BANDS, ROWS = 16, 5
 #: Hash classes of shingles that are counted to tell rare ones.
 COUNTERS = 1 << 18
+#: Lines with a shingle above which they are first compared with HUBS of them.
+CROWD, HUBS = 16, 3
 #: Shingles hashed at a time, and pairs compared at a time.
-BLOCK, PAIRS = 1 << 16, 2000
+BLOCK, PAIRS = 1 << 16, 2000  # two lines of each pair have places of 12 bits
 
 
 def normal(line: str) -> str:
@@ -62,18 +65,35 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def near(left: list[str], right: list[str]) -> list[bool]:
     """For each pair of normal forms: is the Jaccard similarity of their shingle sets SIMILAR or more?"""
-    each = list(dict.fromkeys([*left, *right]))
-    hashes, starts = shingles(each)
-    sets = {s: np.unique(hashes[a:b]) for s, a, b in zip(each, starts.tolist(), starts[1:].tolist())}
-    found = []
-    for x, y in zip(left, right):
-        p, q = sets[x], sets[y]
-        if min(len(p), len(q)) < SIMILAR * max(len(p), len(q)):
-            found.append(False)
-            continue
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        found.append(both >= SIMILAR * (len(p) + len(q) - both))
-    return found
+    out: list[bool] = []
+    for k in range(0, len(left), PAIRS):
+        out += _near(left[k : k + PAIRS], right[k : k + PAIRS])
+    return out
+
+
+def _near(left: list[str], right: list[str]) -> list[bool]:
+    """At most PAIRS pairs. A shingle of a pair is one number, the pair's place above 52 bits of
+    the hash; numbers that occur on both sides are what the two lines have in common."""
+    place = {s: k for k, s in enumerate(dict.fromkeys([*left, *right]))}
+    hashes, starts = shingles(list(place))
+    line = np.repeat(np.arange(len(place)), np.diff(starts))
+    own = np.sort((line.astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12)))
+    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    sizes = np.bincount((own >> np.uint64(52)).astype(np.int64), minlength=len(place))
+    begins = np.cumsum(sizes) - sizes
+    p, q = (np.fromiter(map(place.__getitem__, side), np.int64, len(side)) for side in (left, right))
+    # Lines of too different lengths need no comparison.
+    compared = np.flatnonzero(np.minimum(sizes[p], sizes[q]) >= SIMILAR * np.maximum(sizes[p], sizes[q]))
+    both = np.zeros(len(left), np.int64)
+    if len(compared):
+        lines = np.concatenate([p[compared], q[compared]])
+        n = sizes[lines]
+        at = np.repeat(begins[lines] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.repeat(np.concatenate([compared, compared]), n).astype(np.uint64)
+        met = np.sort((pair << np.uint64(52)) | (own[at] & np.uint64((1 << 52) - 1)))
+        twice = met[1:][met[1:] == met[:-1]] >> np.uint64(52)
+        both = np.bincount(twice.astype(np.int64), minlength=len(left))
+    return (both >= SIMILAR * (sizes[p] + sizes[q] - both)).tolist()
 
 
 @cache
@@ -177,45 +197,40 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(dealt: DataFrame) -> DataFrame:
-    """key, h and hub (the least h) of buckets with several lines, each line once.
+    """key, h and hub (one of the bucket's lines) of buckets with several lines; a line can be there twice.
 
-    One pass over rows that are sorted by bucket and line; a task holds one row of a bucket back
-    until it sees a second line.
+    One pass over rows that are sorted by bucket: the first line of a bucket is its hub, and
+    goes out when a second one is seen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = hub = None
-        waiting = False
+        key = hub = None
+        told = False  # that the last bucket's hub is out
         for batch in batches:
             k, h = (np.asarray(batch.column(c)) for c in ("key", "h"))
             if not len(k):
                 continue
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-            fresh[0] = (k[0], h[0]) != (key, last)
-            end = k[-1], h[-1]
-            k, h = k[fresh], h[fresh]
-            if not len(k):
-                continue
-            opens = np.ones(len(k), bool)
-            opens[1:] = k[1:] != k[:-1]
-            opens[0] = k[0] != key
+            opens = np.concatenate([[True], k[1:] != k[:-1]])
             starts = np.flatnonzero(opens)
-            hubs = h[np.maximum.accumulate(np.where(opens, np.arange(len(k)), 0))]
-            if not opens[0]:
-                hubs[: starts[0] if len(starts) else len(k)] = hub
-            keep = ~opens
-            keep[starts[:-1]] = np.diff(starts) > 1
-            if len(starts):
-                keep[starts[-1]] = starts[-1] < len(k) - 1
-            held = [[key], [hub], [hub]] if waiting and not opens[0] else [[], [], []]
-            columns = [np.concatenate([np.array(x, np.int64), y[keep]]) for x, y in zip(held, (k, h, hubs))]
-            waiting = not keep[starts[-1]] if len(starts) else False
-            hub = hubs[-1]
-            key, last = end
+            hubs = h[starts]
+            goes_on = k[0] == key
+            if goes_on:
+                hubs[0] = hub
+            group = np.cumsum(opens) - 1
+            other = h != hubs[group]
+            shared = np.logical_or.reduceat(other, starts)
+            new = shared.copy()
+            new[0] &= not (goes_on and told)
+            order = np.lexsort([h[other], group[other]])
+            spoke, at = h[other][order], group[other][order]
+            once = np.concatenate([[True], (at[1:] != at[:-1]) | (spoke[1:] != spoke[:-1])])[: len(at)]
+            spoke, at = spoke[once], at[once]
+            columns = [np.concatenate([k[starts][new], k[starts][at]]), np.concatenate([hubs[new], spoke]), np.concatenate([hubs[new], hubs[at]])]
+            told = bool(shared[-1]) or (goes_on and told and len(starts) == 1)
+            key, hub = k[-1], hubs[-1]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "h", "hub"])
 
-    return dealt.sortWithinPartitions("key", "h").mapInArrow(run, "key long, h long, hub long")
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "key long, h long, hub long")
 
 
 def _rarity(lines: DataFrame) -> Broadcast:
@@ -267,25 +282,52 @@ def _prefixes(lines: DataFrame, rarity: Broadcast) -> DataFrame:
     return lines.select("id", "root", "form").mapInArrow(run, "id long, root long, n int, place int, shingle long")
 
 
-def _across(lines: DataFrame) -> DataFrame:
+def _mixed(prefixes: DataFrame) -> DataFrame:
+    """The rows of shingles that lines of several roots have, with the root that most of them have (main) and how many there are."""
+    shares = prefixes.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("rows"))
+    return prefixes.join(main.filter("roots > 1").select("shingle", F.col("most.root").alias("main"), "rows"), "shingle")
+
+
+def _alike(*sides: str) -> Column:
+    """Can lines with n shingles, that share the one at place, be near by their numbers alone?"""
+    (n_a, n_b), (place_a, place_b) = ([F.col(f"{c}{x}") for x in sides] for c in ("n", "place"))
+    # What can be common from the shared shingle on.
+    enough = F.least(n_a - place_a, n_b - place_b) * (1 + SIMILAR) >= SIMILAR * (n_a + n_b) - 1e-6
+    return (F.least(n_a, n_b) >= SIMILAR * F.greatest(n_a, n_b) - 1e-9) & enough
+
+
+def _by_hubs(mixed: DataFrame) -> DataFrame:
+    """Pairs a, b with their roots: lines of crowded shingles with a few hubs of the shingle."""
+    crowded = mixed.filter(F.col("rows") > CROWD)
+    line = ("id", "root", "n", "place")
+    hubs = crowded.groupBy("shingle").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), *line)) for k in range(HUBS)])).alias("hubs"))
+    met = crowded.join(hubs.withColumn("hub", F.explode("hubs")).select("shingle", *[F.col(f"hub.{c}").alias(f"{c}_hub") for c in line]), "shingle")
+    return met.filter((F.col("root") != F.col("root_hub")) & _alike("", "_hub")).select(F.col("id").alias("a"), F.col("id_hub").alias("b"), "root", "root_hub").distinct()
+
+
+def _across(prefixes: DataFrame) -> DataFrame:
     """Pairs a, b of line ids of different roots that can be near: those that share a rare shingle
     and are alike in length. No near pair of the lines is left out.
 
     Where most lines with a shingle are of one root already, only the others look for partners.
     """
+    mixed = durable(_mixed(prefixes))
+    left = mixed.filter("root <> main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "place")])
+    right = mixed.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "place")])
+    once = (F.col("root_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
+    met = left.join(right, "shingle").filter((F.col("root_a") != F.col("root_b")) & once & _alike("_a", "_b"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _links_across(lines: DataFrame) -> DataFrame:
+    """Links between lines (id, root, form) of different roots that join all roots with near lines."""
+    forms = lines.select("id", "form")
     prefixes = durable(_prefixes(lines, _rarity(lines)))
-    shares = prefixes.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    main = main.filter("roots > 1").select("shingle", F.col("most.root").alias("main"))
-    mixed = durable(prefixes.join(main, "shingle"))
-    left = mixed.filter("root <> main").select("shingle", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    right = mixed.select("shingle", "main", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    alike = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-9
-    # What can be common from the first shared shingle on.
-    enough = (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))) * (1 + SIMILAR) >= SIMILAR * (F.col("n_a") + F.col("n_b")) - 1e-6
-    once = (F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    met = left.join(right, "shingle").filter((F.col("root_a") != F.col("root_b")) & once & alike & enough)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = durable(_verified(_by_hubs(durable(_mixed(prefixes))), forms))
+    merged = components(found, "root", "root_hub").toDF("root", "top")
+    prefixes = prefixes.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    return found.select("a", "b").unionByName(_verified(_across(durable(prefixes)), forms))
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -304,7 +346,7 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     unsettled = rooted.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi").select("id", "root").distinct()
     lines = durable(texts.select("id", "form").join(unsettled, "id"))
-    return links.unionByName(_verified(_across(lines), lines.select("id", "form")))
+    return links.unionByName(_links_across(lines))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -86,13 +86,32 @@ def test_prefixes_leave_out_no_near_pair(spark):
         near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similarity(lines[i], lines[j]) >= 0.8}
         for root in ([i for i in range(len(lines))], [rng.choice([0, 0, 0, i]) for i in range(len(lines))]):
             df = spark.createDataFrame([(i, root[i], s) for i, s in enumerate(lines)], "id long, root long, form string").repartition(3)
-            got = {tuple(r) for r in f._across(df).collect()}
+            got = {tuple(r) for r in f._across(f._prefixes(df, f._rarity(df))).collect()}
             want = {(i, j) for i, j in near if root[i] != root[j]}
             assert want <= got and all(root[i] != root[j] for i, j in got)
             apart = sum(root[i] != root[j] for i in range(len(lines)) for j in range(i + 1, len(lines)))
             assert len(got) < 0.4 * apart
 
 
+def test_links_join_all_near_lines(spark, monkeypatch):
+    """Chains of near lines that are no component yet, with crowded shingles."""
+    monkeypatch.setattr(f, "CROWD", 3)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioubcdrst") for _ in range(6))
+    lines = families(rng)
+    for _ in range(3):
+        ws = [word() for _ in range(16)]
+        for _ in range(40):
+            ws[rng.randrange(16)] = word()
+            lines.append(" ".join(ws))
+    lines = list(dict.fromkeys(lines))
+    df = spark.createDataFrame([(i, i, s) for i, s in enumerate(lines)], "id long, root long, form string").repartition(3)
+    near = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similarity(lines[i], lines[j]) >= 0.8]
+    links = [tuple(r) for r in f._links_across(df).collect()]
+    assert {(min(x), max(x)) for x in links} <= set(near)
+    assert roots(range(len(lines)), links) == roots(range(len(lines)), near)
+
+
 def test_shared_buckets_over_batches(spark):
     rng = random.Random(4)
     rows = [(k, rng.randrange(4)) for k in range(40) for _ in range(rng.randrange(1, 9))] + [(99, 7)] * 20 + [(100, k % 3) for k in range(20)]
@@ -100,12 +119,16 @@ def test_shared_buckets_over_batches(spark):
     want = {}
     for k, h in rows:
         want.setdefault(k, set()).add(h)
-    want = sorted((k, h, min(hs)) for k, hs in want.items() if len(hs) > 1 for h in hs)
+    want = {k: hs for k, hs in want.items() if len(hs) > 1}
     try:
         for n in ("1", "2", "7", "1000"):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
             df = spark.createDataFrame(rows, "key long, h long").repartition(2, "key")
-            assert sorted(tuple(r) for r in f._shared_buckets(df).collect()) == want
+            got, hubs = {}, {}
+            for k, h, hub in map(tuple, f._shared_buckets(df).collect()):
+                got.setdefault(k, set()).add(h)
+                hubs.setdefault(k, set()).add(hub)
+            assert got == want and all(len(x) == 1 and x <= want[k] for k, x in hubs.items())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
