@@ -112,6 +112,7 @@ def in_period(df: DataFrame, first: str | None, last: str | None) -> DataFrame:
 
 
 # --------------------------------------------------------------------- builders
+# The sentences of questions and answers, and the names of fields, are the output itself.
 
 
 def top_country(country_month: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:

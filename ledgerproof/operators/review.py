@@ -252,7 +252,7 @@ def decision_mismatches(decisions: DataFrame, annotations: DataFrame) -> DataFra
 
 # ------------------------------------------------------------------------ audits
 
-# Fixed value: a span that is only a list marker.
+# The names of the audit and coverage rules below, and a span that is only a list marker.
 BARE_RANK = r"(?i)^\*{0,2}\d+(?:st|nd|rd|th)?[.)]?\*{0,2}$"
 
 
