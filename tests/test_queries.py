@@ -17,7 +17,8 @@ SAMPLE = (
     "g03_country_comparison_month g05_top3_products_month g06_product_revenue_share g11_prompt_table t01_normalize_text "
     "t02_extract_numbers t08_nth_occurrence t18_redact_paths t19_forbidden_lines w10_token_offsets j03_interval_overlap "
     "a17_span_features n01_step_distribution e05_average_precision e08_split_safe_evaluation a18_score_summaries a24_error_family_statistics "
-    "k01_fact_level_review k02_ranked_list_evaluation t13_table_cell_offsets r05_confirmation_packet r09_policy_flags u04_key_set_relations"
+    "k01_fact_level_review k02_ranked_list_evaluation t13_table_cell_offsets r05_confirmation_packet r09_policy_flags u04_key_set_relations "
+    "a31_identity_errors a21_missing_and_extra_ids a21_thin_question_types v01_required_fields"
 ).split()
 NAMES = list(QUERIES) if os.environ.get("LEDGERPROOF_ALL") else SAMPLE
 
