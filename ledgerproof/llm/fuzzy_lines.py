@@ -11,8 +11,9 @@ linear. Linked lines are one component then. The lines of buckets that still hol
 components meet by prefix filtering: shingles are ordered by how rare they are among these
 lines, and a line looks for partners by its rarest ones only, as many as near lines can't
 all differ in. That leaves out no near pair, and lines that have only common text in common
-never meet. Where many lines share a rare shingle they are first compared with a few of them,
-and only pairs of different components are compared after that. Components of all links are then found by star contraction, and of each
+never meet. Shingles that stand in the same lines as a rarer one bring no lines together that
+it doesn't, so they are left out. Where many lines share a rare shingle they are first compared
+with a few of them, and only pairs of different components are compared after that. Components of all links are then found by star contraction, and of each
 component the first line in order of doc_id stays.
 """
 
@@ -253,7 +254,7 @@ def _rarity(lines: DataFrame) -> Broadcast:
 
 
 def _prefixes(lines: DataFrame, rarity: Broadcast) -> DataFrame:
-    """id, root, n (shingles of the line), place and shingle for the rarest shingles of each line.
+    """id, root, n (shingles of the line), place, shingle and how common it is for the rarest shingles of each line.
 
     Of n shingles these are n - ceil(SIMILAR * n) + 1: two lines that are near share one of them,
     since what is left of either is too little for the similarity.
@@ -266,27 +267,45 @@ def _prefixes(lines: DataFrame, rarity: Broadcast) -> DataFrame:
                 part = batch.slice(k, PAIRS)
                 hashes, starts = shingles(part.column("form").to_pylist())
                 line = np.repeat(np.arange(part.num_rows), np.diff(starts))
-                order = np.lexsort([hashes, counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], line])
-                line, hashes = line[order], hashes[order]
+                common = counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort([hashes.view(np.int64), common, line])
+                line, hashes, common = line[order], hashes[order], common[order]
                 once = np.ones(len(line), bool)
                 once[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-                line, hashes = line[once], hashes[once]
+                line, hashes, common = line[once], hashes[once], common[once]
                 n = np.bincount(line, minlength=part.num_rows)
                 place = np.arange(len(line)) - (np.cumsum(n) - n)[line]
                 keep = place <= n[line] - np.ceil(SIMILAR * n - 1e-9).astype(np.int64)[line]
                 line = line[keep]
                 ids, roots = (np.asarray(part.column(c))[line] for c in ("id", "root"))
-                columns = [pa.array(ids), pa.array(roots), pa.array(n[line].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "n", "place", "shingle"])
+                columns = [pa.array(ids), pa.array(roots), pa.array(n[line].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(hashes[keep].view(np.int64)), pa.array(common[keep])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "n", "place", "shingle", "common"])
 
-    return lines.select("id", "root", "form").mapInArrow(run, "id long, root long, n int, place int, shingle long")
+    return lines.select("id", "root", "form").mapInArrow(run, "id long, root long, n int, place int, shingle long, common long")
 
 
 def _mixed(prefixes: DataFrame) -> DataFrame:
-    """The rows of shingles that lines of several roots have, with the root that most of them have (main) and how many there are."""
-    shares = prefixes.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("rows"))
-    return prefixes.join(main.filter("roots > 1").select("shingle", F.col("most.root").alias("main"), "rows"), "shingle")
+    """The rows of shingles that lines of several roots have, with the root that most of them have (main) and how many there are (rows).
+
+    Of shingles that the same lines look by, told by their number and 128 bits of hashes of
+    their ids, the rarest stays. The first shingle in order that two lines have in common is
+    never left out: the one that would stay for it is common to both and comes before it.
+    """
+    lists = prefixes.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("common").alias("common"),
+    )
+    rarest = lists.filter("low < high").groupBy("rows", "x", "y").agg(F.min(F.struct("common", "shingle")).alias("first"))
+    kept = durable(prefixes.drop("common").join(rarest.select(F.col("first.shingle").alias("shingle"), "rows"), "shingle"))
+    shares = kept.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("most"))
+    return kept.join(main.select("shingle", F.col("most.root").alias("main")), "shingle")
+
+
+def _merged(mixed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with the roots (root, top) that their roots have become part of."""
+    ends = mixed.join(roots, "root", "left").join(roots.toDF("main", "main_top"), "main", "left")
+    return ends.withColumns({"root": F.coalesce("top", "root"), "main": F.coalesce("main_top", "main")}).drop("top", "main_top")
 
 
 def _alike(*sides: str) -> Column:
@@ -306,13 +325,12 @@ def _by_hubs(mixed: DataFrame) -> DataFrame:
     return met.filter((F.col("root") != F.col("root_hub")) & _alike("", "_hub")).select(F.col("id").alias("a"), F.col("id_hub").alias("b"), "root", "root_hub").distinct()
 
 
-def _across(prefixes: DataFrame) -> DataFrame:
+def _across(mixed: DataFrame) -> DataFrame:
     """Pairs a, b of line ids of different roots that can be near: those that share a rare shingle
     and are alike in length. No near pair of the lines is left out.
 
     Where most lines with a shingle are of one root already, only the others look for partners.
     """
-    mixed = durable(_mixed(prefixes))
     left = mixed.filter("root <> main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "root", "n", "place")])
     right = mixed.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "root", "n", "place")])
     once = (F.col("root_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
@@ -323,11 +341,10 @@ def _across(prefixes: DataFrame) -> DataFrame:
 def _links_across(lines: DataFrame) -> DataFrame:
     """Links between lines (id, root, form) of different roots that join all roots with near lines."""
     forms = lines.select("id", "form")
-    prefixes = durable(_prefixes(lines, _rarity(lines)))
-    found = durable(_verified(_by_hubs(durable(_mixed(prefixes))), forms))
-    merged = components(found, "root", "root_hub").toDF("root", "top")
-    prefixes = prefixes.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    return found.select("a", "b").unionByName(_verified(_across(durable(prefixes)), forms))
+    mixed = durable(_mixed(durable(_prefixes(lines, _rarity(lines)))))
+    found = durable(_verified(_by_hubs(mixed), forms))
+    mixed = durable(_merged(mixed, components(found, "root", "root_hub").toDF("root", "top")))
+    return found.select("a", "b").unionByName(_verified(_across(mixed), forms))
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -346,7 +363,8 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     unsettled = rooted.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi").select("id", "root").distinct()
     lines = durable(texts.select("id", "form").join(unsettled, "id"))
-    return links.unionByName(_links_across(lines))
+    # Components found so far go on as stars, which need fewer rounds than their links.
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_links_across(lines))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def test_prefixes_leave_out_no_near_pair(spark):
         near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if similarity(lines[i], lines[j]) >= 0.8}
         for root in ([i for i in range(len(lines))], [rng.choice([0, 0, 0, i]) for i in range(len(lines))]):
             df = spark.createDataFrame([(i, root[i], s) for i, s in enumerate(lines)], "id long, root long, form string").repartition(3)
-            got = {tuple(r) for r in f._across(f._prefixes(df, f._rarity(df))).collect()}
+            got = {tuple(r) for r in f._across(f._mixed(f._prefixes(df, f._rarity(df)))).collect()}
             want = {(i, j) for i, j in near if root[i] != root[j]}
             assert want <= got and all(root[i] != root[j] for i, j in got)
             apart = sum(root[i] != root[j] for i in range(len(lines)) for j in range(i + 1, len(lines)))
