@@ -92,6 +92,8 @@ def _first(group: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int) -> np.
 def _tile_best(score: np.ndarray, allowed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor and row of the first n allowed rows of each anchor. Rows are in order of their ids."""
     rows = score.shape[1]
+    if not score.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if rows <= n or np.count_nonzero(allowed) * 50 < allowed.size or np.abs(score).max() >= (1 << 62) // rows:
         anchor, row = np.nonzero(allowed)
         best = _first(anchor, score[anchor, row], row, n)

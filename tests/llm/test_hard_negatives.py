@@ -97,3 +97,8 @@ def test_no_rows(spark):
 
 def test_check_sql(spark):
     assert oracle.compare(spark, "/root/testdata/sf0.01", h.op13_hard_negatives, h.OP13_SQL) is None
+
+
+def test_a_tile_without_anchors_has_no_best():
+    anchor, row = h._tile_best(np.zeros((0, 50), np.int64), np.zeros((0, 50), bool), 5)
+    assert len(anchor) == len(row) == 0
