@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +93,87 @@ def placed_tokens(tokens: DataFrame, key: Sequence[str] = ("qid",), chunk: int =
     )
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often its lambdas use it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def repaired(pieces: Column) -> Column:
+    """The display texts of a document's token texts, by the rule of `placed_tokens`.
+
+    Each token is one letter, and pairs are found left to right in the word of letters.
+    """
+    marks = F.transform(pieces, lambda t: F.when(t == REPLACEMENT, "L").when(t.endswith(REPLACEMENT), "M").otherwise("-"))
+    paired = F.split(F.regexp_replace(F.array_join(marks, ""), "[LM]L", "PA"), "")
+    shown = F.zip_with(
+        pieces, paired,
+        lambda t, m: F.when(m == "A", APPROX).when(m == "P", F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t),
+    )
+    return F.when(F.contains(F.array_join(pieces, ""), F.lit(REPLACEMENT)), shown).otherwise(pieces)
+
+
+def blocks(documents: DataFrame, widths: Column, fields: Mapping[str, Column], size: int = 64) -> DataFrame:
+    """The items of a document, given as arrays of one length, in rows of `size` items with their offsets.
+
+    Adds first (the place of the first item), edges (where each item of the block starts, and
+    where the last one ends) and the block's part of each field. Nothing is shuffled: widths are
+    summed by block, blocks inside their document, and each block goes on from its own start.
+    """
+
+    def summed(start: Column, values: Column, width) -> Column:
+        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + width(x))))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda sum_, x: sum_ + x)
+
+    def parted(all_: Column) -> Column:
+        def slices(values: Column) -> Column:
+            return F.transform(starts, lambda i: F.slice(values, i + 1, size))
+
+        def placed(parts: Column) -> Column:
+            return _bound(summed(F.lit(0), parts, total), lambda ahead: F.transform(parts, lambda part, k: F.struct(
+                (k * size).alias("first"), summed(F.get(ahead, k), part, lambda x: x).alias("edges"),
+                *[F.slice(all_[name], k * size + 1, size).alias(name) for name in fields])))
+
+        count = F.size(all_["_widths"])
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size)))
+        return _bound(slices(all_["_widths"]), placed)
+
+    # As arrays of objects, of which a slice costs its own length only.
+    held = F.struct(widths.alias("_widths"), *[F.transform(c, lambda x: x).alias(name) for name, c in fields.items()])
+    # explode would infer a filter on its array, which would be made once more for it.
+    rows = documents.select(*documents.columns, F.explode_outer(_bound(held, parted)).alias("_block")).filter("_block IS NOT NULL")
+    return rows.select(*documents.columns, F.col("_block.first").cast("bigint").alias("first"), *[f"_block.{c}" for c in ("edges", *fields)])
+
+
+def placed_items(blocked: DataFrame, carry: Sequence[str], fields: Sequence[str], start: str, end: str, position: str = "position") -> DataFrame:
+    """One row per item of `blocks`: its place, its fields and its half-open offsets."""
+    at = F.col("_at")
+    rows = blocked.select(*carry, "first", "edges", *fields, F.explode_outer(F.sequence(F.lit(0), F.size("edges") - 2)).alias("_at"))
+    return rows.select(
+        *carry, (F.col("first") + at).alias(position), *[F.get(f, at).alias(f) for f in fields],
+        F.get("edges", at).cast("bigint").alias(start), F.get("edges", at + 1).cast("bigint").alias(end),
+    )
+
+
+def token_blocks(documents: DataFrame, fields: Mapping[str, Column] | None = None, pieces: str = "pieces", size: int = 64) -> DataFrame:
+    """What `placed_tokens` finds, of documents that hold their token texts as an array.
+
+    Special tokens have no width. Without other fields a block has token_text and display_text.
+    """
+    texts = F.col(pieces)
+    shown = repaired(texts)
+    widths = F.zip_with(texts, shown, lambda t, d: F.when(is_special(t), 0).otherwise(F.length(d)))
+    return blocks(documents, widths, fields or {"token_text": texts, "display_text": shown}, size).drop(pieces)
+
+
+def unpacked_tokens(blocked: DataFrame, carry: Sequence[str] = ("qid", "lang")) -> DataFrame:
+    """One row per token of `token_blocks`."""
+    special = is_special(F.col("token_text"))
+    return placed_items(blocked, carry, ["token_text", "display_text"], "char_start", "char_end").withColumns(
+        {"is_special_token": special, "aligned_text": F.when(special, "").otherwise(F.col("display_text"))})
+
+
 def repair_byte_pairs(tokens: DataFrame, key: Sequence[str] = ("qid",)) -> DataFrame:
     """Adds `display_text` only; see `placed_tokens`."""
     return placed_tokens(tokens, key).select(*tokens.columns, "display_text")
@@ -138,6 +219,38 @@ def overlap_join(spans: DataFrame, tokens: DataFrame, key: str = "qid", width: i
     )
 
 
+def block_overlap_join(
+    spans: DataFrame, blocked: DataFrame, carry: Sequence[str] = (), fields: Sequence[str] = (), key: str = "qid", width: int = 2048
+) -> DataFrame:
+    """`overlap_join` with `token_blocks`: spans with every token of some width that they overlap.
+
+    A block crosses the shuffle with its edges and fields. A span meets a block in the bucket
+    where the later of the two starts lies, so once, and then the block's tokens.
+    Adds carry, position, the fields, char_start and char_end.
+    """
+    def buckets(start: Column, end: Column) -> Column:
+        low = F.floor(start / width)
+        return F.explode_outer(F.sequence(low, F.greatest(low, F.floor((end - 1) / width))))
+
+    low, high, at = F.col("span_start_char"), F.col("span_end_char"), F.col("_at")
+    left = spans.withColumn("_bucket", buckets(low, high))
+    right = blocked.select(
+        key, *carry, "first", "edges", *fields,
+        F.coalesce(F.get("edges", F.lit(0)), F.lit(0)).alias("_from"), F.coalesce(F.element_at("edges", -1), F.lit(0)).alias("_to"),
+    )
+    right = right.withColumn("_bucket", buckets(F.col("_from"), F.col("_to")))
+    met = (
+        left.join(right, [key, "_bucket"])
+        .filter((F.col("_to") > low) & (F.col("_from") < high) & (F.col("_bucket") == F.floor(F.greatest("span_start_char", "_from") / width)))
+    )
+    start, end = F.get("edges", at), F.get("edges", at + 1)
+    rows = met.withColumn("_at", F.explode_outer(F.sequence(F.lit(0), F.size("edges") - 2)))
+    return rows.filter((end > low) & (start < high) & (end > start)).select(
+        *spans.columns, *[c for c in carry if c not in spans.columns], (F.col("first") + at).alias("position"),
+        *[F.get(f, at).alias(f) for f in fields], start.cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"),
+    )
+
+
 SIMPLE_MEANS = {"mean_token_logprob": "token_logprob", "mean_token_entropy": "token_entropy", "mean_top2_margin": "top2_margin"}
 ENERGY_MEANS = {
     "mean_selected_step_energy_gap": "selected_step_energy_gap",
@@ -190,9 +303,12 @@ def span_features(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def align(annotations: DataFrame, generations: DataFrame, tokens: DataFrame) -> DataFrame:
+def align(
+    annotations: DataFrame, generations: DataFrame, tokens: DataFrame, overlap: Callable[[DataFrame, DataFrame], DataFrame] = overlap_join
+) -> DataFrame:
     """Annotation, generation and token trace by document. A missing or unfit partner
-    yields a failure reason, not an error; good rows carry features and boundary slop."""
+    yields a failure reason, not an error; good rows carry features and boundary slop.
+    `overlap` joins spans with the tokens in the form given."""
     slice_ = F.expr("substring(generated_text, span_start_char + 1, span_end_char - span_start_char)")
     joined = annotations.join(generations.select("qid", "generated_text"), "qid", "left")
     checked = joined.select(
@@ -202,7 +318,7 @@ def align(annotations: DataFrame, generations: DataFrame, tokens: DataFrame) ->
         .alias("reason"),
     )
     fit = checked.filter("reason IS NULL")
-    features = span_features(overlap_join(fit, tokens))
+    features = span_features(overlap(fit, tokens))
     return (
         checked.join(features, "annotation_id", "left")
         .withColumn(
@@ -240,6 +356,17 @@ def rebuilt(tokens: DataFrame, generations: DataFrame, chunk: int = 4096) -> Dat
         ).alias("piece"),
         F.max("char_end").alias("char_end"),
     )
+    return _rebuilt_of(pieces, generations)
+
+
+def rebuilt_from_blocks(blocked: DataFrame, generations: DataFrame) -> DataFrame:
+    """`rebuilt` of `token_blocks`: a block's texts are joined where it lies."""
+    aligned = F.zip_with("token_text", "display_text", lambda t, shown: F.when(is_special(t), "").otherwise(shown))
+    pieces = blocked.select("qid", F.col("first").alias("part"), F.array_join(aligned, "").alias("piece"), F.element_at("edges", -1).alias("char_end"))
+    return _rebuilt_of(pieces, generations)
+
+
+def _rebuilt_of(pieces: DataFrame, generations: DataFrame) -> DataFrame:
     texts = pieces.groupBy("qid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("rebuilt"),
         F.max("char_end").alias("char_end"),
@@ -251,6 +378,11 @@ def rebuilt(tokens: DataFrame, generations: DataFrame, chunk: int = 4096) -> Dat
     )
 
 
+def contiguous(positions: Column) -> Column:
+    """Do the positions of a document leave no gap? Repeated ones count once."""
+    return F.array_max(positions) - F.array_min(positions) + 1 == F.size(F.array_distinct(positions))
+
+
 def greedy_tiling(spans: DataFrame, key: str = "qid") -> DataFrame:
     """Non-overlapping spans per document, first fit in (start, end) order.
 
