@@ -55,27 +55,42 @@ def money(c: Column) -> Column:
     return F.round(c, 2).cast("double")
 
 
+def _shown(c: Column, pattern: str) -> Column:
+    """A double by a pattern. What decides about a digit is its exact binary value, and a tie goes
+    to the even digit; format_string rounds the shortest decimal form instead."""
+    return F.call_function("format_number", c.cast("double"), F.lit(pattern))
+
+
 def currency(c: Column) -> Column:
-    return F.concat(F.lit("GBP "), F.format_number(c, 2))
+    return F.concat(F.lit("GBP "), _shown(c, "#,##0.00"))
 
 
 def percent(c: Column) -> Column:
-    return F.concat(F.format_string("%.2f", c), F.lit("%"))
+    return F.concat(fixed2(c), F.lit("%"))
 
 
 def fixed2(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+    return _shown(c, "0.00")
 
 
 def twelve_digits(c: Column) -> Column:
     """Twelve significant digits without trailing zeros, in scientific form below 0.0001
-    and from a million million up. A value that isn't finite stops the job."""
+    and from a million million up. A value that isn't finite stops the job. Whole numbers from there
+    up that lie exactly between two results take the greater one, where C takes the even one."""
     c = c.cast("double")
     odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    text = F.format_string("%.12g", F.when(odd, F.raise_error(F.lit("not a finite number")).cast("double")).otherwise(c))
-    mantissa = F.regexp_replace(F.regexp_extract(text, "^([^e]*)", 1), r"(\.\d*?)0+$", "$1")
-    whole = F.concat(F.regexp_replace(mantissa, r"\.$", ""), F.regexp_extract(text, "(e.*)?$", 1))
-    return F.when(c == 0, "0").otherwise(F.when(c.isNotNull(), whole))
+    text = _shown(F.when(odd, F.raise_error(F.lit("not a finite number")).cast("double")).otherwise(c), "0.00000000000E0")
+    power = F.regexp_extract(text, "E(.*)$", 1).cast("int")
+    mantissa = F.regexp_extract(text, "^([^E]*)", 1)
+    plain = F.when(power.between(-4, 11), text.cast("decimal(38,16)").cast("string")).otherwise(mantissa)
+    bare = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return F.when(c == 0, "0").otherwise(F.when(c.isNotNull(), F.when(power.between(-4, 11), bare).otherwise(F.concat(bare, exponent))))
+
+
+def half_away(c: Column, digits: int) -> Column:
+    """A double times a power of ten, to the nearest whole number, and back: the rounding of C and of SQL engines."""
+    return F.round(c * 10.0**digits, 0) / 10.0**digits
 
 
 def exact_mean(c: Column, digits: int = 6) -> Column:
