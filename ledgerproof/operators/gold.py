@@ -246,14 +246,19 @@ def monthly_change(monthly: DataFrame) -> DataFrame:
     )
 
 
-def revenue_share(product_month: DataFrame, n: int) -> DataFrame:
-    """Share of the first n products in the month total."""
+def month_totals(product_month: DataFrame) -> DataFrame:
+    return product_month.groupBy("year_month").agg(F.round(F.sum("net_revenue"), 2).alias("den"))
+
+
+def revenue_share(product_month: DataFrame, n: int, total: DataFrame | None = None) -> DataFrame:
+    """Share of the first n products in the month total. With the totals given, the products
+    may be the first ones of each month only."""
     top = head_rows(product_month, n, ["stock_code", "description"])
     item = F.struct("rank", "stock_code", "description", money(F.col("net_revenue")).alias("merchandise_net_revenue"))
     numerator = top.groupBy("year_month").agg(
         F.round(F.sum("net_revenue"), 2).alias("num"), F.array_sort(F.collect_list(item)).alias("top_products")
     )
-    total = product_month.groupBy("year_month").agg(F.round(F.sum("net_revenue"), 2).alias("den"))
+    total = month_totals(product_month) if total is None else total
     share = F.try_divide(F.col("num").cast("double"), F.col("den").cast("double")) * 100
     return numerator.join(total, "year_month").select(
         "year_month",
@@ -440,8 +445,8 @@ def top3_questions(product_month: DataFrame, partial_month: str, partial_note: s
     )
 
 
-def share_questions(product_month: DataFrame, n: int) -> DataFrame:
-    gold, c = revenue_share(product_month, n), F.col
+def share_questions(product_month: DataFrame, n: int, total: DataFrame | None = None) -> DataFrame:
+    gold, c = revenue_share(product_month, n, total), F.col
     shown = head_rows(product_month, EVIDENCE_ROWS, ["stock_code", "description"])
     first = c("top_products")[0]
     one = _text("the top product (", first["stock_code"], " - ", first["description"], ")")

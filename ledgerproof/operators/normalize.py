@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.text import collapse_space, strip
+from ledgerproof.session import durable
 
 # Stock codes that are charges, not goods.
 NON_MERCHANDISE_CODES = ("AMAZONFEE", "B", "BANK CHARGES", "C2", "CRUK", "D", "DOT", "M", "POST", "S")
@@ -24,61 +25,128 @@ LINE_COLUMNS = (
 )
 
 
-def normalize_lines(raw: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Trimmed ids, collapsed descriptions, calendar keys and line revenue."""
+def typed_products(raw: DataFrame) -> DataFrame:
+    """What a line takes from its product: trimmed code, collapsed description, price."""
+    return raw.withColumns(
+        {
+            "stock_code": strip(F.col("StockCode")),
+            "description": collapse_space(F.col("Description")),
+            "unit_price": F.col("UnitPrice").cast("decimal(12,4)"),
+        }
+    ).drop("StockCode", "UnitPrice")
+
+
+def typed_invoices(raw: DataFrame) -> DataFrame:
+    """What a line takes from its invoice: date, calendar keys, trimmed country."""
     invoice_date = F.col("InvoiceDate").cast("timestamp")
+    return raw.withColumns(
+        {
+            "invoice_date": invoice_date,
+            "country": strip(F.col("Country")),
+            "invoice_date_only": F.date_format(invoice_date, "yyyy-MM-dd"),
+            "year_month": F.date_format(invoice_date, "yyyy-MM"),
+        }
+    ).drop("InvoiceDate")
+
+
+def typed_lines(raw: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Lines of typed products and invoices, with their own ids and revenue."""
     quantity = F.col("Quantity").cast("bigint")
-    price = F.col("UnitPrice").cast("decimal(12,4)")
     return raw.select(
         strip(F.col("InvoiceNo")).alias("invoice_no"),
-        strip(F.col("StockCode")).alias("stock_code"),
-        collapse_space(F.col("Description")).alias("description"),
+        "stock_code",
+        "description",
         quantity.alias("quantity"),
-        invoice_date.alias("invoice_date"),
-        price.alias("unit_price"),
+        "invoice_date",
+        "unit_price",
         F.col("CustomerID").cast("bigint").alias("customer_id"),
-        strip(F.col("Country")).alias("country"),
-        F.date_format(invoice_date, "yyyy-MM-dd").alias("invoice_date_only"),
-        F.date_format(invoice_date, "yyyy-MM").alias("year_month"),
-        (quantity * price).cast("decimal(18,4)").alias("revenue"),
+        "country",
+        "invoice_date_only",
+        "year_month",
+        (quantity * F.col("unit_price")).cast("decimal(18,4)").alias("revenue"),
         *keep,
     )
 
 
+def normalize_lines(raw: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Trimmed ids, collapsed descriptions, calendar keys and line revenue."""
+    return typed_lines(typed_invoices(typed_products(raw)), keep)
+
+
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _no_digit() -> Column:
+    return ~F.rlike("stock_code", F.lit(r"(?U)\d"))
+
+
+def non_merchandise(codes: Sequence[str] = NON_MERCHANDISE_CODES) -> Column:
+    return _flag(F.upper("stock_code").isin(*codes) | _no_digit())
+
+
 def add_quality_flags(lines: DataFrame, codes: Sequence[str] = NON_MERCHANDISE_CODES) -> DataFrame:
-    no_digit = ~F.rlike("stock_code", F.lit(r"(?U)\d"))
     return lines.withColumns(
         {
             "is_cancel_invoice": _flag(F.upper("invoice_no").startswith("C")),
             "is_negative_quantity": _flag(F.col("quantity") < 0),
             "is_nonpositive_unit_price": _flag(F.col("unit_price") <= 0),
             "is_missing_description": F.col("description").isNull() | _flag(F.length("description") == 0),
-            "has_no_digit_stock_code": _flag(no_digit),
-            "is_non_merchandise": _flag(F.upper("stock_code").isin(*codes) | no_digit),
+            "has_no_digit_stock_code": _flag(_no_digit()),
+            "is_non_merchandise": non_merchandise(codes),
         }
     )
 
 
-#: Bits of the filter of repeated fingerprints: 16 MB, whatever the number of lines.
+def priced_lines(lines: DataFrame) -> DataFrame:
+    """Lines with a price and a description, copies included."""
+    return lines.filter(~(_flag(F.col("unit_price") <= 0) | F.col("description").isNull() | _flag(F.length("description") == 0)))
+
+
+#: Bits of the filter of repeated fingerprints: at most 2 M words of 64, whatever the number of lines.
 FILTER_BITS = 1 << 27
 
 
 def repeated_filter(prints: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(_bucket, _bitmap): one bit for each fingerprint that occurs more than once, modulo `bits`."""
+    """(_word, _set): one bit for each fingerprint that occurs more than once, modulo `bits`, in words of 64."""
     repeated = prints.groupBy("_fingerprint").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    word, bit = _place(bits)
+    return repeated.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_set"))
+
+
+def _place(bits: int) -> tuple[Column, Column]:
+    """The word and the bit of a fingerprint."""
     slot = F.pmod("_fingerprint", F.lit(bits))
-    return repeated.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bitmap")
+    return F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _fingerprinted(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Lines that bring a fingerprint of these columns keep it."""
+    return lines if "_fingerprint" in lines.columns else lines.withColumn("_fingerprint", F.xxhash64(*columns))
+
+
+def _marked(lines: DataFrame, bits: int) -> DataFrame:
+    """Adds _candidate: may the line have a copy?"""
+    word, bit = _place(bits)
+    marked = lines.withColumn("_word", word).join(
+        F.broadcast(repeated_filter(lines.select("_fingerprint"), bits)), "_word", "left"
     )
+    held = F.call_function("shiftrightunsigned", F.col("_set"), bit).bitwiseAND(F.lit(1)) == 1
+    return marked.withColumn("_candidate", F.coalesce(held, F.lit(False))).drop("_word", "_set")
 
 
-def _bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) > 0, F.lit(False))
+def _met(candidates: DataFrame, columns: Sequence[str], row_id: str, how: str) -> DataFrame:
+    """Candidates with _first, the smallest row id of their group of copies."""
+    copied = (
+        candidates.groupBy("_fingerprint", *columns)
+        .agg(F.count("*").alias("_copies"), F.min(row_id).alias("_first"))
+        .filter("_copies > 1")
+        .select(F.col("_fingerprint").alias("_k_fingerprint"), *[F.col(c).alias(f"_k_{c}") for c in columns], "_first")
+    )
+    same = F.col("_fingerprint") == F.col("_k_fingerprint")
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return candidates.join(copied, same, how)
 
 
 def flag_exact_duplicates(
@@ -88,36 +156,30 @@ def flag_exact_duplicates(
 
     A window over the columns would put all copies of one row in one task. Here 64-bit
     fingerprints are counted, pre-aggregated before the shuffle, so a hot row is one row of
-    each map task. Repeated ones go into a filter of fixed size, which is broadcast. A line that
+    each map task. Repeated ones go into a filter of bounded size, which is broadcast. A line that
     the filter doesn't hold has no copy and passes by without a shuffle. The others, a few
     without a copy among them, are grouped by all columns, and the groups with copies are joined
     to them; adaptive execution splits that join where a row is hot.
     """
-    lines = lines.withColumn("_fingerprint", F.xxhash64(*columns))
-    slot = F.pmod("_fingerprint", F.lit(bits))
-    marked = lines.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(
-        F.broadcast(repeated_filter(lines.select("_fingerprint"), bits)), "_bucket", "left"
-    )
-    marked = marked.withColumn("_candidate", _bit(F.col("_bitmap"), F.bitmap_bit_position(slot))).drop("_bucket", "_bitmap")
+    marked = _marked(_fingerprinted(lines, columns), bits)
     passing = marked.filter(~F.col("_candidate")).drop("_candidate", "_fingerprint").withColumn("is_exact_duplicate", F.lit(False))
-    candidates = marked.filter("_candidate").drop("_candidate")
-    copied = (
-        candidates.groupBy("_fingerprint", *columns)
-        .agg(F.count("*").alias("_copies"), F.min(row_id).alias("_first"))
-        .filter("_copies > 1")
-        .select(F.col("_fingerprint").alias("_k_fingerprint"), *[F.col(c).alias(f"_k_{c}") for c in columns], "_first")
-    )
-    same = F.col("_fingerprint") == F.col("_k_fingerprint")
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     met = (
-        candidates.join(copied, same, "left")
+        _met(marked.filter("_candidate").drop("_candidate"), columns, row_id, "left")
         .withColumn("is_exact_duplicate", _flag(F.col(row_id) != F.col("_first")))
         .drop("_first", "_fingerprint", "_k_fingerprint", *[f"_k_{c}" for c in columns])
     )
     return passing.unionByName(met)
 
 
+def later_copies(
+    lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS, row_id: str = "row_id", bits: int = FILTER_BITS
+) -> DataFrame:
+    """(row_id): the lines that `flag_exact_duplicates` flags; no other line is shuffled or written."""
+    marked = _marked(_fingerprinted(lines, columns).select(row_id, "_fingerprint", *columns), bits)
+    met = _met(durable(marked.filter("_candidate").drop("_candidate")), columns, row_id, "inner")
+    return met.filter(F.col(row_id) != F.col("_first")).select(row_id)
+
+
 def clean_lines(raw: DataFrame) -> DataFrame:
     return add_quality_flags(flag_exact_duplicates(normalize_lines(raw)))
 

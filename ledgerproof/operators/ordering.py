@@ -8,6 +8,7 @@ the slices ahead; every window then sees one slice only.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +139,21 @@ def top_n(
     )
 
 
+def contenders(df: DataFrame, n: int, partition_by: Sequence[str], metric: str, slots: int = 128) -> DataFrame:
+    """The rows that can be among the first n of their group by metric, largest first, ties included.
+
+    Each group is dealt over slots. The n-th of the slots' maxima is reached by n rows at least, so
+    no row below it is among the first n. Few rows are left to sort; a group in which fewer than n
+    slots have a value keeps all its rows.
+    """
+    best = df.groupBy(*partition_by, F.pmod(F.xxhash64(metric), F.lit(slots)).alias("_slot")).agg(F.max(metric).alias("_best"))
+    floors = best.groupBy(*partition_by).agg(F.get(F.sort_array(F.collect_list("_best"), asc=False), F.lit(n - 1)).alias("_floor"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in partition_by]
+    floors = durable(floors.select(*[F.col(c).alias(f"_k_{c}") for c in partition_by], "_floor"))
+    met = df.join(floors, reduce(lambda a, b: a & b, same), "left")
+    return met.filter(F.col("_floor").isNull() | (F.col(metric) >= F.col("_floor"))).select(*df.columns)
+
+
 def last_wins(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """One row per key: the one with the greatest order value."""
     return top_n(df, 1, key, [F.col(order).desc()], "_last").drop("_last")

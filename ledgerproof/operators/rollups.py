@@ -78,6 +78,27 @@ def net_summary(
     return _from_lines(lines, keys, net, *parts, *extra)
 
 
+def invoice_totals(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per keys and invoice, from which summaries by some of the keys can be made."""
+    return lines.groupBy(*keys, "invoice_no").agg(
+        _total("revenue", "net_revenue"),
+        _part(F.col("revenue") > 0, "gross_positive_revenue"),
+        _part(F.col("revenue") < 0, "cancellation_revenue"),
+    )
+
+
+def invoice_summary(invoices: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+    """`net_summary` of `invoice_totals`: invoices and amounts. `unique`: by all keys of the totals, so
+    each row is one invoice; by fewer keys an invoice may have several rows, and only keys and numbers
+    are shuffled to count it once."""
+    rows = keyed(invoices, keys)
+    amounts = [_total(c, c) for c in ("net_revenue", "gross_positive_revenue", "cancellation_revenue")]
+    if unique:
+        return rows.groupBy(*keys).agg(F.count("invoice_no").alias("invoice_count"), *amounts)
+    counts = rows.groupBy(*keys).agg(F.countDistinct("invoice_no").alias("invoice_count"))
+    return rows.groupBy(*keys).agg(*amounts).join(counts, list(keys))
+
+
 def monthly_sales(sales: DataFrame) -> DataFrame:
     mean = F.sum("revenue").cast("double") / F.sum("priced_count")
     return sales_summary(sales, ["year_month"], extra=[mean.alias("avg_line_revenue")])

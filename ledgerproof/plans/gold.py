@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import money
 from ledgerproof.functions.text import month_label
-from ledgerproof.operators import gold, ordering, quality, rollups
+from ledgerproof.operators import gold, normalize, ordering, quality, rollups
 from ledgerproof.plans import views
 from ledgerproof.plans.register import query
 from ledgerproof.plans.views import (
@@ -185,18 +185,22 @@ def questions(spark, root) -> DataFrame:
 
 
 def question_table(ends: Bounds, countries: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
-    inner_countries, inner_products = period(countries, ends), period(products, ends)
+    """No question shows more than the first products of a month and its total, so these are worked out once."""
+    contenders = ordering.contenders(products, gold.EVIDENCE_ROWS, ["year_month"], "net_revenue")
+    leaders = durable(gold.head_rows(contenders, gold.EVIDENCE_ROWS, ["stock_code", "description"]).drop("rank"))
+    totals = durable(gold.month_totals(products))
+    inner_countries, inner_leaders = period(countries, ends), period(leaders, ends)
     return gold.assign_ids(
         gold.union_all(
             [
                 gold.country_questions(inner_countries, [HOME_COUNTRY]),
                 gold.country_questions(inner_countries, []),
-                gold.product_questions(products, ends.partial, ends.through),
+                gold.product_questions(leaders, ends.partial, ends.through),
                 gold.comparison_questions(inner_countries, COUNTRY_PAIRS, PAIR_FLOOR),
                 gold.change_questions(period(months, ends)),
-                gold.top3_questions(products, ends.partial, ends.through),
-                gold.share_questions(inner_products, 1),
-                gold.share_questions(inner_products, 3),
+                gold.top3_questions(leaders, ends.partial, ends.through),
+                gold.share_questions(inner_leaders, 1, totals),
+                gold.share_questions(inner_leaders, 3, totals),
                 gold.return_questions(gold.in_period(months, None, ends.last)),
             ]
         )
@@ -534,9 +538,9 @@ def answers_from_lines(spark, root) -> DataFrame:
     the builders that the questions came from are used."""
     ends, c, none = bounds(spark, root), F.col, F.lit("")
     revenue, zero = c("revenue"), F.lit(0)
-    countries = durable(views.net(spark, root).groupBy("year_month", "country").agg(
+    countries = durable(views.net_lines(spark, root).groupBy("year_month", "country").agg(
         F.sum(revenue).alias("net"), F.sum(F.when(revenue > 0, revenue).otherwise(zero)).alias("gross"), F.sum(F.when(revenue < 0, revenue).otherwise(zero)).alias("lost")))
-    products = durable(views.goods_net(spark, root).groupBy("year_month", "stock_code", "description").agg(F.sum(revenue).alias("net")))
+    products = durable(normalize.merchandise(views.net_lines(spark, root)).groupBy("year_month", "stock_code", "description").agg(F.sum(revenue).alias("net")))
     months = countries.groupBy("year_month").agg(*[F.round(F.sum(n), 2).alias(n) for n in ("net", "gross", "lost")])
     inner_countries, inner_products, inner_months = (period(d, ends) for d in (countries, products, months))
 
