@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerproof.functions.numbers import currency, fixed2, money, percent
 from ledgerproof.functions.text import month_label
-from ledgerproof.operators.ordering import first_wins, running_totals, top_n
+from ledgerproof.operators.ordering import contenders, first_wins, running_totals, top_n
 from ledgerproof.session import durable
 
 CURRENCY = "GBP"
@@ -105,6 +105,12 @@ def head_rows(summary: DataFrame, n: int, tie: Sequence[str], metric: str = "net
     return top_n(summary, n, ["year_month"], [F.col(metric).desc(), *[F.col(c) for c in tie]])
 
 
+def leading_products(product_month: DataFrame, metric: str = "net_revenue") -> DataFrame:
+    """The first products of each month by metric, as many as evidence shows; shorter lists are heads of these."""
+    left = contenders(product_month, EVIDENCE_ROWS, ["year_month"], metric)
+    return head_rows(left, EVIDENCE_ROWS, ["stock_code", "description"], metric).drop("rank")
+
+
 def in_period(df: DataFrame, first: str | None, last: str | None) -> DataFrame:
     if first is not None:
         df = df.filter(F.col("year_month") >= first)

@@ -189,11 +189,17 @@ def k04(spark, root):
 # --------------------------------------------------------------------- ranked lists
 
 
-def list_answers(products: DataFrame, metric: str) -> DataFrame:
+@stored_once
+def product_leaders(spark, root, metric: str) -> DataFrame:
+    return gold.leading_products(views.product_amounts(spark, root), metric)
+
+
+def list_answers(spark, root, metric: str) -> DataFrame:
     """Each month's top three by a metric as a Markdown answer with some slips, beside
     the gold list and the evidence rows."""
+    products = product_leaders(spark, root, "net_revenue")
     tie = [F.col("stock_code"), F.col("description")]
-    picked = top_n(products, 3, ["year_month"], [F.col(metric).desc(), *tie])
+    picked = top_n(product_leaders(spark, root, metric), 3, ["year_month"], [F.col(metric).desc(), *tie])
     m, rank = F.substring("year_month", 6, 2), F.col("rank")
     amount = F.when(m == "09", "n/a").otherwise(currency(money(F.col(metric))))
     shown_rank = F.when(m == "07", "first").otherwise(rank.cast("string"))
@@ -264,7 +270,7 @@ EVAL = [
 
 @stored_once
 def lists(spark, root, metric: str = "gross_positive_revenue") -> DataFrame:
-    return list_answers(views.product_month_net(spark, root), metric)
+    return list_answers(spark, root, metric)
 
 
 @query("t12_table_rows_from_text", f"WITH {LISTS} SELECT qid AS question_id, row_index, rank, stock_code, product_name, amount FROM a_rows")
@@ -348,8 +354,7 @@ def a25(spark, root):
 
 
 def conditions(spark, root) -> tuple[DataFrame, DataFrame]:
-    products = views.product_month_net(spark, root)
-    return tuple(checking.evaluate_lists(list_answers(products, m)) for m in ("gross_positive_revenue", "net_revenue"))
+    return tuple(checking.evaluate_lists(list_answers(spark, root, m)) for m in ("gross_positive_revenue", "net_revenue"))
 
 
 @query(

@@ -62,3 +62,15 @@ def test_all_products_are_ranked_once(spark, monkeypatch):
     plans.question_table(views.bounds(spark, ROOT), views.country_month_net(spark, ROOT), products, views.monthly_net(spark, ROOT))
     sizes = sorted(df.count() for df in ranked if "stock_code" in df.columns)
     assert sizes[-2] <= gold.EVIDENCE_ROWS and sizes[-1] < 100
+
+
+def test_lists_rank_all_products_once_by_each_metric(spark, monkeypatch):
+    from ledgerproof.plans import checking
+
+    ranked, build = [], ordering.top_n
+    for module in (gold, checking):
+        monkeypatch.setattr(module, "top_n", lambda df, *a: ranked.append(df) or build(df, *a))
+    months = views.monthly_net(spark, ROOT).count()
+    checking.list_answers(spark, ROOT, "gross_positive_revenue")
+    total = views.product_amounts(spark, ROOT).count()
+    assert len(ranked) >= 3 and all(df.count() < total / 2 for df in ranked) and total > 20 * months
