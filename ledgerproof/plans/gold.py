@@ -186,8 +186,7 @@ def questions(spark, root) -> DataFrame:
 
 def question_table(ends: Bounds, countries: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
     """No question shows more than the first products of a month and its total, so these are worked out once."""
-    contenders = ordering.contenders(products, gold.EVIDENCE_ROWS, ["year_month"], "net_revenue")
-    leaders = durable(gold.head_rows(contenders, gold.EVIDENCE_ROWS, ["stock_code", "description"]).drop("rank"))
+    leaders = durable(gold.leading_products(products))
     totals = durable(gold.month_totals(products))
     inner_countries, inner_leaders = period(countries, ends), period(leaders, ends)
     return gold.assign_ids(
@@ -547,6 +546,8 @@ def answers_from_lines(spark, root) -> DataFrame:
     def leaders(df: DataFrame, n: int, *tie: str) -> DataFrame:
         return ordering.top_n(df, n, ["year_month"], [c("net").desc(), *map(c, tie)])
 
+    first_products = durable(leaders(ordering.contenders(products, 3, ["year_month"], "net"), 3, "stock_code", "description").drop("rank"))
+
     def ranked(df: DataFrame, n: int) -> DataFrame:
         item = F.struct("rank", "stock_code", "description", F.round("net", 2).cast("double").alias("merchandise_net_revenue"))
         first = leaders(df, n, "stock_code", "description").groupBy("year_month")
@@ -560,7 +561,7 @@ def answers_from_lines(spark, root) -> DataFrame:
         top = leaders(inner_countries.filter(c("country") != excluded), 1, "country")
         found.append(answer_values("top_country_month", top, F.lit(excluded), year_month=c("year_month"), country=c("country"), net_revenue=F.round("net", 2)))
     found.append(answer_values(
-        "top_product_month", leaders(products, 1, "stock_code", "description"), none, year_month=c("year_month"),
+        "top_product_month", leaders(first_products, 1, "stock_code", "description"), none, year_month=c("year_month"),
         stock_code=c("stock_code"), description=c("description"), merchandise_net_revenue=F.round("net", 2)))
     pairs = F.broadcast(spark.createDataFrame(COUNTRY_PAIRS, "country_a string, country_b string"))
     of = {x: inner_countries.select("year_month", c("country").alias(f"country_{x}"), F.round("net", 2).alias(x)) for x in "ab"}
@@ -576,11 +577,11 @@ def answers_from_lines(spark, root) -> DataFrame:
     found.append(answer_values(
         "monthly_revenue_change", latest, none, previous_month=c("previous"), current_month=c("year_month"), previous_net_revenue=c("p"), current_net_revenue=c("net"),
         absolute_change=c("net") - c("p"), percent_change=percentage(c("net") - c("p"), F.abs("p")), direction=F.when(c("net") < c("p"), "decrease").otherwise("increase")))
-    found.append(answer_values("top3_products_month", ranked(products, 3), none, year_month=c("year_month"), top_products=c("listed")))
+    found.append(answer_values("top3_products_month", ranked(first_products, 3), none, year_month=c("year_month"), top_products=c("listed")))
     total = inner_products.groupBy("year_month").agg(F.round(F.sum("net"), 2).alias("den"))
     for n in (1, 3):
         found.append(answer_values(
-            "product_revenue_share_month", ranked(inner_products, n).join(total, "year_month"), F.lit(str(n)), year_month=c("year_month"), top_products=c("listed"),
+            "product_revenue_share_month", ranked(period(first_products, ends), n).join(total, "year_month"), F.lit(str(n)), year_month=c("year_month"), top_products=c("listed"),
             numerator_merchandise_net_revenue=c("num"), total_merchandise_net_revenue=c("den"), share_percent=percentage(c("num"), c("den")), **{EVIDENCE_TOTAL: c("den")}))
     found.append(answer_values(
         "return_impact_month", gold.in_period(months, None, ends.last), none, year_month=c("year_month"), gross_positive_revenue=c("gross"), cancellation_revenue=c("lost"),
