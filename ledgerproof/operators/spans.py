@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,38 +114,68 @@ def repaired(pieces: Column) -> Column:
     return F.when(F.contains(F.array_join(pieces, ""), F.lit(REPLACEMENT)), shown).otherwise(pieces)
 
 
-def blocks(documents: DataFrame, widths: Column, fields: Mapping[str, Column], size: int = 64) -> DataFrame:
-    """The items of a document, given as arrays of one length, in rows of `size` items with their offsets.
-
-    Adds first (the place of the first item), edges (where each item of the block starts, and
-    where the last one ends) and the block's part of each field. Nothing is shuffled: widths are
-    summed by block, blocks inside their document, and each block goes on from its own start.
+def blocks(
+    documents: DataFrame, items: Column, parts: Mapping[str, Callable[[Column], Column]], width: Callable[..., Column],
+    total: Callable[..., Column], made: Mapping[str, Callable[..., Column]] | None = None, size: int = 16,
+) -> DataFrame:
+    """The items of a document, an array, in rows of `size` items with their offsets.
+
+    `parts` are arrays made of the items, of one length. `width` is worked out of an item's parts,
+    `total` (the sum of widths) of the parts of a block, `made` of an item's parts again. Adds first
+    (the place of the first item), start and until (where the block starts and ends), edges (where each item
+    of it starts, and where the last one ends), the block's piece of each part, and what is made.
+    Nothing is shuffled. Inside the document only blocks' totals are summed, in sums of sums; items are
+    summed behind that as columns of their block's row, which compiles, and lambdas don't.
     """
 
-    def summed(start: Column, values: Column, width) -> Column:
-        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + width(x))))
+    def running(start: Column, values: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda sum_, x: sum_ + x)
+    def sliced(values: Column, step: int) -> Column:
+        count = F.size(values)
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(step))), lambda i: F.slice(values, i + 1, step))
 
-    def parted(all_: Column) -> Column:
-        def slices(values: Column) -> Column:
-            return F.transform(starts, lambda i: F.slice(values, i + 1, size))
+    def starts(groups: Column) -> Column:
+        sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda sum_, x: sum_ + x))
+        return _bound(running(F.lit(0), sums), lambda ahead: F.flatten(
+            F.transform(groups, lambda g, k: F.slice(running(F.get(ahead, k), g), F.lit(1), F.size(g)))))
 
-        def placed(parts: Column) -> Column:
-            return _bound(summed(F.lit(0), parts, total), lambda ahead: F.transform(parts, lambda part, k: F.struct(
-                (k * size).alias("first"), summed(F.get(ahead, k), part, lambda x: x).alias("edges"),
-                *[F.slice(all_[name], k * size + 1, size).alias(name) for name in fields])))
+    def cut(all_: Column) -> Column:
+        count = F.size(all_[names[0]])
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size))), lambda i: _bound(
+            F.struct(*[F.slice(all_[c], i + 1, size).alias(c) for c in names]),
+            lambda part: F.struct(i.alias("first"), total(*[part[c] for c in names]).alias("total"), part.alias("part"))))
 
-        count = F.size(all_["_widths"])
-        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size)))
-        return _bound(slices(all_["_widths"]), placed)
+    def placed(held: Column) -> Column:
+        groups = _bound(F.transform(held, lambda x: x["total"]), lambda totals: sliced(totals, 64))
+        return _bound(_bound(groups, starts), lambda at: F.transform(held, lambda x, k: F.struct(
+            x["first"].alias("first"), F.get(at, k).alias("start"), (F.get(at, k) + x["total"]).alias("until"), x["part"].alias("part"))))
 
-    # As arrays of objects, of which a slice costs its own length only.
-    held = F.struct(widths.alias("_widths"), *[F.transform(c, lambda x: x).alias(name) for name, c in fields.items()])
+    names = list(parts)
+    # As an array of objects, of which a slice costs its own length only.
+    held = _bound(F.transform(items, lambda x: x), lambda all_: F.struct(*[make(all_).alias(c) for c, make in parts.items()]))
     # explode would infer a filter on its array, which would be made once more for it.
-    rows = documents.select(*documents.columns, F.explode_outer(_bound(held, parted)).alias("_block")).filter("_block IS NOT NULL")
-    return rows.select(*documents.columns, F.col("_block.first").cast("bigint").alias("first"), *[f"_block.{c}" for c in ("edges", *fields)])
+    rows = documents.select(*documents.columns, F.explode_outer(_bound(_bound(held, cut), placed)).alias("_block")).filter("_block IS NOT NULL")
+    rows = rows.select(*documents.columns, F.col("_block.first").cast("bigint").alias("first"), "_block.start", "_block.until", *[F.col(f"_block.part.{c}").alias(c) for c in names])
+
+    def each(of: Callable[..., Column]) -> list[Column]:
+        return [of(*[F.get(c, F.lit(i)) for c in names]) for i in range(size)]
+
+    def sums(start: Column, values: Sequence[Column]) -> list[Column]:
+        return list(accumulate([start, *values], add))
+
+    # In eights: a sum of many columns holds the sums before it, and its code grows with their number.
+    count, eights = F.size(names[0]), range(0, size, 8)
+    summed = rows.withColumns({f"_w{i}": F.coalesce(w, F.lit(0)) for i, w in enumerate(each(width))})
+    summed = summed.withColumns({f"_sums{k}": F.array(*sums(F.lit(0), [F.col(f"_w{i}") for i in range(k, min(k + 8, size))])) for k in eights})
+    summed = summed.withColumn("_ahead", F.array(*sums(F.col("start"), [F.element_at(f"_sums{k}", -1) for k in eights])))
+    ends = [F.get("_ahead", F.lit(i // 8)) + F.get(f"_sums{i - i % 8}", F.lit(i % 8 + 1)) for i in range(size)]
+    finished = {"edges": F.slice(F.array("start", *ends), F.lit(1), count + 1)}
+    finished |= {c: F.slice(F.array(*each(of)), F.lit(1), count) for c, of in (made or {}).items()}
+    # Comes out of a generator, so that no filter above takes these long expressions down with it.
+    told = F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in finished.items()]))).alias("_told")
+    told = summed.select(*documents.columns, "first", "start", "until", *names, told)
+    return told.select(*documents.columns, "first", "start", "until", *names, *[f"_told.{c}" for c in finished])
 
 
 def placed_items(blocked: DataFrame, carry: Sequence[str], fields: Sequence[str], start: str, end: str, position: str = "position") -> DataFrame:
@@ -156,15 +188,27 @@ def placed_items(blocked: DataFrame, carry: Sequence[str], fields: Sequence[str]
     )
 
 
-def token_blocks(documents: DataFrame, fields: Mapping[str, Column] | None = None, pieces: str = "pieces", size: int = 64) -> DataFrame:
+def token_blocks(
+    documents: DataFrame, fields: Mapping[str, Column] | None = None, pieces: str = "pieces", size: int = 16, lengths: str | None = None
+) -> DataFrame:
     """What `placed_tokens` finds, of documents that hold their token texts as an array.
 
-    Special tokens have no width. Without other fields a block has token_text and display_text.
+    Special tokens have no width. Without other fields a block has token_text and display_text;
+    `lengths` names a column with the lengths of the token texts instead.
     """
-    texts = F.col(pieces)
-    shown = repaired(texts)
-    widths = F.zip_with(texts, shown, lambda t, d: F.when(is_special(t), 0).otherwise(F.length(d)))
-    return blocks(documents, widths, fields or {"token_text": texts, "display_text": shown}, size).drop(pieces)
+    parts = {"token_text": lambda texts: texts, "display_text": repaired}
+    parts |= {c: (lambda _, values=values: F.transform(values, lambda x: x)) for c, values in (fields or {}).items()}
+
+    def width(text: Column, shown: Column, *_) -> Column:
+        return F.when(is_special(text), 0).otherwise(F.length(shown))
+
+    def total(texts: Column, shown: Column, *_) -> Column:
+        hidden = F.aggregate(texts, F.lit(0), lambda sum_, t: sum_ + F.when(is_special(t), F.length(t)).otherwise(0))
+        return F.length(F.array_join(shown, "")) - F.when(F.contains(F.array_join(texts, ""), F.lit(SPECIAL_PREFIX)), hidden).otherwise(0)
+
+    made = {lengths: lambda text, *_: F.length(text)} if lengths else {}
+    cut = blocks(documents, F.col(pieces), parts, width, total, made, size).drop(pieces)
+    return cut.drop("token_text", "display_text") if fields or lengths else cut
 
 
 def unpacked_tokens(blocked: DataFrame, carry: Sequence[str] = ("qid", "lang")) -> DataFrame:
@@ -220,7 +264,7 @@ def overlap_join(spans: DataFrame, tokens: DataFrame, key: str = "qid", width: i
 
 
 def block_overlap_join(
-    spans: DataFrame, blocked: DataFrame, carry: Sequence[str] = (), fields: Sequence[str] = (), key: str = "qid", width: int = 2048
+    spans: DataFrame, blocked: DataFrame, carry: Sequence[str] = (), fields: Sequence[str] = (), key: str = "qid", width: int = 512
 ) -> DataFrame:
     """`overlap_join` with `token_blocks`: spans with every token of some width that they overlap.
 
@@ -236,7 +280,7 @@ def block_overlap_join(
     left = spans.withColumn("_bucket", buckets(low, high))
     right = blocked.select(
         key, *carry, "first", "edges", *fields,
-        F.coalesce(F.get("edges", F.lit(0)), F.lit(0)).alias("_from"), F.coalesce(F.element_at("edges", -1), F.lit(0)).alias("_to"),
+        F.col("start").alias("_from"), F.col("until").alias("_to"),
     )
     right = right.withColumn("_bucket", buckets(F.col("_from"), F.col("_to")))
     met = (
@@ -362,7 +406,7 @@ def rebuilt(tokens: DataFrame, generations: DataFrame, chunk: int = 4096) -> Dat
 def rebuilt_from_blocks(blocked: DataFrame, generations: DataFrame) -> DataFrame:
     """`rebuilt` of `token_blocks`: a block's texts are joined where it lies."""
     aligned = F.zip_with("token_text", "display_text", lambda t, shown: F.when(is_special(t), "").otherwise(shown))
-    pieces = blocked.select("qid", F.col("first").alias("part"), F.array_join(aligned, "").alias("piece"), F.element_at("edges", -1).alias("char_end"))
+    pieces = blocked.select("qid", F.col("first").alias("part"), F.array_join(aligned, "").alias("piece"), F.col("until").alias("char_end"))
     return _rebuilt_of(pieces, generations)
 
 

@@ -53,3 +53,23 @@ def test_tokens_cross_no_shuffle_as_rows(spark, name):
 def test_contiguous(spark, positions, want):
     df = spark.createDataFrame([(positions,)], "p array<long>")
     assert df.select(spans.contiguous(F.col("p"))).first()[0] is want
+
+
+@pytest.mark.parametrize("name", [
+    "w10_token_offsets", "v14_tokens_rebuild_text", "j03_interval_overlap", "a17_span_features", "p08_derived_scores", "p13_all_or_nothing_group"])
+def test_jobs_that_read_documents_once_store_no_tokens(spark, name, monkeypatch):
+    from ledgerproof import session
+
+    stored = []
+    path = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda *a: stored.append(a) or path(*a))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not stored
+
+
+def test_sums_of_items_are_no_lambda(spark):
+    held = spark.createDataFrame([("d", "en", ["ab"] * 40)], "qid string, lang string, pieces array<string>")
+    blocked = spans.token_blocks(held)
+    assert [r[0] for r in blocked.select("edges").collect()] == [list(range(0, 33, 2)), list(range(32, 65, 2)), list(range(64, 81, 2))]
+    plan = blocked.select("edges")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.split("Generate explode(array(")[0]
