@@ -264,7 +264,7 @@ def overlap_join(spans: DataFrame, tokens: DataFrame, key: str = "qid", width: i
 
 
 def block_overlap_join(
-    spans: DataFrame, blocked: DataFrame, carry: Sequence[str] = (), fields: Sequence[str] = (), key: str = "qid", width: int = 512
+    spans: DataFrame, blocked: DataFrame, carry: Sequence[str] = (), fields: Sequence[str] = (), key: str = "qid", width: int = 1024
 ) -> DataFrame:
     """`overlap_join` with `token_blocks`: spans with every token of some width that they overlap.
 
@@ -278,14 +278,12 @@ def block_overlap_join(
 
     low, high, at = F.col("span_start_char"), F.col("span_end_char"), F.col("_at")
     left = spans.withColumn("_bucket", buckets(low, high))
-    right = blocked.select(
-        key, *carry, "first", "edges", *fields,
-        F.col("start").alias("_from"), F.col("until").alias("_to"),
-    )
-    right = right.withColumn("_bucket", buckets(F.col("_from"), F.col("_to")))
+    # The ends of a block are in its edges, and don't cross the shuffle beside them.
+    right = blocked.select(key, *carry, "first", "edges", *fields, buckets(F.col("start"), F.col("until")).alias("_bucket"))
+    begin, until = F.get("edges", F.lit(0)), F.element_at("edges", -1)
     met = (
         left.join(right, [key, "_bucket"])
-        .filter((F.col("_to") > low) & (F.col("_from") < high) & (F.col("_bucket") == F.floor(F.greatest("span_start_char", "_from") / width)))
+        .filter((until > low) & (begin < high) & (F.col("_bucket") == F.floor(F.greatest(low, begin) / width)))
     )
     start, end = F.get("edges", at), F.get("edges", at + 1)
     rows = met.withColumn("_at", F.explode_outer(F.sequence(F.lit(0), F.size("edges") - 2)))

@@ -69,7 +69,15 @@ def test_jobs_that_read_documents_once_store_no_tokens(spark, name, monkeypatch)
 
 def test_sums_of_items_are_no_lambda(spark):
     held = spark.createDataFrame([("d", "en", ["ab"] * 40)], "qid string, lang string, pieces array<string>")
-    blocked = spans.token_blocks(held)
+    blocked = spans.token_blocks(held, size=16)
     assert [r[0] for r in blocked.select("edges").collect()] == [list(range(0, 33, 2)), list(range(32, 65, 2)), list(range(64, 81, 2))]
     plan = blocked.select("edges")._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan.split("Generate explode(array(")[0]
+
+
+def test_ends_of_blocks_cross_no_shuffle_beside_the_edges(spark):
+    held = spark.createDataFrame([("d", "en", ["ab"] * 40)], "qid string, lang string, pieces array<string>")
+    left = spark.createDataFrame([("n", "d", 0, 5)], "annotation_id string, qid string, span_start_char long, span_end_char long")
+    plan = spans.block_overlap_join(left, spans.token_blocks(held)).drop("qid")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("Join Inner")[1].split("Generate explode(array(")[0]
+    assert "_from" not in top and "_to#" not in top
