@@ -105,9 +105,12 @@ def head_rows(summary: DataFrame, n: int, tie: Sequence[str], metric: str = "net
     return top_n(summary, n, ["year_month"], [F.col(metric).desc(), *[F.col(c) for c in tie]])
 
 
-def leading_products(product_month: DataFrame, metric: str = "net_revenue") -> DataFrame:
-    """The first products of each month by metric, as many as evidence shows; shorter lists are heads of these."""
+def leading_products(product_month: DataFrame, metric: str = "net_revenue", names: DataFrame | None = None) -> DataFrame:
+    """The first products of each month by metric, as many as evidence shows; shorter lists are heads of these.
+    With names (product, stock_code, description) given, products are numbers and only these few get their names."""
     left = contenders(product_month, EVIDENCE_ROWS, ["year_month"], metric)
+    if names is not None:
+        left = left.join(names, "product")
     return head_rows(left, EVIDENCE_ROWS, ["stock_code", "description"], metric).drop("rank")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerproof.functions.text import collapse_space, strip
@@ -180,6 +181,25 @@ def later_copies(
     return met.filter(F.col(row_id) != F.col("_first")).select(row_id)
 
 
+def firsts_of_invoices(lines: DataFrame, invoice: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Lines without later copies; opens_month and opens_country are true for one line of each invoice in
+    each of its months, and in each of its months and countries.
+
+    Copies agree in invoice, month, country and columns. The lines of an invoice are sorted and each is compared
+    with the one before it; lines that are dealt by the invoice's number already aren't shuffled.
+    """
+    shown = ["year_month", "country", *columns]
+    order = Window.partitionBy(*invoice).orderBy(*shown)
+
+    def same(*names: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_before_{c}")) for c in names], F.col("_place") > 1)
+
+    # Columns are taken from the line before one by one: a struct of them would be sorted beside them.
+    compared = lines.withColumns({"_place": F.row_number().over(order), **{f"_before_{c}": F.lag(c).over(order) for c in shown}})
+    kept = compared.filter(~same(*shown)).withColumns({"opens_month": ~same("year_month"), "opens_country": ~same("year_month", "country")})
+    return kept.drop("_place", *[f"_before_{c}" for c in shown])
+
+
 def clean_lines(raw: DataFrame) -> DataFrame:
     return add_quality_flags(flag_exact_duplicates(normalize_lines(raw)))
 

@@ -78,13 +78,21 @@ def net_summary(
     return _from_lines(lines, keys, net, *parts, *extra)
 
 
+def amounts() -> list[Column]:
+    """Net revenue with its gross-positive and cancellation parts."""
+    parts = [_part(F.col("revenue") > 0, "gross_positive_revenue"), _part(F.col("revenue") < 0, "cancellation_revenue")]
+    return [_total("revenue", "net_revenue"), *parts]
+
+
+def month_totals(totals: DataFrame) -> DataFrame:
+    """Month summary of totals by month and country, in which an invoice opens each of its months once."""
+    return keyed(totals, ["year_month"]).groupBy("year_month").agg(
+        F.sum("opens_month").alias("invoice_count"), *[_total(c, c) for c in ("net_revenue", "gross_positive_revenue", "cancellation_revenue")])
+
+
 def invoice_totals(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per keys and invoice, from which summaries by some of the keys can be made."""
-    return lines.groupBy(*keys, "invoice_no").agg(
-        _total("revenue", "net_revenue"),
-        _part(F.col("revenue") > 0, "gross_positive_revenue"),
-        _part(F.col("revenue") < 0, "cancellation_revenue"),
-    )
+    return lines.groupBy(*keys, "invoice_no").agg(*amounts())
 
 
 def invoice_summary(invoices: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:

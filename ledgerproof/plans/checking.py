@@ -191,7 +191,7 @@ def k04(spark, root):
 
 @stored_once
 def product_leaders(spark, root, metric: str) -> DataFrame:
-    return gold.leading_products(views.product_amounts(spark, root), metric)
+    return gold.leading_products(views.product_amounts(spark, root), metric, views.product_names(spark, root))
 
 
 def list_answers(spark, root, metric: str) -> DataFrame:

@@ -184,9 +184,10 @@ def questions(spark, root) -> DataFrame:
     return question_table(bounds(spark, root), *views.summaries(spark, root))
 
 
-def question_table(ends: Bounds, countries: DataFrame, products: DataFrame, months: DataFrame) -> DataFrame:
-    """No question shows more than the first products of a month and its total, so these are worked out once."""
-    leaders = durable(gold.leading_products(products))
+def question_table(ends: Bounds, countries: DataFrame, products: DataFrame, months: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """No question shows more than the first products of a month and its total, so these are worked out once.
+    Names are given where products are numbers."""
+    leaders = durable(gold.leading_products(products, names=names))
     totals = durable(gold.month_totals(products))
     inner_countries, inner_leaders = period(countries, ends), period(leaders, ends)
     return gold.assign_ids(
@@ -537,16 +538,17 @@ def answers_from_lines(spark, root) -> DataFrame:
     the builders that the questions came from are used."""
     ends, c, none = bounds(spark, root), F.col, F.lit("")
     revenue, zero = c("revenue"), F.lit(0)
-    countries = durable(views.net_lines(spark, root).groupBy("year_month", "country").agg(
+    countries = durable(views.numbered_lines(spark, root).groupBy("year_month", "country").agg(
         F.sum(revenue).alias("net"), F.sum(F.when(revenue > 0, revenue).otherwise(zero)).alias("gross"), F.sum(F.when(revenue < 0, revenue).otherwise(zero)).alias("lost")))
-    products = durable(normalize.merchandise(views.net_lines(spark, root)).groupBy("year_month", "stock_code", "description").agg(F.sum(revenue).alias("net")))
+    products = durable(normalize.merchandise(views.numbered_lines(spark, root)).groupBy("year_month", "product").agg(F.sum(revenue).alias("net")))
     months = countries.groupBy("year_month").agg(*[F.round(F.sum(n), 2).alias(n) for n in ("net", "gross", "lost")])
     inner_countries, inner_products, inner_months = (period(d, ends) for d in (countries, products, months))
 
     def leaders(df: DataFrame, n: int, *tie: str) -> DataFrame:
         return ordering.top_n(df, n, ["year_month"], [c("net").desc(), *map(c, tie)])
 
-    first_products = durable(leaders(ordering.contenders(products, 3, ["year_month"], "net"), 3, "stock_code", "description").drop("rank"))
+    named = ordering.contenders(products, 3, ["year_month"], "net").join(views.product_names(spark, root), "product")
+    first_products = durable(leaders(named, 3, "stock_code", "description").drop("rank"))
 
     def ranked(df: DataFrame, n: int) -> DataFrame:
         item = F.struct("rank", "stock_code", "description", F.round("net", 2).cast("double").alias("merchandise_net_revenue"))
@@ -683,7 +685,7 @@ def v10_all_types(spark, root):
 )
 def v11(spark, root):
     ends = bounds(spark, root)
-    countries, products, months = views.summaries(spark, root)
+    countries, products, months, names = views.summaries(spark, root)
 
     def counted(rows: DataFrame, **times: Column) -> DataFrame:
         """(question_type, expected) from the number n of these rows."""
@@ -699,4 +701,4 @@ def v11(spark, root):
             counted(gold.in_period(months, None, ends.last), return_impact_month=n),
         ]
     )
-    return quality.expected_counts(question_table(ends, countries, products, months), "question_type", rows)
+    return quality.expected_counts(question_table(ends, countries, products, months, names), "question_type", rows)
