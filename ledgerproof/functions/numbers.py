@@ -73,19 +73,84 @@ def fixed2(c: Column) -> Column:
     return _shown(c, "0.00")
 
 
-def twelve_digits(c: Column) -> Column:
+def any_fixed2(c: Column, grouped: bool = False) -> Column:
+    """`fixed2` of any double, as C writes it: every digit of a large one, and nan or inf by name. It holds lambdas,
+    which amounts of money do without."""
+    c = c.cast("double")
+    size, pattern = F.abs(c), "#,##0.00" if grouped else "0.00"
+    digits = _all_digits(size)
+    if grouped:
+        digits = F.regexp_replace(digits, r"(?<=\d)(?=(\d{3})+$)", ",")
+    huge = F.concat(F.when(c < 0, "-").otherwise(""), digits, F.lit(".00"))
+    return _named(c, F.when(size >= 2.0**63, huge).otherwise(_exactly_shown(c, pattern)))
+
+
+def _named(c: Column, finite: Column) -> Column:
+    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(finite)
+
+
+def _exactly_shown(c: Column, pattern: str) -> Column:
+    """Large numbers go by as whole ones, or as decimals of two places: of a double the digits of its shortest form
+    decide, which from 2**45 up may end before the places that are shown, and its ties go up."""
+    whole = c.try_cast("bigint")
+    rest = c - whole.cast("double")
+    # A rest has so few bits that its hundredfold is exact.
+    cents = (whole.cast("decimal(20,0)") * 100 + F.rint(rest * 100).cast("decimal(4,0)")) / F.lit(100).cast("decimal(3,0)")
+    large = (F.abs(c) >= 2.0**39) & (F.abs(c) < 2.0**63)
+    return F.when(large & (rest == 0), F.call_function("format_number", whole, F.lit(pattern))).when(
+        large, F.call_function("format_number", cents.cast("decimal(38,2)"), F.lit(pattern))).otherwise(_shown(c, pattern))
+
+
+def _all_digits(size: Column) -> Column:
+    """The digits of a double from 2**63 up: a whole number times a power of two, in limbs of nine digits, the lowest first."""
+    base = F.lit(10**9).cast("bigint")
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    def times(limbs: Column, factor: Column) -> Column:
+        none = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+
+        def step(acc: Column, limb: Column) -> Column:
+            made = limb * factor + acc["carry"]
+            return F.struct(F.concat(acc["done"], F.array(made % base)).alias("done"), div(made, base).alias("carry"))
+
+        return F.aggregate(limbs, none, step, lambda acc: F.concat(acc["done"], F.array(acc["carry"])))
+
+    # Two bits more than a double has, so that a logarithm rounded to the next whole number does no harm.
+    power = (F.floor(F.log2(size)) - 54).cast("int")
+    whole = (size / F.pow(F.lit(2.0), power)).try_cast("bigint")
+    factors = F.concat(
+        F.array_repeat(F.lit(2**29).cast("bigint"), div(power, F.lit(29)).cast("int")), F.array(F.pow(F.lit(2.0), power % 29).cast("bigint")))
+    limbs = F.aggregate(factors, F.array(whole % base, div(whole, base)), times)
+    return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda limb: F.lpad(limb.cast("string"), 9, "0")), ""), "^0+", "")
+
+
+def twelve_digits(c: Column, named: bool = False) -> Column:
     """Twelve significant digits without trailing zeros, in scientific form below 0.0001
-    and from a million million up. A value that isn't finite stops the job. Whole numbers from there
-    up that lie exactly between two results take the greater one, where C takes the even one."""
+    and from a million million up. A value that isn't finite stops the job, or is `named` as C names it."""
     c = c.cast("double")
     odd = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    text = _shown(F.when(odd, F.raise_error(F.lit("not a finite number")).cast("double")).otherwise(c), "0.00000000000E0")
-    power = F.regexp_extract(text, "E(.*)$", 1).cast("int")
+    stop = F.lit(None) if named else F.raise_error(F.lit("not a finite number"))
+    pattern, tiny = "0.00000000000E0", F.abs(c) < 2.2250738585072014e-308
+    whole = c.try_cast("bigint")
+    large = (F.abs(c) >= 2.0**39) & (F.abs(c) < 2.0**63) & (whole.cast("double") == c)
+    # Below the least normal double: whole multiples of 4.94e-324, whose shortest forms have fewer digits.
+    steps = (c * 2.0**537 * 2.0**537).try_cast("decimal(16,0)") * F.expr("4.940656458412465441766BD")
+    text = (
+        F.when(large, F.call_function("format_number", whole, F.lit(pattern)))
+        .when(tiny, F.call_function("format_number", steps, F.lit(pattern)))
+        .otherwise(_shown(F.when(odd, stop.cast("double")).otherwise(c), pattern))
+    )
+    power = F.regexp_extract(text, "E(.*)$", 1).cast("int") - F.when(tiny, 324).otherwise(0)
     mantissa = F.regexp_extract(text, "^([^E]*)", 1)
     plain = F.when(power.between(-4, 11), text.cast("decimal(38,16)").cast("string")).otherwise(mantissa)
     bare = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    return F.when(c == 0, "0").otherwise(F.when(c.isNotNull(), F.when(power.between(-4, 11), bare).otherwise(F.concat(bare, exponent))))
+    told = F.when(c.isNotNull(), F.when(power.between(-4, 11), bare).otherwise(F.concat(bare, exponent)))
+    # A zero keeps its sign.
+    told = F.when(c == 0, _shown(c, "0")).otherwise(told)
+    return _named(c, told) if named else told
 
 
 def half_away(c: Column, digits: int) -> Column:
