@@ -164,5 +164,15 @@ def exact_mean(c: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(F.sum(c.cast("decimal(38,18)")), F.count(c).cast("decimal(20,0)")), digits).cast("double")
 
 
+def exact_mean_of_units(c: Column, scale: int, digits: int = 6) -> Column:
+    """Aggregate: `exact_mean` of whole numbers that count units of 10**-scale. They are summed as longs, and the
+    mean is rounded once in whole numbers; a sum too large for that stops the job."""
+    total, count = F.sum(c.cast("bigint")), F.count(c)
+    shift = 10 ** abs(digits - scale)
+    top, below = (F.abs(total) * (2 * shift), count) if digits >= scale else (F.abs(total) * 2, count * shift)
+    size = F.call_function("div", top + below, below * 2)
+    return F.when(count > 0, (F.signum(total) * size.cast("double")) / 10.0**digits)
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerproof.functions.numbers import exact_mean
+from ledgerproof.functions.numbers import exact_mean, exact_mean_of_units
 from ledgerproof.operators.ordering import running_offsets, running_totals
 from ledgerproof.session import durable
 
@@ -194,7 +194,7 @@ def token_blocks(
     """What `placed_tokens` finds, of documents that hold their token texts as an array.
 
     Special tokens have no width. Without other fields a block has token_text and display_text;
-    `lengths` names a column with the lengths of the token texts instead.
+    `lengths` names a column with the lengths of the token texts instead, NULL where all are as long as they are wide.
     """
     parts = {"token_text": lambda texts: texts, "display_text": repaired}
     parts |= {c: (lambda _, values=values: F.transform(values, lambda x: x)) for c, values in (fields or {}).items()}
@@ -208,6 +208,9 @@ def token_blocks(
 
     made = {lengths: lambda text, *_: F.length(text)} if lengths else {}
     cut = blocks(documents, F.col(pieces), parts, width, total, made, size).drop(pieces)
+    if lengths:
+        # No token is wider than it is long, so where the sums are equal all of them are.
+        cut = cut.withColumn(lengths, F.when(F.length(F.array_join("token_text", "")) != F.col("until") - F.col("start"), F.col(lengths)))
     return cut.drop("token_text", "display_text") if fields or lengths else cut
 
 
@@ -316,24 +319,35 @@ def _all_or_none(aggregate: Column, c: str) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), aggregate)
 
 
-def feature_aggregates() -> list[Column]:
-    """The fifteen span features. Energy features exist only where every token has them."""
-    out = [exact_mean(F.col(c)).alias(n) for n, c in SIMPLE_MEANS.items()]
-    out += [
-        (-exact_mean(F.col("token_logprob"))).alias("mean_token_nll"),
-        F.round(F.max("token_entropy").cast("double"), 6).alias("max_token_entropy"),
-        F.round(F.min("top2_margin").cast("double"), 6).alias("min_top2_margin"),
-    ]
-    out += [_all_or_none(exact_mean(F.col(c)), "selected_step_energy_gap").alias(n) for n, c in ENERGY_MEANS.items()]
+def feature_aggregates(units: Mapping[str, int] | None = None) -> list[Column]:
+    """The fifteen span features. Energy features exist only where every token has them.
+
+    Scores are decimals or doubles, or, if `units` gives a scale for each, whole numbers that count units of
+    10**-scale: many rows are summed much faster so.
+    """
+
+    def mean(c: str) -> Column:
+        return exact_mean_of_units(F.col(c), units[c]) if units else exact_mean(F.col(c))
+
+    def end(of: Callable[[str], Column], c: str) -> Column:
+        value = of(c).cast("double")
+        if units:
+            value = value / 10.0 ** units[c]
+        return value if units and units[c] <= 6 else F.round(value, 6)
+
+    out = [mean(c).alias(n) for n, c in SIMPLE_MEANS.items()]
     out += [
-        _all_or_none(F.round(F.max(c).cast("double"), 6), "selected_step_energy_gap").alias(n)
-        for n, c in ENERGY_MAXIMA.items()
+        (-mean("token_logprob")).alias("mean_token_nll"),
+        end(F.max, "token_entropy").alias("max_token_entropy"),
+        end(F.min, "top2_margin").alias("min_top2_margin"),
     ]
+    out += [_all_or_none(mean(c), "selected_step_energy_gap").alias(n) for n, c in ENERGY_MEANS.items()]
+    out += [_all_or_none(end(F.max, c), "selected_step_energy_gap").alias(n) for n, c in ENERGY_MAXIMA.items()]
     return out
 
 
-def span_features(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per span: token window and features."""
+def span_features(pairs: DataFrame, carry: Sequence[str] = (), units: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per span: token window and features; `units` as in `feature_aggregates`."""
     return pairs.groupBy("annotation_id").agg(
         *[F.first(c).alias(c) for c in carry],
         F.count("*").alias("token_count"),
@@ -341,16 +355,17 @@ def span_features(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         (F.max("position") + 1).alias("token_end_position"),
         F.min("char_start").alias("token_char_start"),
         F.max("char_end").alias("token_char_end"),
-        *feature_aggregates(),
+        *feature_aggregates(units),
     )
 
 
 def align(
-    annotations: DataFrame, generations: DataFrame, tokens: DataFrame, overlap: Callable[[DataFrame, DataFrame], DataFrame] = overlap_join
+    annotations: DataFrame, generations: DataFrame, tokens: DataFrame,
+    overlap: Callable[[DataFrame, DataFrame], DataFrame] = overlap_join, units: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Annotation, generation and token trace by document. A missing or unfit partner
     yields a failure reason, not an error; good rows carry features and boundary slop.
-    `overlap` joins spans with the tokens in the form given."""
+    `overlap` joins spans with the tokens in the form given; `units` is that of `span_features`."""
     slice_ = F.expr("substring(generated_text, span_start_char + 1, span_end_char - span_start_char)")
     joined = annotations.join(generations.select("qid", "generated_text"), "qid", "left")
     checked = joined.select(
@@ -360,7 +375,7 @@ def align(
         .alias("reason"),
     )
     fit = checked.filter("reason IS NULL")
-    features = span_features(overlap(fit, tokens))
+    features = span_features(overlap(fit, tokens), units=units)
     return (
         checked.join(features, "annotation_id", "left")
         .withColumn(

@@ -81,3 +81,41 @@ def test_ends_of_blocks_cross_no_shuffle_beside_the_edges(spark):
     plan = spans.block_overlap_join(left, spans.token_blocks(held)).drop("qid")._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("Join Inner")[1].split("Generate explode(array(")[0]
     assert "_from" not in top and "_to#" not in top
+
+
+def test_scores_are_summed_as_whole_numbers(spark):
+    plan = QUERIES["a17_span_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "decimal" not in plan.lower()
+
+
+def test_features_of_units_match_those_of_decimals(spark):
+    from ledgerproof.plans.spans import UNITS, score_rows, score_units
+
+    rng = random.Random(2)
+    rows = [(f"a{rng.randrange(60)}", rng.choice(["fr", "en", None]), p, rng.choice([1, 7, 13, 100000])) for p in range(1500)]
+    held = spark.createDataFrame(rows, "annotation_id string, lang string, position long, n int").selectExpr("*", "position AS char_start", "position + n AS char_end")
+    want = spans.span_features(score_rows(held, "n")).collect()
+    assert sorted(map(str, spans.span_features(score_units(held, "n"), units=UNITS).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("scale", [0, 1, 6, 9])
+def test_means_of_units_are_rounded_once(spark, scale):
+    from fractions import Fraction
+
+    from ledgerproof.functions import numbers
+
+    rng = random.Random(scale)
+    rows = [(g, rng.choice([rng.randrange(-9, 10), rng.randrange(-(10**9), 10**9), None])) for g in range(200) for _ in range(rng.choice([1, 2, 3, 8]))]
+    got = spark.createDataFrame(rows, "g int, v long").groupBy("g").agg(numbers.exact_mean_of_units(F.col("v"), scale).alias("m")).collect()
+    for g, m in got:
+        held = [v for k, v in rows if k == g and v is not None]
+        mean = Fraction(sum(held), len(held) * 10**scale) if held else None
+        size = None if mean is None else (abs(mean) * 10**6 * 2 + 1) // 2
+        assert m == (None if mean is None else (size if mean >= 0 else -size) / 10**6)
+
+
+def test_lengths_cross_the_shuffle_only_where_they_are_no_widths(spark):
+    texts = ["ab"] * 16 + ["c�", "�"] + ["ab"] * 14 + ["d"] * 15 + ["<|im_end|>"]
+    held = spark.createDataFrame([("d", "en", texts)], "qid string, lang string, pieces array<string>")
+    got = [r[0] for r in spans.token_blocks(held, lengths="n").orderBy("first").select("n").collect()]
+    assert got == [None, [2, 1] + [2] * 14, [1] * 15 + [10]]
