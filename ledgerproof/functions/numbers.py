@@ -166,8 +166,9 @@ def exact_mean(c: Column, digits: int = 6) -> Column:
 
 def exact_mean_of_units(c: Column, scale: int, digits: int = 6) -> Column:
     """Aggregate: `exact_mean` of whole numbers that count units of 10**-scale. They are summed as longs, and the
-    mean is rounded once in whole numbers; a sum too large for that stops the job."""
-    total, count = F.sum(c.cast("bigint")), F.count(c)
+    mean is rounded once in whole numbers; a sum too large for that stops the job. Missing ones are counted,
+    not those that are there: partial counts of zero take little room in a shuffle."""
+    total, count = F.sum(c.cast("bigint")), F.count(F.lit(1)) - F.count_if(c.isNull())
     shift = 10 ** abs(digits - scale)
     top, below = (F.abs(total) * (2 * shift), count) if digits >= scale else (F.abs(total) * 2, count * shift)
     size = F.call_function("div", top + below, below * 2)

@@ -96,8 +96,9 @@ def placed_tokens(tokens: DataFrame, key: Sequence[str] = ("qid",), chunk: int =
 
 
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is worked out once, however often its lambdas use it."""
-    return F.transform(F.array(value), then)[0]
+    """`then` of a value that is worked out once, however often its lambdas use it. A transform would copy what
+    `then` gives, with all texts in it; the end of an aggregate over one row doesn't."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda held, _: held, then)
 
 
 def repaired(pieces: Column) -> Column:
@@ -142,20 +143,23 @@ def blocks(
 
     def cut(all_: Column) -> Column:
         count = F.size(all_[names[0]])
-        return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size))), lambda i: _bound(
-            F.struct(*[F.slice(all_[c], i + 1, size).alias(c) for c in names]),
-            lambda part: F.struct(i.alias("first"), total(*[part[c] for c in names]).alias("total"), part.alias("part"))))
+        firsts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(size)))
 
-    def placed(held: Column) -> Column:
-        groups = _bound(F.transform(held, lambda x: x["total"]), lambda totals: sliced(totals, 64))
-        return _bound(_bound(groups, starts), lambda at: F.transform(held, lambda x, k: F.struct(
-            x["first"].alias("first"), F.get(at, k).alias("start"), (F.get(at, k) + x["total"]).alias("until"), x["part"].alias("part"))))
+        def part(i: Column) -> Column:
+            return F.struct(*[F.slice(all_[c], i + 1, size).alias(c) for c in names])
+
+        def placed(totals: Column) -> Column:
+            # Slices once more, since each array that is made of texts copies them.
+            return _bound(_bound(sliced(totals, 64), starts), lambda at: F.transform(firsts, lambda i, k: F.struct(
+                i.alias("first"), F.get(at, k).alias("start"), (F.get(at, k) + F.get(totals, k)).alias("until"), part(i).alias("part"))))
+
+        return _bound(F.transform(firsts, lambda i: _bound(part(i), lambda held: total(*[held[c] for c in names]))), placed)
 
     names = list(parts)
-    # As an array of objects, of which a slice costs its own length only.
-    held = _bound(F.transform(items, lambda x: x), lambda all_: F.struct(*[make(all_).alias(c) for c, make in parts.items()]))
+    # As an array of objects, of which a slice costs its own length only; a transform would copy each text.
+    held = _bound(F.slice(items, F.lit(1), F.size(items)), lambda all_: F.struct(*[make(all_).alias(c) for c, make in parts.items()]))
     # explode would infer a filter on its array, which would be made once more for it.
-    rows = documents.select(*documents.columns, F.explode_outer(_bound(_bound(held, cut), placed)).alias("_block")).filter("_block IS NOT NULL")
+    rows = documents.select(*documents.columns, F.explode_outer(_bound(held, cut)).alias("_block")).filter("_block IS NOT NULL")
     rows = rows.select(*documents.columns, F.col("_block.first").cast("bigint").alias("first"), "_block.start", "_block.until", *[F.col(f"_block.part.{c}").alias(c) for c in names])
 
     def each(of: Callable[..., Column]) -> list[Column]:
@@ -271,7 +275,7 @@ def block_overlap_join(
 ) -> DataFrame:
     """`overlap_join` with `token_blocks`: spans with every token of some width that they overlap.
 
-    A block crosses the shuffle with its edges and fields. A span meets a block in the bucket
+    A block crosses the shuffle with its edges and fields, not with its texts. A span meets a block in the bucket
     where the later of the two starts lies, so once, and then the block's tokens.
     Adds carry, position, the fields, char_start and char_end.
     """
@@ -281,15 +285,23 @@ def block_overlap_join(
 
     low, high, at = F.col("span_start_char"), F.col("span_end_char"), F.col("_at")
     left = spans.withColumn("_bucket", buckets(low, high))
-    # The ends of a block are in its edges, and don't cross the shuffle beside them.
-    right = blocked.select(key, *carry, "first", "edges", *fields, buckets(F.col("start"), F.col("until")).alias("_bucket"))
-    begin, until = F.get("edges", F.lit(0)), F.element_at("edges", -1)
+    # A block's edges cross the shuffle as distances from its start, in two bytes each unless it is very wide.
+    wide = F.col("until") - F.col("start") >= 2**15
+    near = F.when(~wide, F.transform("edges", lambda edge: (edge - F.col("start")).cast("smallint")))
+    far = F.when(wide, F.transform("edges", lambda edge: edge - F.col("start")))
+    right = blocked.select(
+        key, *carry, "first", F.col("start").alias("_begin"), near.alias("_near"), far.alias("_far"), *fields, buckets(F.col("start"), F.col("until")).alias("_bucket"))
+    begin, last = F.col("_begin"), F.coalesce(F.size("_near"), F.size("_far")) - 1
+
+    def edge(i: Column) -> Column:
+        return begin + F.coalesce(F.get("_near", i).cast("int"), F.get("_far", i))
+
     met = (
         left.join(right, [key, "_bucket"])
-        .filter((until > low) & (begin < high) & (F.col("_bucket") == F.floor(F.greatest(low, begin) / width)))
+        .filter((edge(last) > low) & (begin < high) & (F.col("_bucket") == F.floor(F.greatest(low, begin) / width)))
     )
-    start, end = F.get("edges", at), F.get("edges", at + 1)
-    rows = met.withColumn("_at", F.explode_outer(F.sequence(F.lit(0), F.size("edges") - 2)))
+    start, end = edge(at), edge(at + 1)
+    rows = met.withColumn("_at", F.explode_outer(F.sequence(F.lit(0), last - 1)))
     return rows.filter((end > low) & (start < high) & (end > start)).select(
         *spans.columns, *[c for c in carry if c not in spans.columns], (F.col("first") + at).alias("position"),
         *[F.get(f, at).alias(f) for f in fields], start.cast("bigint").alias("char_start"), end.cast("bigint").alias("char_end"),
@@ -316,7 +328,7 @@ FEATURES = (
 
 
 def _all_or_none(aggregate: Column, c: str) -> Column:
-    return F.when(F.count(c) == F.count(F.lit(1)), aggregate)
+    return F.when(F.count_if(F.col(c).isNull()) == 0, aggregate)
 
 
 def feature_aggregates(units: Mapping[str, int] | None = None) -> list[Column]:
